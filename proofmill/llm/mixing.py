@@ -143,15 +143,28 @@ def plan(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame:
 
     keys = [F.col("l.source").eqNullSafe(F.col("r.source")), F.col("l.block") == F.col("r.block")]
     taken = rows.alias("l").join(dealt.alias("r"), keys, "left").select("l.*", "r.pass", "r.cut", "r.before", "r.rest", "r.shard")
-    # In the block that crosses the rest: words before this document; it is taken if at least half of it fits.
-    inside = W.partitionBy("source", "block", "pass").orderBy("k_hash", "k_id").rowsBetween(W.unboundedPreceding, -1)
-    whole = taken.where(~F.coalesce("cut", F.lit(False)))
+    # In the block that crosses the rest, documents are taken in order while they fit whole.
+    inside = W.partitionBy("source", "block", "pass").orderBy("k_hash", "k_id").rowsBetween(W.unboundedPreceding, 0)
+    whole = taken.where(~F.coalesce("cut", F.lit(False))).drop("cut", "before", "rest")
     weight = F.col("size") * F.col("copies")
-    cut = taken.where("cut").withColumn("ahead", F.col("before") + F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-    # On the far side of the cut, pass 0 keeps a row without a pass: the document is not taken at all.
-    cut = cut.withColumn("fits", F.col("ahead") + weight / 2 <= F.col("rest")).where(F.col("fits") | (F.col("pass") == 0))
-    cut = cut.withColumn("shard", F.when("fits", F.col("shard"))).withColumn("pass", F.when("fits", F.col("pass"))).drop("ahead", "fits")
-    every = whole.unionByName(cut).drop("before", "rest", "cut", "block")
+    cut = written(taken.where("cut").withColumn("fits", F.col("before") + F.sum(weight).over(inside) <= F.col("rest")), "mix-cut")
+    # What is still missing then is closed by the document of the last pass's leftovers whose size is nearest to it.
+    gaps = cut.groupBy("source").agg(
+        (F.first("rest") - F.first("before") - F.sum(F.when(F.col("fits"), weight).otherwise(0))).alias("gap"),
+        F.first("pass").alias("pass"),
+        F.first("shard").alias("shard"),
+    )
+    unused = rows.alias("l").join(at.where("part = 'none'").alias("r"), keys, "left_semi").unionByName(cut.where("not fits").select(*rows.columns))
+    near = _with_source(unused, gaps).withColumn("off", F.abs(F.col("gap") - weight)).where("off < gap")
+    best = F.min_by(F.struct(*rows.columns, "pass", "shard"), F.struct("off", "k_hash", "k_id")).alias("b")
+    closing = written(near.groupBy("source").agg(best).select("b.*"), "mix-closing")
+    # A document that pass 0 doesn't take keeps a row without a pass.
+    cut = cut.where(F.col("fits") | (F.col("pass") == 0)).select(
+        *rows.columns, F.when(F.col("fits"), F.col("pass")).alias("pass"), F.when(F.col("fits"), F.col("shard")).alias("shard")
+    )
+    every = whole.unionByName(cut)
+    same = [every["k_id"].eqNullSafe(closing["k_id"]), every["k_hash"] == closing["k_hash"], every["pass"].isNull()]
+    every = every.join(closing, same, "left_anti").unionByName(closing).drop("block")
     every = every.withColumn("place", F.when(F.col("pass").isNotNull(), F.xxhash64(F.lit(seed + 1), "k_hash", "pass")))
     return _with_source(every, targets.select("source", "source_size", "target"))
 
