@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.llm import exact_dedup, language, line_dedup, mixing, near_dedup, sharding, substring_dedup
+from proofmill.llm import exact_dedup, language, licenses, line_dedup, mixing, near_dedup, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,8 +44,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op3_simhash, op4_substring_dedup, op6_mix_sources, op7_line_dedup, op8_exact_dedup, op9_sharding)}
+    return {f.__name__: f for f in (op1_language_id, op3_simhash, op4_substring_dedup, op6_mix_sources, op7_line_dedup, op8_exact_dedup, op9_sharding, op10_license_scan)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
