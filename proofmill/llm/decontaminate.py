@@ -146,3 +146,10 @@ def contamination(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROAD
         F.coalesce("x.n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("x.item_ids", F.array().cast("array<string>")).alias("item_ids"),
     )
+
+
+def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that hold no window of an item."""
+    dirty = written(contaminated_runs(docs, items).select("k_id", "k_text").distinct(), "contaminated-keys")
+    full = docs.select(F.struct("*").alias("row"), *row_key(F.col("doc_id"), F.col("text"))).alias("d")
+    return full.join(dirty.alias("x"), _same_row("d", "x"), "left_anti").select("row.*")

@@ -181,3 +181,11 @@ def identify(docs: DataFrame, max_docs: int = TRAIN_DOCS) -> DataFrame:
     model = train(learn, max_docs)
     found = docs.select(F.col("doc_id").alias("doc_id"), predict(docs.sparkSession, model, F.col("text")).alias("p"))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "p.lang_pred", "p.score")
+
+
+def keep_known(docs: DataFrame, min_score: float = MIN_SCORE, max_docs: int = TRAIN_DOCS) -> DataFrame:
+    """The rows of docs, all columns, whose language is known: not `und`, and at min_score or more."""
+    learn = docs.where(~held_out(F.col("doc_id"))).select("lang", F.col("doc_id").alias("key"), "text")
+    model = train(learn, max_docs)
+    found = docs.select(F.struct("*").alias("row"), predict(docs.sparkSession, model, F.col("text")).alias("p"))
+    return found.where((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.score") >= min_score)).select("row.*")

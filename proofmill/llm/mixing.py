@@ -78,17 +78,19 @@ def split_quotas(quotas: list[int], shards: int, seed: int = SEED) -> list[list[
 
 
 def mix(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame:
-    """(row, doc_id, source, size, source_size, target, pass, shard, place): a row for each copy of a document that the mix takes, and one with a null pass for each document that it leaves out.
+    """(row, pass, shard, place): a row for each copy of a document that the mix takes; `row` packs the whole row of docs.
 
-    `row` packs the whole row of docs. A null text has no words; a null source
-    is a source of its own. A document without words is taken as often as the
-    whole passes, at a size of 0. Rows that repeat an id are documents of their
-    own. Reruns draw the same mix. No rows give none.
+    Partitions hold parts of shards, in the order of `place`: the shuffle of
+    a shard. A null text has no words; a null source is a source of its own.
+    Documents without words are taken in the whole passes, at a size of 0.
+    Rows that repeat an id are documents of their own. Reruns draw the same
+    mix. No rows give none.
     """
-    takes = plan(docs, shards, seed)
-    full = docs.select(F.struct("*").alias("row"), *_keys(seed))
-    on = [full[c].eqNullSafe(takes[c]) for c in ("k_id", "k_hash")]
-    return full.join(takes, on).drop(takes["k_id"]).drop(takes["k_hash"])
+    takes = plan(docs, shards, seed).where("pass is not null").select("k_id", "k_hash", "pass", "shard", "place").alias("t")
+    full = docs.select(F.struct("*").alias("row"), *_keys(seed)).alias("d")
+    both = full.join(takes, F.col("d.k_id").eqNullSafe(F.col("t.k_id")) & (F.col("d.k_hash") == F.col("t.k_hash")))
+    both = both.select("d.row", "t.pass", "t.shard", "t.place")
+    return both.repartition("shard", F.pmod("place", F.lit(BLOCKS))).sortWithinPartitions("shard", "place")
 
 
 def _keys(seed: int) -> list[Column]:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from proofmill.llm.common import written
+from proofmill.llm.common import row_key, written
 
 SHINGLE = 4
 BITS = 4
@@ -217,16 +217,31 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """(doc_id, fp, component_id), a row for each row of docs.
+    """(doc_id, k_text, fp, root, component_id), a row for each row of docs.
 
-    fp is the signed fingerprint, component_id the smallest doc_id of the
-    documents that links reach. Texts without words share fingerprint 0 and are
-    linked like others. Null ids are never the smallest; a component of null
-    ids only has a null id. An empty table gives no rows.
+    fp is the signed fingerprint, root the class (its smallest fp),
+    component_id the smallest doc_id of the documents that links reach. Texts
+    without words share fingerprint 0 and are linked like others. Null ids are
+    never the smallest; a component of null ids only has a null id. An empty
+    table gives no rows.
     """
-    rows = written(docs.select(F.col("doc_id").alias("doc_id"), fingerprints(F.col("text")).alias("fp")), "simhash-rows")
+    id_, text = row_key(F.col("doc_id"), F.col("text"))
+    rows = written(docs.select(id_.alias("doc_id"), text, fingerprints(F.col("text")).alias("fp")), "simhash-rows")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     roots = components(links(nodes.select("fp"), bits))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(named.select("fp", "root"), "fp").join(least, "root").select("doc_id", "fp", "component_id")
+    return rows.join(named.select("fp", "root"), "fp").join(least, "root").select("doc_id", "k_text", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, bits: int = BITS) -> DataFrame:
+    """One row of docs, with all columns, of each class: that with the smallest doc_id (null ids last)."""
+    classes = written(near_duplicates(docs, bits).select("doc_id", "k_text", "root"), "simhash-classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("k_id"), "k_text")).alias("w")
+    winners = classes.groupBy("root").agg(first).select("w.k_id", "w.k_text")
+    full = docs.select(F.struct("*").alias("row"), *row_key(F.col("doc_id"), F.col("text"))).alias("d")
+    kept = full.join(winners.alias("w"), F.col("d.k_id").eqNullSafe(F.col("w.k_id")) & (F.col("d.k_text") == F.col("w.k_text")), "left_semi")
+    if not classes.groupBy("doc_id", "k_text").count().where("count > 1").isEmpty():
+        # Rows that repeat id and text: any of them is the one.
+        kept = kept.groupBy("k_id", "k_text").agg(F.first("row").alias("row"))
+    return kept.select("row.*")

@@ -35,8 +35,8 @@ def _ranked(rows: DataFrame, group: list[str], bucket: str, order: list[Column],
     return on.withColumn(name, F.row_number().over(within) - 1 + F.col("b_before")).drop("b_before")
 
 
-def interleave(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot, source, rank), a row for each row of docs.
+def interleave(docs: DataFrame, shards: int = 16, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot, source, rank) and the columns `carry`, a row for each row of docs.
 
     Counts of shards are at most one apart; slots of a shard run from 0 without
     gaps. A null source is a source of its own; a null text has the bytes of an
@@ -51,6 +51,7 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame
             (F.length(raw) + 1).cast("long").alias("size"),
             F.crc32(raw).alias("text_crc32"),
             F.xxhash64(F.lit(seed), F.col("doc_id"), raw).alias("h"),
+            *carry,
         ).withColumn("h_bucket", F.pmod(F.shiftrightunsigned("h", 40), F.lit(RANK_BUCKETS)).cast("int")),
         "shard-rows",
     )
@@ -60,11 +61,20 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame
     placed = ranked.alias("l").join(totals.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source"))).select("l.*", "r.n")
     fraction = (F.col("rank") + F.lit(0.5)) / F.col("n")
     placed = placed.withColumn("fraction", fraction).withColumn("place_bucket", F.floor(F.col("fraction") * PLACE_BUCKETS).cast("int"))
-    placed = written(placed.select("doc_id", "source", "size", "text_crc32", "h", "rank", "fraction", "place_bucket"), "shard-ranks")
+    placed = written(placed.select("doc_id", "source", "size", "text_crc32", "h", "rank", "fraction", "place_bucket", *carry), "shard-ranks")
     total = placed.count()
     order = [F.col("fraction"), F.col("source"), F.col("h"), F.col("doc_id"), F.col("text_crc32")]
     at = _ranked(placed, [], "place_bucket", order, "place")
     # Shard s holds places ceil(s * N / shards) to the next such bound.
     at = at.withColumn("shard", F.expr(f"cast((place * {shards}) div {max(total, 1)} as int)"))
     first = F.expr(f"(cast(shard as bigint) * {total} + {shards - 1}) div {shards}")
-    return at.select("doc_id", "size", "text_crc32", "shard", (F.col("place") - first).cast("long").alias("slot"), "source", F.col("rank").cast("long").alias("rank"))
+    return at.select("doc_id", "size", "text_crc32", "shard", (F.col("place") - first).cast("long").alias("slot"), "source", F.col("rank").cast("long").alias("rank"), *carry)
+
+
+def shard_rows(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame:
+    """The rows of docs with shard and slot; columns of docs that have these names are replaced."""
+    kept = [f"row.`{c}`" for c in docs.columns if c not in ("shard", "slot")]
+    base = written(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row")), "shard-input")
+    keyed = base.select("rid", "row.doc_id", "row.source", "row.text")
+    places = interleave(keyed, shards, seed, ("rid",)).select("rid", "shard", "slot")
+    return base.join(places, "rid").select(*kept, "shard", "slot")
