@@ -10,8 +10,12 @@ its representatives, once for each document, in DEPTH rows of counters; Spark
 sums the partitions' counters. A count-min estimate is never too low: windows
 whose representative is estimated below 2 can't repeat, and no other is lost.
 
-Pass 2 gives exactly the windows that are left a 128-bit hash, groups them, and
-joins the smallest id of each repeated window back to its places.
+Pass 2 looks exactly at the windows that are left. Windows in a row with one
+representative are a segment. Equal segments (128-bit hashes) are grouped
+first: where one also stands in a document with a smaller id, all its windows
+go. What is left are the first copies of each segment. Only where a
+representative has different segments can a window still repeat; there windows
+are grouped one by one, by representative and window hash.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ DEPTH = 2
 #: Counters of a sketch row: eight for each expected representative, between these powers of two. The broadcast bitmaps take DEPTH / 8 bytes for each, 64 MB at most; above that the sketch lets more windows through to the exact pass.
 MIN_BITS, MAX_BITS = 16, 28
 BLOCK_BITS = 20
+#: Windows of a segment at most; longer ones are cut.
+SEGMENT = 1024
 #: Bytes of text for each representative, roughly.
 _BYTES_PER_ANCHOR = 80
 _FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
@@ -135,8 +141,16 @@ def repeated_bitmap(raw: DataFrame, bits: int) -> np.ndarray:
     return bitmap
 
 
-def candidate_windows(docs: DataFrame, bits: int) -> DataFrame:
-    """(k_id, k_text, pos, h1, h2) of the windows that the sketch can't rule out."""
+def segment_hashes(words: np.ndarray, starts: np.ndarray, stops: np.ndarray, factor: int) -> np.ndarray:
+    """A hash of each stretch of word hashes, and of its length."""
+    size = 1 << max(10, len(words) - 1).bit_length()
+    up, down = _powers(factor, size)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)])
+    return _mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64) * np.uint64(_FACTORS[0]))
+
+
+def candidate_segments(docs: DataFrame, bits: int) -> DataFrame:
+    """(k_id, k_text, start, n, anchor, s1, s2, windows): segments of n windows from word start that the sketch can't rule out."""
     raw = docs.select(*row_key(F.col("doc_id"), F.col("text")), F.col("text").cast("binary").alias("raw")).where("k_id is not null")
     shared = docs.sparkSession.sparkContext.broadcast(repeated_bitmap(raw, bits))
     id_type = raw.schema["k_id"].dataType
@@ -147,21 +161,49 @@ def candidate_windows(docs: DataFrame, bits: int) -> DataFrame:
             for k, words in _texts(batch, "raw"):
                 hashes = word_hashes(words)
                 lows = representatives(hashes)
-                # Windows in a row mostly share a representative: look each up once.
-                change = np.flatnonzero(np.r_[True, lows[1:] != lows[:-1]])
-                maybe = np.ones(len(change), dtype=bool)
-                for row, cell in enumerate(cells(lows[change], bits)):
+                edge = np.r_[True, lows[1:] != lows[:-1]]
+                first = np.flatnonzero(edge)
+                # Cuts of long segments count from the segment's start.
+                length = np.diff(np.r_[first, len(lows)])
+                if length.max() > SEGMENT:
+                    offset = np.arange(len(lows)) - np.repeat(first, length)
+                    first = np.flatnonzero(offset % SEGMENT == 0)
+                    length = np.diff(np.r_[first, len(lows)])
+                anchors = lows[first]
+                maybe = np.ones(len(first), dtype=bool)
+                for row, cell in enumerate(cells(anchors, bits)):
                     at = cell + (row << bits)
                     maybe &= (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                pos = np.flatnonzero(np.repeat(maybe, np.diff(np.r_[change, len(lows)])))
-                if not len(pos):
+                first, length, anchors = first[maybe], length[maybe], anchors[maybe]
+                if not len(first):
                     continue
-                both = [pa.array(rolling(hashes, WINDOW, f)[pos].view(np.int64)) for f in _FACTORS[:2]]
-                ids = [pa.concat_arrays([batch.column(c).slice(k, 1)]).take(pa.array(np.zeros(len(pos), np.int8))) for c in ("k_id", "k_text")]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(pos.astype(np.int32)), *both], ["k_id", "k_text", "pos", "h1", "h2"])
+                both = [pa.array(segment_hashes(hashes, first, first + length + WINDOW - 1, f).view(np.int64)) for f in _FACTORS[:2]]
+                windows = rolling(hashes, WINDOW, _FACTORS[0])[_places(first, length)]
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), pa.array(windows.view(np.int64)))
+                ids = [batch.column(c).take(pa.array(np.full(len(first), k, np.int32))) for c in ("k_id", "k_text")]
+                parts = [pa.array(first.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(anchors.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([*ids, *parts, *both, lists], ["k_id", "k_text", "start", "n", "anchor", "s1", "s2", "windows"])
 
     fields = StructType([StructField("k_id", id_type)]).simpleString()[len("struct<") : -1].replace(":", " ", 1)
-    return raw.mapInArrow(find, f"{fields}, k_text long, pos int, h1 long, h2 long")
+    return raw.mapInArrow(find, f"{fields}, k_text long, start int, n int, anchor long, s1 long, s2 long, windows array<long>")
+
+
+def _places(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All places from each first on, length of them."""
+    return np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(first, length)
+
+
+def repeated_windows(segments: DataFrame) -> DataFrame:
+    """(k_id, k_text, start, n): stretches of windows that also start in a document with a smaller id."""
+    groups = segments.groupBy("s1", "s2").agg(F.min("k_id").alias("least"), F.first("anchor").alias("anchor"))
+    known = segments.join(groups.select("s1", "s2", "least"), ["s1", "s2"])
+    whole = known.where("k_id > least").select("k_id", "k_text", "start", "n")
+    mixed = groups.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    firsts = known.where("k_id = least").join(mixed, "anchor", "left_semi")
+    single = written(firsts.select("k_id", "k_text", "anchor", "start", F.posexplode("windows").alias("at", "window")), "repeat-windows")
+    least = single.groupBy("anchor", "window").agg(F.min("k_id").alias("least"), F.max("k_id").alias("most")).where("least < most")
+    one = single.join(least, ["anchor", "window"]).where("k_id > least").select("k_id", "k_text", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("n"))
+    return whole.unionByName(one)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -173,27 +215,25 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(8 * volume / _BYTES_PER_ANCHOR + 1))))
-    found = written(candidate_windows(docs, bits), "repeat-windows")
-    least = found.groupBy("h1", "h2").agg(F.min("k_id").alias("least"), F.max("k_id").alias("most")).where("least < most")
-    gone = found.join(least.select("h1", "h2", "least"), ["h1", "h2"]).where("k_id > least")
-    gone = gone.groupBy("k_id", "k_text").agg(F.collect_set("pos").alias("starts"))
+    gone = repeated_windows(written(candidate_segments(docs, bits), "repeat-segments"))
+    gone = gone.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
     base = docs.select(*row_key(F.col("doc_id"), F.col("text")), F.col("text").cast("binary").alias("raw"))
     both = base.alias("d").join(gone.alias("x"), F.col("d.k_id").eqNullSafe(F.col("x.k_id")) & (F.col("d.k_text") == F.col("x.k_text")), "left")
-    cut = both.select(F.col("d.k_id").alias("doc_id"), _cut(F.col("d.raw"), F.col("x.starts")).alias("c"))
+    cut = both.select(F.col("d.k_id").alias("doc_id"), _cut(F.col("d.raw"), F.col("x.gone")).alias("c"))
     return cut.select("doc_id", "c.n_words", "c.n_removed", "c.text")
 
 
 @F.arrow_udf(StructType([StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("text", StringType())]))
-def _cut(raws: pa.Array, starts: pa.Array) -> pa.Array:
+def _cut(raws: pa.Array, gone: pa.Array) -> pa.Array:
     n_words, n_removed, texts = [], [], []
-    for raw, at in zip(raws, starts, strict=True):
+    for raw, at in zip(raws, gone, strict=True):
         words = raw.as_py().split() if raw.is_valid else []
         n = len(words)
         if at.is_valid:
             edges = np.zeros(n + WINDOW + 1, dtype=np.int32)
-            first = at.values.to_numpy(zero_copy_only=False)
-            edges[first] += 1
-            edges[first + WINDOW] -= 1
+            first, length = (at.values.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+            np.add.at(edges, first, 1)
+            np.add.at(edges, first + length + WINDOW - 1, -1)
             keep = np.cumsum(edges[:n]) == 0
             words = [w for w, stays in zip(words, keep.tolist(), strict=True) if stays]
         n_words.append(n)
