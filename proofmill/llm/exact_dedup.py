@@ -55,9 +55,9 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
     if longest:
         digits = _digits(base, active, longest)
         for level, (offset, width) in enumerate(level_bounds(longest)[1:], 1):
-            step = active.select("row", "doc_id", "group", "size").join(digits.where(F.col("level") == level).select("row", "digit"), "row")
+            step = active.select("row", "doc_id", "group", "size").join(digits.where(F.col("level") == level).select("row", "digit").hint("merge"), "row")
             split = step.groupBy("group", "digit").agg(F.count("*").alias("n"), F.min("row").alias("next")).where("n > 1")
-            joined = step.join(split, ["group", "digit"]).select("row", "doc_id", F.col("next").alias("group"), "size")
+            joined = step.join(split.hint("merge"), ["group", "digit"]).select("row", "doc_id", F.col("next").alias("group"), "size")
             members = written(joined, f"radix-level-{level}")
             finished.append(members.where(F.col("size") <= offset + width))
             active = members.where(F.col("size") > offset + width)
