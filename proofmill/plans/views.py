@@ -48,6 +48,9 @@ select cast(floor(doc_id / 10) as bigint) as pack_id, doc_id % 10 as ord, cast(d
   case doc_id % 5 when 0 then 'BANNER' when 1 then 'PIC 2' when 2 then 'NEWS' when 3 then 'EMAIL' else 'OTHER' end as name,
   case when doc_id % 7 = 0 then text || ' %username%' else text end as content
 from @documents""",
+    # The packs as lines: header, content, two blank lines.
+    "v_pack_texts": """
+select pack_id, ord, @str(section_no) || '. ' || name || chr(10) || content || chr(10) || chr(10) as body from @v_packs""",
     # Readings to be matched with the sections of their pack.
     "v_zone_readings": """
 select doc_id as zone_id, cast(floor(doc_id / 10) as bigint) as pack_id, lang,
@@ -112,11 +115,18 @@ def sql_of(text: str, dialect: str, tables: dict[str, str] | None = None) -> str
     return re.sub(r"@(\w+)", one, text)
 
 
+def _tables_of(name: str) -> set[str]:
+    """The supplied tables that a view reads, through other views too."""
+    if name in TABLES:
+        return {name}
+    return {t for used in re.findall(r"@(\w+)", VIEWS[name]) if used in VIEWS or used in TABLES for t in _tables_of(used)}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view, or a supplied table, as a DataFrame."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    needed = {t for t in TABLES if re.search(rf"@{t}\b", VIEWS[name])}
+    needed = _tables_of(name)
     tables = {}
     for t in needed:
         tables[t] = f"proofmill_{t}_{abs(hash(sf_dir)) % 10**9}"
