@@ -47,15 +47,17 @@ def _winnowed(hashes: Column) -> Column:
     return F.when(F.size(hashes) >= SPAN, F.array_distinct(places)).otherwise(F.array().cast("array<int>"))
 
 
+def _places(hashes: Column, kind: int) -> Column:
+    return F.transform(hashes, lambda h, i: F.struct((i + 1).alias("place"), F.lit(kind).alias("kind"), h.alias("hash")))
+
+
 def _fingerprints(rows: DataFrame, lengths: list[int]) -> DataFrame:
     """rows (with words) and `place`, `kind`, `hash`: kind 0 for winnowed grams, else the gram's length."""
     found = rows.withColumn("hashes", _grams(F.col("words"), GRAM)).withColumn("places", _winnowed(F.col("hashes")))
     entry = F.transform(
         "places", lambda p: F.struct(p.alias("place"), F.lit(0).alias("kind"), F.element_at("hashes", p).alias("hash"))
     )
-    short = [
-        F.transform(_grams(F.col("words"), n), lambda h, i, n=n: F.struct((i + 1).alias("place"), F.lit(n).alias("kind"), h.alias("hash"))) for n in lengths
-    ]
+    short = [_places(_grams(F.col("words"), n), n) for n in lengths]
     entries = F.concat(entry, *short) if short else entry
     return found.select(*rows.columns, F.explode(entries).alias("e")).select(*rows.columns, "e.place", "e.kind", "e.hash")
 
