@@ -36,10 +36,14 @@ def compare_lines(reading: Column, reference: Column, level: str = "soft", simil
     return F.struct((mode != "none").alias("pass"), mode.alias("mode"), sim.alias("similarity"), F.size(la).alias("lines_ocr"), F.size(lb).alias("lines_ref"))
 
 
+def word_set(text: Column) -> Column:
+    """The distinct words of a normalised text."""
+    return F.array_distinct(T.words(text))
+
+
 def jaccard(a: Column, b: Column) -> Column:
-    """Share of common words in two normalised texts; 0 if either has none."""
-    x, y = F.array_distinct(T.words(a)), F.array_distinct(T.words(b))
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(F.lit(0.0))
+    """Share of common words in two word sets; 0 if either is empty."""
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))
 
 
 def in_grey_zone(passed: Column, similarity: Column, config: Config = DEFAULT) -> Column:
@@ -133,6 +137,11 @@ def validation(rows: DataFrame, reading: str = "text", expected: str = "expected
     return rows.withColumn("validation", block).drop("v_skip", "v_c")
 
 
+def as_percent(similarity: Column, places: int = 2) -> Column:
+    """A share as it is shown: 0.8312 is 83.12%."""
+    return F.format_string(f"%.{places}f%%", similarity * 100)
+
+
 def grey_zone(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """pairs (text, ref) that differ but are similar enough to be judged, with their similarity. Forms are made once; the distance gives up on far pairs."""
     a, b = T.normalize("text", "soft"), T.normalize("ref", "soft")

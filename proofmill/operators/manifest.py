@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from proofmill.config import DEFAULT, Config
+from proofmill.config import DEFAULT, ENGINES, Config
 from proofmill.functions import geometry as G
 from proofmill.functions import paths as P
 
@@ -134,3 +134,19 @@ def spread_zones(zones: DataFrame, targets: DataFrame) -> DataFrame:
     own = rows.where("named > 0 and target_id is not null").select("template_name", "target_id", "zone_name", "bbox")
     free = rows.where("named = 0").select("template_name", "zone_name", "bbox").join(targets, "template_name")
     return own.unionByName(free.select("template_name", "target_id", "zone_name", "bbox"))
+
+
+def matching_templates(archives: DataFrame, templates: DataFrame) -> DataFrame:
+    """(archive, template_name): the template whose name is the archive's file name, null where there is none."""
+    names = templates.select(F.col("template_name").alias("file_name"), "template_name").distinct()
+    return archives.select("archive", "file_name").join(names, "file_name", "left").select("archive", "template_name")
+
+
+def engine_list(text: Column) -> Column:
+    """The engines of a comma-separated column; empty names are left out, an empty text means the first engine."""
+    found = F.filter(F.split(F.coalesce(text, F.lit("")), ","), lambda e: e != "")
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array(F.lit(ENGINES[0]))).otherwise(found)
+
+
+def engine_text(engines: Column) -> Column:
+    return F.array_join(engines, ",")

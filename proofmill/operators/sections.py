@@ -110,9 +110,12 @@ def token_count(text: Column, lang: Column) -> Column:
 
 def with_forms(rows: DataFrame, text: str, prefix: str) -> DataFrame:
     """rows with the strict and soft forms of a text, each as a whole and as sorted lines: made once for a row, before any join."""
-    for level in ("strict", "soft"):
-        rows = rows.withColumn(f"{prefix}_{level}", T.normalize(text, level)).withColumn(f"{prefix}_{level}_lines", F.array_sort(T.normalized_lines(text, level)))
-    return rows.withColumn(f"{prefix}_words", F.array_distinct(T.words(F.col(f"{prefix}_soft"))))
+    rows = C.once(rows, "forms", F.struct(T.normalize(text, "strict").alias("strict"), T.normalize(text, "soft").alias("soft")))
+    sorted_ = lambda level: F.array_sort(T.normalized_lines(text, level))
+    more = F.struct(sorted_("strict").alias("strict_lines"), sorted_("soft").alias("soft_lines"), C.word_set(F.col("forms.soft")).alias("words"))
+    rows = C.once(rows, "more", more)
+    named = [F.col(f"{g}.{c}").alias(f"{prefix}_{c}") for g, c in (("forms", "strict"), ("forms", "soft"), ("more", "strict_lines"), ("more", "soft_lines"), ("more", "words"))]
+    return rows.select("*", *named).drop("forms", "more")
 
 
 def _equal(level: str) -> Column:
@@ -124,7 +127,7 @@ def score_sections(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """pairs of readings (forms r_) and sections (name, content, forms s_) with score, strict_equal, soft_equal, has_placeholder, warnings."""
     lang = F.coalesce(F.col("lang"), F.lit(""))
     r, s = F.col("r_words"), F.col("s_words")
-    overlap = F.when((F.size(r) > 0) & (F.size(s) > 0), F.size(F.array_intersect(r, s)) / F.size(F.array_union(r, s))).otherwise(F.lit(0.0))
+    overlap = C.jaccard(r, s)
     long = ~lang.isin(*CJK) & (token_count(F.col("s_soft"), lang) > config.long_text_tokens)
     rows = pairs.withColumn("has_placeholder", T.has_placeholder("content")).withColumn("long_text", long)
     rows = rows.withColumn("strict_equal", _equal("strict")).withColumn("soft_equal", _equal("soft"))

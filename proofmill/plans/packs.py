@@ -318,3 +318,19 @@ def join_spread_zones(spark, sf_dir):
     free = F.col("template_name").isin("Brand#1", "Brand#2", "Brand#3")
     zones = rows.select("template_name", "zone_name", F.when(~free & (F.col("ord") % 2 == 0), F.col("target_id")).alias("target_id"), F.array("x1", "y1", "x2", "y2").alias("bbox"))
     return M.spread_zones(zones, targets).drop("bbox")
+
+
+@query("with a as (select page_id as archive, 'Brand#' || (page_id % 40) as file_name from @pages), t as (select distinct template_name from @v_zones) select a.archive, t.template_name from a left join t on a.file_name = t.template_name")
+def join_matching_template(spark, sf_dir):
+    archives = view(spark, sf_dir, "pages").select(F.col("page_id").alias("archive"), F.concat(F.lit("Brand#"), (F.col("page_id") % 40).cast("string")).alias("file_name"))
+    return M.matching_templates(archives, view(spark, sf_dir, "v_zones").select("template_name"))
+
+
+@query("""with t as (select doc_id, case doc_id % 4 when 0 then 'google,azure' when 1 then ',ocrspace,,' when 2 then '' end as raw from @documents),
+e as (select doc_id, case when coalesce(raw, '') = '' then ['google'] else list_filter(string_split(raw, ','), lambda x: x <> '') end as engines from t)
+select doc_id, cast(len(engines) as int) as n, array_to_string(engines, ',') as engines from e""")
+def fun_engine_list(spark, sf_dir):
+    n = F.col("doc_id") % 4
+    raw = F.when(n == 0, "google,azure").when(n == 1, ",ocrspace,,").when(n == 2, "")
+    rows = view(spark, sf_dir, "documents").select("doc_id", M.engine_list(raw).alias("e"))
+    return rows.select("doc_id", F.size("e").alias("n"), M.engine_text(F.col("e")).alias("engines"))

@@ -116,8 +116,9 @@ def cmp_lines(spark, sf_dir):
 with n as (select zone_id, list_distinct(list_filter(string_split({D.soft('text')}, ' '), lambda x: x <> '')) as a, list_distinct(list_filter(string_split({D.soft('ref')}, ' '), lambda x: x <> '')) as b from @v_refs)
 select zone_id, round(case when len(a) > 0 and len(b) > 0 then cast(len(list_intersect(a, b)) as double) / len(list_distinct(list_concat(a, b))) else 0.0 end, 6) as overlap from n""")
 def cmp_jaccard(spark, sf_dir):
-    rows = view(spark, sf_dir, "v_refs")
-    return rows.select("zone_id", F.round(C.jaccard(T.normalize("text", "soft"), T.normalize("ref", "soft")), 6).alias("overlap"))
+    sets = F.struct(C.word_set(T.normalize("text", "soft")).alias("a"), C.word_set(T.normalize("ref", "soft")).alias("b"))
+    rows = C.once(view(spark, sf_dir, "v_refs"), "w", sets)
+    return rows.select("zone_id", F.round(C.jaccard(F.col("w.a"), F.col("w.b")), 6).alias("overlap"))
 
 
 @query()
@@ -137,13 +138,13 @@ def cmp_token_diff(spark, sf_dir):
 
 @query(_COMPARED + """select zone_id, e is not null and l <> '' as applied, case when l = '' then 'lang_missing' when e is null then 'expected_text_missing' end as skip_reason,
 case when e is not null and l <> '' then round(s, 4) end as similarity, case when e is not null and l <> '' then mode <> 'none' end as match_pass,
-case when e is not null and l <> '' then mode end as match_mode, case when e is not null and l <> '' then s < 0.85 end as below
+case when e is not null and l <> '' then mode end as match_mode, case when e is not null and l <> '' then s < 0.85 end as below, case when e is not null and l <> '' then printf('%.2f%%', round(s, 4) * 100) end as shown
 from (select *, case when zone_id % 9 = 0 then '' else coalesce(lang, '') end as l, case when zone_id % 8 <> 0 then ref end as e from m)""")
 def cmp_validation(spark, sf_dir):
     rows = view(spark, sf_dir, "v_refs").withColumn("lang", F.when(F.col("zone_id") % 9 == 0, "").otherwise(F.col("lang")))
     rows = C.validation(rows.withColumn("expected_text", F.when(F.col("zone_id") % 8 != 0, F.col("ref"))))
     v = "validation"
-    return rows.select("zone_id", f"{v}.applied", f"{v}.skip_reason", f"{v}.similarity", f"{v}.match_pass", f"{v}.match_mode", f"{v}.below")
+    return rows.select("zone_id", f"{v}.applied", f"{v}.skip_reason", f"{v}.similarity", f"{v}.match_pass", f"{v}.match_mode", f"{v}.below", F.when(F.col(f"{v}.applied"), C.as_percent(F.col(f"{v}.similarity"))).alias("shown"))
 
 
 _NUMBERS = "list_transform(regexp_extract_all({}, '\\p{{Nd}}+(?:[.,]\\p{{Nd}}+)*'), lambda x: translate(x, '.,', ''))"

@@ -122,13 +122,20 @@ def _tables_of(name: str) -> set[str]:
     return {t for used in re.findall(r"@(\w+)", VIEWS[name]) if used in VIEWS or used in TABLES for t in _tables_of(used)}
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A supplied table. One of no more splits than there are cores is dealt out to all of them."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() <= cores else rows
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view, or a supplied table, as a DataFrame."""
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return table(spark, sf_dir, name)
     needed = _tables_of(name)
     tables = {}
     for t in needed:
         tables[t] = f"proofmill_{t}_{abs(hash(sf_dir)) % 10**9}"
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(tables[t])
+        table(spark, sf_dir, t).createOrReplaceTempView(tables[t])
     return spark.sql(sql_of(VIEWS[name], "spark", tables))
