@@ -79,8 +79,10 @@ def judge_totals(calls: DataFrame) -> DataFrame:
 
 def page(rows: DataFrame, number: int, size: int = 20, order: str = "id") -> DataFrame:
     """One page in order, with the number of rows and pages."""
-    counted = rows.agg(F.count("*").alias("total_rows")).withColumn("total_pages", F.greatest(F.lit(1), F.ceil(F.col("total_rows") / size)).cast("long"))
-    return rows.orderBy(order).offset((number - 1) * size).limit(size).join(F.broadcast(counted))
+    total = rows.count()
+    pages = max(1, -(-total // size))
+    counts = [F.lit(total).cast("long").alias("total_rows"), F.lit(pages).cast("long").alias("total_pages")]
+    return rows.orderBy(order).offset((number - 1) * size).limit(size).select("*", *counts)
 
 
 def english_first(lang: Column) -> Column:

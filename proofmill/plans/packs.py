@@ -293,9 +293,10 @@ def win_reference_image(spark, sf_dir):
     return M.reference_image(_files(spark, sf_dir).where("kind = 'image'")).select("archive", "ord", "path")
 
 
-@query("select zone_id, engine, cast(floor((row_number() over (partition by engine order by zone_id) - 1) / 16) as bigint) as chunk from @v_readings")
+@query("select zone_id, engine, image_id, cast(floor((row_number() over (partition by image_id, engine order by zone_id) - 1) / 16) as bigint) as chunk from (select *, cast(floor(zone_id / 40) as bigint) as image_id from @v_readings)")
 def win_batches(spark, sf_dir):
-    return M.batches(view(spark, sf_dir, "v_readings").select("zone_id", "engine"), ("engine",), F.col("zone_id"))
+    rows = view(spark, sf_dir, "v_readings").select("zone_id", "engine", F.floor(F.col("zone_id") / 40).alias("image_id"))
+    return M.batches(rows, ("image_id", "engine"), F.col("zone_id"))
 
 
 @query(f"""with {_PATHS}, i as (select *, case when archive % 5 = 0 then 'de' end as hint from files where kind = 'image'),

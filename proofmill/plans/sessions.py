@@ -314,10 +314,9 @@ def agg_judge_usage(spark, sf_dir):
 @query("select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as iso, strftime(ts, '%Y-%m') as month, event_id % 9 = 0 or ts >= (select max(ts) from @events) - interval 7 days as kept from @events")
 def dat_expiry(spark, sf_dir):
     events = view(spark, sf_dir, "events")
-    now = events.agg(F.max("ts").alias("now"))
+    now = F.lit(events.agg(F.max("ts")).first()[0])
     created = F.when(F.col("event_id") % 9 != 0, F.col("ts"))
-    rows = events.join(F.broadcast(now))
-    return rows.select("event_id", G.iso_z(F.col("ts")).alias("iso"), G.month_id(F.col("ts")).alias("month"), G.not_expired(created, F.col("now")).alias("kept"))
+    return events.select("event_id", G.iso_z(F.col("ts")).alias("iso"), G.month_id(F.col("ts")).alias("month"), G.not_expired(created, now).alias("kept"))
 
 
 # --- geometry ----------------------------------------------------------------------

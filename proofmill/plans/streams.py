@@ -53,11 +53,11 @@ def str_upsert(spark, sf_dir):
     return updated(_events(spark, sf_dir), ["session_id"], "upsert", last, "append").drop("batch")
 
 
-@query(f"with c as (select event_type as mode, floor((row_number() over (partition by event_type order by seq) - 1) / 16) as chunk from {_STATUS}) select mode, cast(chunk as bigint) as chunk, count(*) as n from c group by 1, 2")
+@query(f"with c as (select session_id, event_type as mode, floor((row_number() over (partition by session_id, event_type order by seq) - 1) / 16) as chunk from {_STATUS}) select session_id, mode, cast(chunk as bigint) as chunk, count(*) as n from c group by 1, 2, 3")
 def str_request_batches(spark, sf_dir):
     """Chunks of the requests of each micro-batch; a table of one file is one micro-batch."""
-    requests = _events(spark, sf_dir).select(F.col("event_type").alias("mode"), "seq")
-    return updated(requests, [], "chunks", J.request_batches, "append").groupBy("mode", "batch", "chunk").agg(F.count("*").alias("n")).drop("batch")
+    requests = _events(spark, sf_dir).select("session_id", F.col("event_type").alias("mode"), "seq")
+    return updated(requests, [], "chunks", J.request_batches, "append").groupBy("session_id", "mode", "batch", "chunk").agg(F.count("*").alias("n")).drop("batch")
 
 
 @query()

@@ -54,8 +54,8 @@ def upserts(batch: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def request_batches(batch: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """A micro-batch of requests (mode, seq) in chunks for the engines."""
-    return M.batches(batch, ("mode",), F.col("seq"), config=config)
+    """A micro-batch of requests (session_id, mode, seq) in chunks for the engines."""
+    return M.batches(batch, ("session_id", "mode"), F.col("seq"), config=config)
 
 
 VOTE = "zone_id long, engine string, text string, rule string, status string, reason string, n_readings long, n_valid long"
