@@ -48,7 +48,8 @@ def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
         "line-hashes",
     )
     held = lines.select(F.explode(F.array_distinct(F.array_compact("hashes"))).alias("h"))
-    common = held.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h")
+    # Written, so that the join below deals out its own exchange and a hot line can be split.
+    common = written(held.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h"), "line-common")
     # The positions of a repeated row are those of its first: each (id, text) asks once.
     once = lines.groupBy("k_id", "k_text").agg(F.min("row").alias("row"))
     asks = lines.join(once.select("row"), "row", "left_semi").select("k_id", "k_text", F.posexplode("hashes").alias("pos", "h")).where("h is not null")
