@@ -230,8 +230,10 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     roots = components(links(nodes.select("fp"), bits))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(named.select("fp", "root"), "fp").join(least, "root").select("doc_id", "k_text", "fp", "root", "component_id")
+    # Written, so that the joins deal out their own exchanges, and a hot class or fingerprint can be split.
+    least = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
+    named = written(named.select("fp", "root").join(least, "root"), "simhash-named")
+    return rows.join(named, "fp").select("doc_id", "k_text", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, bits: int = BITS) -> DataFrame:
