@@ -43,7 +43,8 @@ def word_set(text: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Share of common words in two word sets; 0 if either is empty."""
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))
+    common = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), common / (F.size(a) + F.size(b) - common)).otherwise(F.lit(0.0))
 
 
 def in_grey_zone(passed: Column, similarity: Column, config: Config = DEFAULT) -> Column:

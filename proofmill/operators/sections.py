@@ -118,18 +118,26 @@ def with_forms(rows: DataFrame, text: str, prefix: str) -> DataFrame:
     return rows.select("*", *named).drop("forms", "more")
 
 
+def with_section_facts(sections: DataFrame) -> DataFrame:
+    """sections with their forms (s_), has_placeholder, and the words of their soft form. Only languages with spaces are asked for a length."""
+    rows = with_forms(sections, "content", "s")
+    facts = F.struct(
+        T.has_placeholder("content").alias("has_placeholder"), F.size(T.words(F.col("s_soft"))).alias("s_n_words")
+    )
+    return C.once(rows, "facts", facts).select("*", "facts.*").drop("facts")
+
+
 def _equal(level: str) -> Column:
     lines = F.col(f"r_{level}_lines")
     return (F.col(f"r_{level}") == F.col(f"s_{level}")) | ((F.size(lines) > 0) & (lines == F.col(f"s_{level}_lines")))
 
 
 def score_sections(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """pairs of readings (forms r_) and sections (name, content, forms s_) with score, strict_equal, soft_equal, has_placeholder, warnings."""
-    lang = F.coalesce(F.col("lang"), F.lit(""))
-    r, s = F.col("r_words"), F.col("s_words")
-    overlap = C.jaccard(r, s)
-    long = ~lang.isin(*CJK) & (token_count(F.col("s_soft"), lang) > config.long_text_tokens)
-    rows = pairs.withColumn("has_placeholder", T.has_placeholder("content")).withColumn("long_text", long)
+    """pairs of readings (forms r_) and sections (name and facts) with score, strict_equal, soft_equal, has_placeholder, warnings."""
+    spaced = ~F.coalesce(F.col("lang"), F.lit("")).isin(*CJK)
+    overlap = C.jaccard(F.col("r_words"), F.col("s_words"))
+    long = spaced & (F.col("s_n_words") > config.long_text_tokens)
+    rows = pairs.withColumn("long_text", long)
     rows = rows.withColumn("strict_equal", _equal("strict")).withColumn("soft_equal", _equal("soft"))
     match = F.when(F.col("strict_equal"), 5.0).when(F.col("soft_equal"), 3.0).otherwise(2.0 * overlap)
     score = name_score(F.col("name")) * F.when(F.col("has_placeholder"), 0.5).otherwise(1.0) - F.when(F.col("long_text"), 0.3).otherwise(0.0) + match
@@ -158,8 +166,10 @@ def select_sections(readings: DataFrame, sections: DataFrame, config: Config = D
     known = sections.select("pack_id").distinct().withColumn("has_sections", F.lit(True))
     if "lang" in sections.columns:
         sections = sections.drop("lang")
-    pairs = with_forms(readings.where(~short), "reading", "r").join(with_forms(sections, "content", "s"), "pack_id")
-    scored = score_sections(apply_hints(pairs), config)
+    pairs = with_forms(readings.where(~short), "reading", "r").join(with_section_facts(sections).drop("content"), "pack_id")
+    # Pairs are scored as the join makes them; texts and their forms don't travel through the windows that follow.
+    scored = score_sections(pairs, config).withColumn("usable", (F.col("s_soft") != "") & ~F.col("has_placeholder"))
+    scored = apply_hints(scored.select("zone_id", "ord", "section_no", "name", "hint_number", "hint_name", "score", "strict_equal", "soft_equal", "has_placeholder", "usable"))
     ranked = W.partitionBy("zone_id").orderBy(F.desc("score"), "ord")
     all_ = W.partitionBy("zone_id")
     scored = (
@@ -170,8 +180,7 @@ def select_sections(readings: DataFrame, sections: DataFrame, config: Config = D
         .where("rank = 1")
     )
     delta = F.coalesce(F.col("score") - F.col("second"), F.lit(config.single_delta))
-    usable = (F.col("s_soft") != "") & ~F.col("has_placeholder")
-    c = G.reference_confidence(F.col("score"), F.col("second"), usable, config)
+    c = G.reference_confidence(F.col("score"), F.col("second"), F.col("usable"), config)
     stuck = F.col("only_placeholders") & ~(F.col("hint_number").isNotNull() & (F.col("left") == 1))
     reason = (
         F.when(stuck, "all_placeholders").when((delta < config.ambiguous_delta) & ~F.col("strict_equal"), "ambiguous_delta")
