@@ -195,14 +195,17 @@ def _places(first: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 def repeated_windows(segments: DataFrame) -> DataFrame:
     """(k_id, k_text, start, n): stretches of windows that also start in a document with a smaller id."""
-    groups = segments.groupBy("s1", "s2").agg(F.min("k_id").alias("least"), F.first("anchor").alias("anchor"))
-    known = segments.join(groups.select("s1", "s2", "least"), ["s1", "s2"])
+    # Groups are written before they are joined, so that a join deals out its own exchange and a hot
+    # passage can be split; the joins are sort-merge joins at every size.
+    groups = written(segments.groupBy("s1", "s2").agg(F.min("k_id").alias("least"), F.first("anchor").alias("anchor")), "repeat-groups")
+    known = segments.join(groups.select("s1", "s2", "least").hint("merge"), ["s1", "s2"])
     whole = known.where("k_id > least").select("k_id", "k_text", "start", "n")
-    mixed = groups.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    firsts = known.where("k_id = least").join(mixed, "anchor", "left_semi")
+    mixed = written(groups.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeat-anchors")
+    firsts = known.where("k_id = least").join(mixed.hint("merge"), "anchor", "left_semi")
     single = written(firsts.select("k_id", "k_text", "anchor", "start", F.posexplode("windows").alias("at", "window")), "repeat-windows")
     least = single.groupBy("anchor", "window").agg(F.min("k_id").alias("least"), F.max("k_id").alias("most")).where("least < most")
-    one = single.join(least, ["anchor", "window"]).where("k_id > least").select("k_id", "k_text", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("n"))
+    least = written(least.drop("most"), "repeat-least")
+    one = single.join(least.hint("merge"), ["anchor", "window"]).where("k_id > least").select("k_id", "k_text", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("n"))
     return whole.unionByName(one)
 
 
