@@ -18,6 +18,7 @@ from proofmill.llm.common import lower_ascii, row_key, written
 WINDOW = 10
 GRAM = 5
 SPAN = WINDOW - GRAM + 1
+PLACE_BITS = 30
 #: Benchmark fingerprints that are broadcast at most; with more, both sides are shuffled.
 BROADCAST_ROWS = 100_000
 #: The complement of [0-9a-z] and the characters above U+007F.
@@ -36,15 +37,23 @@ def _grams(words: Column, n: int) -> Column:
     )
 
 
-def _winnowed(hashes: Column) -> Column:
-    """The places (from 1) of the first least hash of each SPAN hashes in a row."""
+def _winnowed(words: Column) -> Column:
+    """The places (from 1) of the first least gram of each SPAN grams in a row.
 
-    def least(start: Column) -> Column:
-        part = F.slice(hashes, start, SPAN)
-        return start - 1 + F.array_position(part, F.array_min(part)).cast("int")
-
-    places = F.transform(F.sequence(F.lit(1), F.size(hashes) - (SPAN - 1)), least)
-    return F.when(F.size(hashes) >= SPAN, F.array_distinct(places)).otherwise(F.array().cast("array<int>"))
+    A gram is a number of its hash's high bits and its place, so that the least
+    number of a stretch gives the least hash and where it stands first. A
+    string holds fewer words than places have room for.
+    """
+    place = (1 << PLACE_BITS) - 1
+    grams = F.transform(
+        F.sequence(F.lit(1), F.size(words) - (GRAM - 1)),
+        lambda i: F.xxhash64(F.slice(words, i, GRAM)).bitwiseAND(F.lit(~place)).bitwiseOR(i.cast("long")),
+    )
+    starts = F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))
+    least = lambda a: F.array_distinct(F.transform(starts, lambda s: F.array_min(F.slice(a, s, SPAN)).bitwiseAND(F.lit(place)).cast("int")))
+    # One element, so that the grams are made once for all stretches.
+    found = F.flatten(F.transform(F.array(grams), least))
+    return F.when(F.size(words) >= WINDOW, found).otherwise(F.array().cast("array<int>"))
 
 
 def _places(hashes: Column, kind: int) -> Column:
@@ -53,13 +62,12 @@ def _places(hashes: Column, kind: int) -> Column:
 
 def _fingerprints(rows: DataFrame, lengths: list[int]) -> DataFrame:
     """rows (with words) and `place`, `kind`, `hash`: kind 0 for winnowed grams, else the gram's length."""
-    found = rows.withColumn("hashes", _grams(F.col("words"), GRAM)).withColumn("places", _winnowed(F.col("hashes")))
     entry = F.transform(
-        "places", lambda p: F.struct(p.alias("place"), F.lit(0).alias("kind"), F.element_at("hashes", p).alias("hash"))
+        _winnowed(F.col("words")), lambda p: F.struct(p.alias("place"), F.lit(0).alias("kind"), F.xxhash64(F.slice("words", p, GRAM)).alias("hash"))
     )
     short = [_places(_grams(F.col("words"), n), n) for n in lengths]
     entries = F.concat(entry, *short) if short else entry
-    return found.select(*rows.columns, F.explode(entries).alias("e")).select(*rows.columns, "e.place", "e.kind", "e.hash")
+    return rows.select(*rows.columns, F.explode(entries).alias("e")).select(*rows.columns, "e.place", "e.kind", "e.hash")
 
 
 def item_fingerprints(items: DataFrame) -> DataFrame:
