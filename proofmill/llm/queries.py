@@ -17,18 +17,15 @@ from proofmill.llm import (
     sharding,
     substring_dedup,
 )
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from proofmill.plans.views import table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.identify(_table(spark, sf_dir, "documents"))
+    return language.identify(table(spark, sf_dir, "documents"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
         "doc_id",
         "n_words",
@@ -40,12 +37,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+    out = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -54,7 +51,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(own).alias("text")
     )
-    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     out = chat.read_back(chat.format_windows(rows))
     return out.select(
         "conv_id",
@@ -67,25 +64,25 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken_words(_table(spark, sf_dir, "documents"))
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.drop_common_lines(_table(spark, sf_dir, "documents"))
+    out = line_dedup.drop_common_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.duplicate_groups(_table(spark, sf_dir, "documents"))
+    return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.interleave(_table(spark, sf_dir, "documents"))
+    out = sharding.interleave(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
