@@ -46,7 +46,8 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
     first = base.select("row", "doc_id", "size", digit.alias("digit"))
     # One row for each (length, first bytes): its number of rows and its name, the smallest row.
     heads = first.groupBy("size", "digit").agg(F.count("*").alias("n"), F.min("row").alias("group"), F.max("doc_id").alias("keep_id"))
-    heads = heads.where("n > 1")
+    # Written, so that the join deals out its own exchange and a hot group can be split.
+    heads = written(heads.where("n > 1"), "radix-heads-0")
     members = written(first.join(heads, ["size", "digit"]).select("row", "doc_id", "group", "size"), "radix-level-0")
     done = members.where(F.col("size") <= FIRST_BYTES)
     active = members.where(F.col("size") > FIRST_BYTES)
@@ -57,6 +58,7 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
         for level, (offset, width) in enumerate(level_bounds(longest)[1:], 1):
             step = active.select("row", "doc_id", "group", "size").join(digits.where(F.col("level") == level).select("row", "digit").hint("merge"), "row")
             split = step.groupBy("group", "digit").agg(F.count("*").alias("n"), F.min("row").alias("next")).where("n > 1")
+            split = written(split, f"radix-heads-{level}")
             joined = step.join(split.hint("merge"), ["group", "digit"]).select("row", "doc_id", F.col("next").alias("group"), "size")
             members = written(joined, f"radix-level-{level}")
             finished.append(members.where(F.col("size") <= offset + width))
@@ -69,6 +71,7 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
     sizes = groups.groupBy("group").agg(
         F.count("*").alias("group_size"), F.max(F.struct(F.col("doc_id"), F.col("row"))).alias("last")
     )
+    sizes = written(sizes, "radix-sizes")
     member = groups.join(sizes, "group").select("row", "group_size", "last")
     return (
         base.select("row", "doc_id", "text_sha256")
