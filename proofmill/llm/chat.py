@@ -1,9 +1,10 @@
 """Chat formatting into budgeted windows, in DataFrame functions.
 
 A conversation's turns get prefix sums of their tokens. Windows are spans of
-whole turns cut by the prefix sums so that, with the system turn and the
-history that a window repeats, none is above the budget unless a single turn
-is. The system turn opens every window; a window after the first repeats the
+whole turns, filled one after another within stretches of the prefix sums, so
+that, with the system turn and the history that a window repeats, none is
+above the budget unless a single turn is; such a turn has a window of its own.
+The system turn opens every window; a window after the first repeats the
 turns of the last tokens before it. Only assistant turns that are new in a
 window are targets: what is repeated is masked.
 
@@ -24,6 +25,8 @@ BUDGET = 2048
 HISTORY = 256
 #: Turns of a conversation whose prefix sums are found in one step.
 BLOCK_TURNS = 64
+#: Windows' worth of tokens that are filled in one step.
+STRETCH = 64
 #: Tokens of a turn's marks, and characters that count as a token.
 TURN_TOKENS = 4
 CHARS_PER_TOKEN = 4
@@ -52,12 +55,12 @@ def _same(a: str, b: str, *names: str) -> list[Column]:
 
 
 def _placed(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Turns with ord (from 0) and start (tokens before), and (conv, longest, system, system_tokens); prefix sums are taken within blocks of turns, then over blocks."""
+    """Turns with ord (from 0) and start (tokens before), and (conv, s_role, s_text, s_tokens) of the conversations with a system turn; prefix sums are taken within blocks of turns, then over blocks."""
     order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
     inside = W.partitionBy("conv", "block").orderBy(*order)
     before = inside.rowsBetween(W.unboundedPreceding, -1)
     local = turns.withColumn("at", F.row_number().over(inside) - 1).withColumn("ahead", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
-    blocks = turns.groupBy("conv", "block").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"), F.max("tokens").alias("longest"))
+    blocks = turns.groupBy("conv", "block").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"))
     up_to = W.partitionBy("conv").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     offsets = blocks.select("conv", "block", F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("n"), F.coalesce(F.sum("t").over(up_to), F.lit(0)).alias("t"))
     placed = local.alias("l").join(offsets.alias("r"), _same("l", "r", "conv", "block"))
@@ -66,14 +69,47 @@ def _placed(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     placed = written(placed.withColumn("is_system", (F.col("ord") == 0) & (F.col("role") == SYSTEM)), "chat-turns")
     systems = placed.where("is_system").select("conv", F.col("role").alias("s_role"), F.col("text").alias("s_text"), F.col("tokens").alias("s_tokens"))
-    longest = blocks.groupBy("conv").agg(F.max("longest").alias("longest"))
-    convs = longest.alias("l").join(systems.alias("r"), _same("l", "r", "conv"), "left").select("l.*", "r.s_role", "r.s_text", F.coalesce("r.s_tokens", F.lit(0)).alias("s_tokens"))
-    return placed, written(convs, "chat-convs")
+    return placed, written(systems, "chat-systems")
+
+
+def _windows(places: DataFrame) -> DataFrame:
+    """(conv, window, stop, first, back): windows hold the turns from ord `window` to before `stop`, `first` is the tokens before them, `back` those that are repeated.
+
+    A window takes new turns while they leave room for the history. One that
+    opens with a longer turn keeps room for the turn before it only, if that
+    fits, so that a long question and its reply can share it.
+    """
+    stretches = places.groupBy("conv", "stretch", "room", "reserve").agg(F.array_sort(F.collect_list(F.struct("ord", "from", "tokens"))).alias("turns"))
+    long, room, reserve = F.lit(0).cast("long"), F.col("room"), F.col("reserve")
+    none = F.array().cast("array<struct<ord:long,from:long>>")
+
+    def add(acc: Column, t: Column) -> Column:
+        opens = (F.size(acc["edges"]) == 0) | ((acc["filled"] > 0) & (acc["filled"] + t["tokens"] > acc["cap"]))
+        most = F.least(reserve, F.greatest(room - t["tokens"], long))
+        before = F.when(acc["last"] < 0, most).when(acc["last"] <= most, acc["last"]).otherwise(long)
+        cap = F.when(t["ord"] == 0, room).when(t["tokens"] <= room - reserve, room - reserve).otherwise(room - before)
+        return F.struct(
+            F.when(opens, t["tokens"]).otherwise(acc["filled"] + t["tokens"]).alias("filled"),
+            F.when(opens, cap).otherwise(acc["cap"]).alias("cap"),
+            t["tokens"].alias("last"),
+            F.when(opens, F.concat(acc["edges"], F.array(F.struct(t["ord"].alias("ord"), t["from"].alias("from"))))).otherwise(acc["edges"]).alias("edges"),
+        )
+
+    start = F.struct(long.alias("filled"), long.alias("cap"), F.lit(-1).cast("long").alias("last"), none.alias("edges"))
+    end = F.element_at("turns", -1)
+    edges = F.concat(F.aggregate("turns", start, add, lambda acc: acc["edges"]), F.array(F.struct((end["ord"] + 1).alias("ord"), (end["from"] + end["tokens"]).alias("from"))))
+    pairs = stretches.withColumn("edges", edges).withColumn("pair", F.explode(F.arrays_zip(F.slice("edges", F.lit(1), F.size("edges") - 1).alias("a"), F.slice("edges", F.lit(2), F.size("edges") - 1).alias("b"))))
+    fresh = F.col("pair.b.from") - F.col("pair.a.from")
+    return pairs.select(
+        "conv", F.col("pair.a.ord").alias("window"), F.col("pair.b.ord").alias("stop"), F.col("pair.a.from").alias("first"),
+        F.least(reserve, F.greatest(room - fresh, long)).alias("back"),
+    )
 
 
 def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """(conv_id, window, text, n_repeated, loss) for (conv_id, turn, role, text).
 
+    window is the place of its first new turn in the conversation, from 0.
     text is a formatted window, n_repeated the number of its first turns that
     an earlier window holds, loss the spans (start, length, in code points) of
     text that are to be learned. Null texts and roles are empty; null turns
@@ -85,21 +121,28 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
         F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text.alias("text"),
         token_count(text).alias("tokens"), F.coalesce(F.floor(F.col("turn").cast("long") / BLOCK_TURNS), F.lit(-(1 << 62))).alias("block"),
     )
-    turns, convs = _placed(turns)
-    room = F.lit(budget) - F.col("s_tokens")
-    spare = F.greatest(room - F.col("longest"), F.lit(0))
-    # The history is never longer than a stride, so that a turn is repeated by the next window only.
-    convs = convs.withColumn("back", F.least(F.lit(history), F.floor(spare / 2))).withColumn("stride", F.greatest(spare - F.col("back"), F.lit(1)))
-    rows = turns.alias("l").join(convs.select("conv", "s_tokens", "back", "stride").alias("r"), _same("l", "r", "conv")).select("l.*", "r.s_tokens", "r.back", "r.stride")
-    rows = rows.withColumn("from", F.when(F.col("is_system"), F.lit(0)).otherwise(F.col("start") - F.col("s_tokens")))
-    rows = rows.withColumn("window", F.floor(F.col("from") / F.col("stride")))
-    spans = written(rows.groupBy("conv", "window").agg(F.min("from").alias("first")), "chat-spans")
-
-    fresh = rows.select("conv", "window", F.lit(False).alias("repeated"), "ord", "role", "text")
-    ahead = rows.where(~F.col("is_system")).withColumn("window", F.col("window") + 1).where(F.col("from") + F.col("back") >= F.col("window") * F.col("stride"))
-    past = ahead.alias("l").join(spans.alias("r"), _same("l", "r", "conv", "window")).where(F.col("l.from") >= F.col("r.first") - F.col("l.back"))
-    past = past.select("l.conv", "l.window", F.lit(True).alias("repeated"), "l.ord", "l.role", "l.text")
-    heads = spans.where("window > 0").alias("l").join(convs.where("s_text is not null").alias("r"), _same("l", "r", "conv"))
+    turns, systems = _placed(turns)
+    places = turns.alias("l").join(systems.alias("r"), _same("l", "r", "conv"), "left").select("l.conv", "l.ord", "l.start", "l.tokens", "l.is_system", F.coalesce("r.s_tokens", F.lit(0)).alias("s_tokens"))
+    room = F.greatest(F.lit(budget) - F.col("s_tokens"), F.lit(0)).cast("long")
+    # The history takes at most half of the room, so that few windows repeat a turn.
+    places = places.withColumn("room", room).withColumn("reserve", F.least(F.lit(history), F.floor(F.col("room") / 2)).cast("long"))
+    places = places.withColumn("from", F.when(F.col("is_system"), F.lit(0)).otherwise(F.col("start") - F.col("s_tokens")).cast("long"))
+    places = places.withColumn("tokens", F.when(F.col("is_system"), F.lit(0)).otherwise(F.col("tokens")).cast("long")).withColumn("ord", F.col("ord").cast("long"))
+    places = places.withColumn("stretch", F.floor(F.col("from") / (STRETCH * F.greatest(F.col("room") - F.col("reserve"), F.lit(1)))))
+    places = written(places.drop("start", "s_tokens"), "chat-places")
+    spans = written(_windows(places), "chat-spans")
+
+    # Repeated turns start in the cell of a window's last tokens before it, or in the one before.
+    cell = max(history, 1)
+    ahead = spans.where("window > 0 and back > 0").withColumn("least", F.greatest(F.col("first") - F.col("back"), F.lit(0)))
+    ahead = ahead.withColumn("cell", F.explode(F.sequence(F.floor(F.col("least") / cell), F.floor((F.col("first") - 1) / cell))))
+    cells = places.where(~F.col("is_system")).select("conv", "ord", "from", F.floor(F.col("from") / cell).alias("cell"))
+    past = ahead.alias("l").join(cells.alias("r"), _same("l", "r", "conv", "cell")).where("r.from >= l.least and r.ord < l.window")
+    past = past.select("l.conv", "l.window", F.lit(True).alias("repeated"), "r.ord")
+    fresh = spans.select("conv", "window", F.lit(False).alias("repeated"), F.explode(F.sequence("window", F.col("stop") - 1)).alias("ord"))
+    held = written(fresh.unionByName(past), "chat-held")
+    held = held.alias("l").join(turns.alias("r"), _same("l", "r", "conv", "ord")).select("l.*", "r.role", "r.text")
+    heads = spans.where("window > 0").alias("l").join(systems.alias("r"), _same("l", "r", "conv"))
     heads = heads.select("l.conv", "l.window", F.lit(True).alias("repeated"), F.lit(0).cast("long").alias("ord"), F.col("r.s_role").alias("role"), F.col("r.s_text").alias("text"))
 
     head = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MID))
@@ -107,7 +150,7 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
     piece = F.struct(
         F.col("ord").cast("long").alias("ord"), "repeated", head.alias("head"), body.alias("body"), (~F.col("repeated") & (F.col("role") == TARGET)).alias("target")
     )
-    whole = fresh.unionByName(past).unionByName(heads).groupBy("conv", "window").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    whole = held.unionByName(heads).groupBy("conv", "window").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
     size = lambda p: F.length(p["head"]) + F.length(p["body"]) + len(CLOSE)
     none = F.array().cast("array<struct<start:int,length:int>>")
     spans_of = F.aggregate(

@@ -49,6 +49,42 @@ def test_windows(spark):
     assert windows[0].n_repeated == 0
 
 
+def test_windows_around_a_long_turn(spark):
+    """One turn above or near the budget changes no window but its own."""
+    tokens = lambda t: -(-len(t) // 4) + 4
+    for long in (9000, 8000, 6000):
+        rows = [(1, t, "assistant" if t % 2 else "user", "x" * (long if t == 150 else 100 + t % 7)) for t in range(300)]
+        texts = [r[3] for r in rows]
+        windows = chat.format_windows(conversations(spark, rows), 2048, 256).orderBy("window").collect()
+        held = [[p.split("[/INST]")[1] for p in w.text.split("</s>")[:-1]] for w in windows]
+        at = 0
+        for w, turns in zip(windows, held, strict=True):
+            assert w.window == at
+            assert turns == texts[at - w.n_repeated : at + len(turns) - w.n_repeated]
+            at += len(turns) - w.n_repeated
+            assert len(turns) == 1 or sum(map(tokens, turns)) <= 2048
+            # The history before the long turn is left out where the turn needs the room, and behind it where it is in the way.
+            assert w.n_repeated >= 7 or w.window == 0 or 150 <= w.window <= 158
+        assert at == 300
+        assert len(windows) <= 9
+
+
+def test_stretches_and_history(spark):
+    """Long conversations are filled in several stretches; a long question stays with its reply, a long reply with its question."""
+    rows = [(1, t, "assistant" if t % 2 else "user", "y" * (t * 37 % 400)) for t in range(4000)]
+    rows += [(2, 0, "system", "s" * 40), (2, 1, "user", "a" * 4000), (2, 2, "assistant", "b" * 3000), (2, 3, "user", "c" * 7400), (2, 4, "assistant", "d" * 60), (2, 5, "user", "e" * 100), (2, 6, "assistant", "f" * 7400)]
+    windows = chat.format_windows(conversations(spark, rows), 2048, 256).orderBy("conv_id", "window").collect()
+    sizes = [sum(-(-len(p.split("[/INST]")[1]) // 4) + 4 for p in w.text.split("</s>")[:-1]) for w in windows]
+    assert max(sizes) <= 2048
+    many = [n for w, n in zip(windows, sizes, strict=True) if w.conv_id == 1]
+    assert len(many) > 110
+    # Turns have up to 104 tokens; the last window of each of the two stretches may be short.
+    assert sum(n > 2048 - 2 * 104 for n in many) >= len(many) - 3
+    assert all(w.n_repeated > 0 for w in windows if w.conv_id == 1 and w.window)
+    shape = [(w.window, "".join(p.split("[/INST]")[1][:1] for p in w.text.split("</s>")[:-1])) for w in windows if w.conv_id == 2]
+    assert shape == [(0, "sab"), (3, "scde"), (6, "sdef")]
+
+
 def test_no_conversations(spark):
     assert chat.format_windows(conversations(spark, [])).count() == 0
 
