@@ -1,9 +1,11 @@
 """Mixing sources to target weights with a hypergeometric splitting tree.
 
 Each source gets a target in words (weights, a cap on repeats, the excess
-shared again). Its documents are cut into blocks in a seeded random order;
-whole passes over the source and the blocks of a last, partial pass give its
-exact quota of blocks. A binary tree over the output shards then splits the
+shared again). Its documents are cut into blocks in a seeded random order; whole
+passes over the source and the blocks that a last, partial pass takes documents
+of give its exact quota of blocks. The last pass takes documents in order while
+they fit, then goes on with the smaller ones that still do; where these don't
+reach, a longer one is exchanged for short ones. A binary tree over the output shards then splits the
 vector of quotas: each node draws from the multivariate hypergeometric
 distribution how many blocks of each source go left. A shard's quota is served
 by the next blocks of the source's permutation, so that shards hold disjoint
@@ -15,6 +17,8 @@ and shard; more than MAX_SOURCES sources are refused.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -28,6 +32,8 @@ MAX_REPEATS = 3
 #: Documents of a source are dealt into so many blocks, whatever its size.
 BLOCKS = 512
 MAX_SOURCES = 100_000
+#: A miss of a last pass up to this share of it is near enough; above it, documents are exchanged.
+NEAR = 0.001
 
 
 def word_count(text: Column) -> Column:
@@ -114,21 +120,14 @@ def plan(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame:
     targets = targets.withColumn("rest", F.greatest(F.col("target") - F.col("passes") * F.col("source_size"), F.lit(0.0)))
     targets = written(targets, "mix-targets")
 
-    # The last pass takes blocks in order until the rest is reached; of the block that crosses it, documents in order.
-    ordered = W.partitionBy("source").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    at = _with_source(blocks, targets.select("source", "passes", "rest"))
-    at = at.withColumn("before", F.coalesce(F.sum("words").over(ordered), F.lit(0)))
-    at = at.withColumn(
-        "part", F.when(F.col("before") + F.col("words") <= F.col("rest"), "whole").when(F.col("before") < F.col("rest"), "cut").otherwise("none")
-    )
+    docs_of = _with_source(rows, targets.select("source", "passes", "rest")).withColumn("weight", F.col("size") * F.col("copies"))
+    marked = _last_pass(docs_of)
     # Slots: a row for each pass and block that the quota holds.
-    slots = at.select(
-        "source", "block", "before", "part", "rest",
-        F.explode(F.sequence(F.lit(0), F.col("passes"))).alias("pass"), "passes",
-    ).where((F.col("pass") < F.col("passes")) | (F.col("part") != "none"))
-    slots = slots.withColumn("cut", (F.col("pass") == F.col("passes")) & (F.col("part") == "cut"))
+    whole = _with_source(blocks, targets.select("source", "passes")).where("passes > 0")
+    whole = whole.select("source", "block", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("pass"))
+    slots = whole.unionByName(marked.where("last").select("source", "block", F.col("passes").alias("pass")).distinct())
     permuted = W.partitionBy("source").orderBy("pass", F.xxhash64(F.lit(seed), "source", "pass", "block"), "block")
-    slots = written(slots.withColumn("nth", F.row_number().over(permuted) - 1).select("source", "block", "pass", "cut", "before", "rest", "nth"), "mix-slots")
+    slots = written(slots.withColumn("nth", F.row_number().over(permuted) - 1).select("source", "block", "pass", "nth"), "mix-slots")
 
     quotas = sorted(((r["source"], r["n"]) for r in slots.groupBy("source").agg(F.count("*").alias("n")).collect()), key=lambda q: (q[0] is None, q[0] or ""))
     spans = []
@@ -141,36 +140,97 @@ def plan(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame:
     table = inline(spark, spans, "source string, shard int, first bigint, stop bigint")
     # A slot's shard is the span that its place in the permutation falls into.
     dealt = slots.alias("l").join(table.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source")) & F.col("l.nth").between(F.col("r.first"), F.col("r.stop") - 1))
-    dealt = dealt.select("l.source", "l.block", "l.pass", "l.cut", "l.before", "l.rest", "r.shard")
+    dealt = dealt.select("l.source", "l.block", "l.pass", "r.shard")
 
     keys = [F.col("l.source").eqNullSafe(F.col("r.source")), F.col("l.block") == F.col("r.block")]
-    taken = rows.alias("l").join(dealt.alias("r"), keys, "left").select("l.*", "r.pass", "r.cut", "r.before", "r.rest", "r.shard")
-    # In the block that crosses the rest, documents are taken in order while they fit whole.
-    inside = W.partitionBy("source", "block", "pass").orderBy("k_hash", "k_id").rowsBetween(W.unboundedPreceding, 0)
-    whole = taken.where(~F.coalesce("cut", F.lit(False))).drop("cut", "before", "rest")
-    weight = F.col("size") * F.col("copies")
-    cut = written(taken.where("cut").withColumn("fits", F.col("before") + F.sum(weight).over(inside) <= F.col("rest")), "mix-cut")
-    # What is still missing then is closed by the document of the last pass's leftovers whose size is nearest to it.
-    gaps = cut.groupBy("source").agg(
-        (F.first("rest") - F.first("before") - F.sum(F.when(F.col("fits"), weight).otherwise(0))).alias("gap"),
-        F.first("pass").alias("pass"),
-        F.first("shard").alias("shard"),
-    )
-    unused = rows.alias("l").join(at.where("part = 'none'").alias("r"), keys, "left_semi").unionByName(cut.where("not fits").select(*rows.columns))
-    near = _with_source(unused, gaps).withColumn("off", F.abs(F.col("gap") - weight)).where("off < gap")
-    best = F.min_by(F.struct(*rows.columns, "pass", "shard"), F.struct("off", "k_hash", "k_id")).alias("b")
-    closing = written(near.groupBy("source").agg(best).select("b.*"), "mix-closing")
-    # A document that pass 0 doesn't take keeps a row without a pass.
-    cut = cut.where(F.col("fits") | (F.col("pass") == 0)).select(
-        *rows.columns, F.when(F.col("fits"), F.col("pass")).alias("pass"), F.when(F.col("fits"), F.col("shard")).alias("shard")
-    )
-    every = whole.unionByName(cut)
-    same = [every["k_id"].eqNullSafe(closing["k_id"]), every["k_hash"] == closing["k_hash"], every["pass"].isNull()]
-    every = every.join(closing, same, "left_anti").unionByName(closing).drop("block")
+    every = marked.alias("l").join(dealt.alias("r"), keys, "left").select("l.*", "r.pass", "r.shard")
+    takes = (F.col("pass") < F.col("passes")) | F.col("last")
+    # A document that no pass takes keeps a row without a pass.
+    every = every.where("pass is null or pass = 0 or pass < passes or last").withColumn("pass", F.when(takes, F.col("pass"))).withColumn("shard", F.when(F.col("pass").isNotNull(), F.col("shard")))
+    every = every.drop("block", "passes", "rest", "weight", "last")
     every = every.withColumn("place", F.when(F.col("pass").isNotNull(), F.xxhash64(F.lit(seed + 1), "k_hash", "pass")))
     return _with_source(every, targets.select("source", "source_size", "target"))
 
 
+def _picked(docs: DataFrame) -> DataFrame:
+    """docs with `last`: whether a document of at most `gap` words is among the first of its source, by (block, k_hash, k_id), that `gap` holds together. Prefix sums are taken within blocks, then over blocks."""
+    fits = F.when(F.col("weight") <= F.col("gap"), F.col("weight")).otherwise(0)
+    inside = W.partitionBy("source", "block").orderBy("k_hash", "k_id").rowsBetween(W.unboundedPreceding, 0)
+    over = W.partitionBy("source").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    sums = docs.groupBy("source", "block").agg(F.sum(fits).alias("words"))
+    sums = sums.select("source", "block", F.coalesce(F.sum("words").over(over), F.lit(0)).alias("before"))
+    local = docs.withColumn("running", F.sum(fits).over(inside))
+    both = local.alias("l").join(sums.alias("r"), [F.col("l.source").eqNullSafe(F.col("r.source")), F.col("l.block") == F.col("r.block")])
+    last = (F.col("l.weight") <= F.col("l.gap")) & (F.col("r.before") + F.col("l.running") <= F.col("l.gap"))
+    return both.select("l.*", last.alias("last")).drop("running")
+
+
+def _toggled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with `last` turned over for the documents of found."""
+    keys = [F.col("l.k_id").eqNullSafe(F.col("r.k_id")), F.col("l.k_hash") == F.col("r.k_hash")]
+    both = rows.alias("l").join(found.select("k_id", "k_hash", F.lit(True).alias("found")).alias("r"), keys, "left")
+    return both.select(*[f"l.{c}" for c in rows.columns if c != "last"], (F.col("l.last") != F.col("r.found").isNotNull()).alias("last"))
+
+
+def _filled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs (with the `gap` of their source) with `last`, whether they fill it, and (source, gap), what is missing then.
+
+    Documents above the gap are set aside; the others are taken in order as
+    long as the gap holds them. What is still missing is less than the next
+    document: rounds follow over the documents that are left and below the
+    power of two under the gap. Each either takes all of them or leaves a gap
+    below that power, so there are at most log2(gap) rounds. Of what is left
+    then, one document fits at most.
+    """
+    names = ["k_id", "k_hash", "source", "block", "weight"]
+    picked = written(_picked(docs), "mix-picked")
+    missing = F.first("gap") - F.sum(F.when(F.col("last"), F.col("weight")).otherwise(0))
+    gaps = written(picked.groupBy("source").agg(missing.alias("gap")), "mix-gaps")
+    first, more = picked.drop("gap"), []
+    while True:
+        below = F.pow(F.lit(2.0), F.length(F.bin(F.floor("gap").cast("long"))) - 1)
+        left = _with_source(picked.where("not last and weight > 0").select(*names), gaps).where(F.col("weight") < below)
+        left = written(left, "mix-left")
+        if left.isEmpty():
+            break
+        picked = written(_picked(left), "mix-round")
+        more.append(picked.where("last").select(*names))
+        taken = picked.where("last").groupBy("source").agg(F.sum("weight").alias("taken"))
+        both = gaps.alias("l").join(taken.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source")), "left")
+        gaps = written(both.select("l.source", (F.col("l.gap") - F.coalesce("r.taken", F.lit(0))).alias("gap")), "mix-gaps")
+    return written(_toggled(first, reduce(DataFrame.unionByName, more)), "mix-marked") if more else first, gaps
+
+
+def _last_pass(docs: DataFrame) -> DataFrame:
+    """docs (k_id, k_hash, source, block, weight, rest and more) with `last`: whether the last, partial pass takes them.
+
+    Where all short documents don't reach the rest, the shortest of the long
+    ones comes in and short ones of the same length in all go out. The
+    document whose size is nearest to what is missing then closes the gap.
+    """
+    marked, gaps = _filled(docs.withColumn("gap", F.col("rest")))
+    keys = ["k_id", "k_hash", "source", "block", "weight"]
+    near = _with_source(marked.where("not last").select(*keys, "rest"), gaps).withColumn("off", F.abs(F.col("gap") - F.col("weight")))
+    longer = F.when(F.col("weight") > F.col("gap"), F.col("weight"))
+    swaps = near.groupBy("source").agg(
+        F.least(F.first("gap"), F.min("off")).alias("miss"), (F.min(longer) - F.first("gap")).alias("over"), F.first("rest").alias("rest"),
+        F.min_by(F.struct("k_id", "k_hash"), F.when(F.col("weight") > F.col("gap"), F.struct("weight", "k_hash", "k_id"))).alias("b"),
+    )
+    swaps = written(swaps.where((F.col("miss") > F.col("rest") * NEAR) & F.col("over").isNotNull()).select("source", "miss", "over", "b.*"), "mix-swaps")
+    if not swaps.isEmpty():
+        held = _with_source(marked.where("last and weight > 0").select(*keys), swaps.select("source", F.col("over").alias("gap")))
+        out, over = _filled(held)
+        same = F.col("l.source").eqNullSafe(F.col("r.source"))
+        good = swaps.alias("l").join(over.alias("r"), same).where("r.gap < l.miss").select("l.source", "l.k_id", "l.k_hash", (-F.col("r.gap")).alias("gap"))
+        good = written(good, "mix-swapped")
+        gone = out.where("last").alias("l").join(good.alias("r"), same, "left_semi").select("k_id", "k_hash")
+        marked = written(_toggled(marked, gone.unionByName(good.select("k_id", "k_hash"))), "mix-marked")
+        both = gaps.alias("l").join(good.alias("r"), same, "left")
+        gaps = written(both.select("l.source", F.coalesce("r.gap", "l.gap").alias("gap")), "mix-gaps")
+    near = _with_source(marked.where("not last").select(*keys), gaps).withColumn("off", F.abs(F.col("gap") - F.col("weight"))).where("off < gap")
+    return _toggled(marked, written(near.groupBy("source").agg(F.min_by(F.struct("k_id", "k_hash"), F.struct("off", "k_hash", "k_id")).alias("b")).select("b.*"), "mix-closing"))
+
+
 def _with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
     both = rows.alias("l").join(sources.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source")))
     return both.select("l.*", *[f"r.{c}" for c in sources.columns if c != "source"])

@@ -1,3 +1,4 @@
+import random
 from collections import Counter, defaultdict
 
 import brute
@@ -133,6 +134,34 @@ def test_mix(make, odd_rows):
     assert sorted(map(str, got)) == sorted(map(str, mixing.taken_words(make(rows)).collect()))
 
 
+def test_mix_of_a_long_tail(make):
+    """Long documents at the crossing keep no source of many documents from its target."""
+    rows = [(1000 * s + k, "w " * (4000 if k == 0 else 9) + str(k), "en", f"s{s:02}") for s in range(12) for k in range(401)]
+    got = mixing.taken_words(make(rows)).collect()
+    taken, goal = Counter(), {}
+    by_id = {r[0]: r[3] for r in rows}
+    for r in got:
+        taken[by_id[r.doc_id]] += r.taken
+        goal[by_id[r.doc_id]] = r.target
+    assert {s: taken[s] for s in goal} == pytest.approx(goal, rel=0.005)
+
+
+def test_last_pass(spark):
+    """What is missing is less than any document left; many short documents besides long ones leave a small miss."""
+    rng = random.Random(1)
+    rows = [(k, rng.getrandbits(62), s, rng.randrange(8), int(rng.paretovariate(0.6)), rest) for s, rest in (("a", 5000.0), ("b", 77.5), (None, 3.0), ("d", 0.0)) for k in range(300)]
+    # Sources that differ in the places of their documents only: without its long document none has 1,500 words.
+    rows += [(k, rng.getrandbits(62), f"e{s}", rng.randrange(8), 1000 if k == 0 else 5, 1500.0) for s in range(30) for k in range(201)]
+    docs = spark.createDataFrame(rows, "k_id long, k_hash long, source string, block int, weight long, rest double").repartition(3)
+    got = mixing._last_pass(docs).collect()
+    assert sorted(r.k_hash for r in got) == sorted(r[1] for r in rows)
+    for source, rest in {(r[2], r[5]) for r in rows}:
+        mine = [r for r in got if r.source == source]
+        gap = rest - sum(r.weight for r in mine if r.last)
+        assert gap < min((r.weight for r in mine if not r.last), default=1)
+        assert abs(gap) <= (0 if source and source[0] == "e" else 1)
+
+
 def test_mix_rows_agree_with_taken(make, odd_rows):
     rows = mixed_rows(odd_rows)
     docs = make(rows)
