@@ -2,10 +2,17 @@
 
 Characters other than letters count as spaces, letters are lower-cased. Around
 each letter stand a unigram, a bigram with what follows and a trigram with both
-neighbours; each is hashed to one of 2**16 buckets. Counts per language are
-summed by Spark; the log-probability matrix (languages x buckets, at most
-MAX_LANGUAGES rows) is broadcast, and batches of whole texts are scored in
-numpy by gathering the columns of their n-grams.
+neighbours; each is hashed to a bucket, unigrams to buckets of their own.
+Counts per language are summed by Spark. A bucket's probability in a language is
+its share of the language's n-grams, mixed with a floor that is the same for all
+languages: the matrix holds log-probabilities relative to that floor, so that an
+n-gram no language was seen with is 0 everywhere and speaks for none of them.
+The matrix is broadcast, and batches of whole texts are scored in numpy by
+gathering the rows of their n-grams.
+
+The score is no posterior of the whole text, which is 1 for all but the shortest
+texts: it is the posterior that EVIDENCE letters of the text's average evidence
+give, times the share of letters that some language was seen with.
 """
 
 from __future__ import annotations
@@ -19,13 +26,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 16
-SMOOTHING = 0.1
+from proofmill.llm.common import inline
+
+#: Buckets of unigrams, and of bigrams and trigrams.
+LETTER_BUCKETS = 1 << 14
+PAIR_BUCKETS = 1 << 16
+BUCKETS = LETTER_BUCKETS + PAIR_BUCKETS
+#: The part of a language's probability that is spread over all buckets alike.
+FLOOR = 0.01
+#: Languages that are learned at most, those of the most labelled rows: a bound of the sample, which keeps the matrix at 168 MB.
 MAX_LANGUAGES = 512
+#: Letters whose evidence the score weighs.
+EVIDENCE = 4
 #: Expected number of documents that a language is learned from; all of them if it has fewer.
 TRAIN_DOCS = 5_000
-#: Below this posterior a text's language counts as unknown.
-MIN_SCORE = 0.6
+#: Below this score a text's language counts as unknown.
+MIN_SCORE = 0.5
 UNKNOWN = "und"
 _SLICE = 1 << 18
 
@@ -82,59 +98,74 @@ def grams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             mixed = np.stack([mid * np.uint32(0x27D4EB2F) + np.uint32(1), two + np.uint32(2), three + np.uint32(3)])
             mixed ^= mixed >> np.uint32(15)
             mixed *= np.uint32(0x2C1B3C6D)
-            yield mixed >> np.uint32(16), owner[at]
+            mixed[0] >>= np.uint32(18)
+            mixed[1:] >>= np.uint32(16)
+            mixed[1:] += np.uint32(LETTER_BUCKETS)
+            yield mixed, owner[at]
 
 
 @dataclass(frozen=True)
 class Model:
-    """Languages in code-point order, their log priors and the (buckets, languages) log-probabilities."""
+    """Languages in code-point order, their log priors and the (buckets, languages) log-probabilities relative to the floor."""
 
     languages: tuple[str, ...]
     priors: np.ndarray
     matrix: np.ndarray
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(language number, posterior) of each text; number -1 without a letter or a language."""
+        """(language number, score) of each text; number -1 without a letter or a language."""
         total = np.zeros((len(texts), len(self.languages)))
-        seen = np.zeros(len(texts), dtype=bool)
+        letters, known = np.zeros(len(texts)), np.zeros(len(texts))
+        seen = self.matrix[:LETTER_BUCKETS].any(axis=1)
         for buckets, owner in grams(texts):
             first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             ids = owner[first]
-            seen[ids] = True
+            letters[ids] += np.diff(np.r_[first, len(owner)])
+            known[ids] += np.add.reduceat(seen[buckets[0]], first, dtype=np.int64)
             if self.languages:
                 for order in buckets:
                     total[ids] += np.add.reduceat(self.matrix[order], first, axis=0, dtype=np.float64)
         if not self.languages:
             return np.full(len(texts), -1), np.zeros(len(texts))
-        total += self.priors
-        total -= total.max(axis=1, keepdims=True)
-        best = total.argmax(axis=1)
-        posterior = 1.0 / np.exp(total).sum(axis=1)
-        return np.where(seen, best, -1), np.where(seen, posterior, 0.0)
-
-
-def train(labelled: DataFrame, max_docs: int = TRAIN_DOCS) -> Model:
-    """A model from (lang, text). Languages with more than max_docs rows learn from a seeded sample that holds about max_docs of them. Rows without a language or text teach nothing."""
-    spark = labelled.sparkSession
-    rows = labelled.where(F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "key", "text")
-    totals = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+        rows = np.arange(len(texts))
+        best = (total + self.priors).argmax(axis=1)
+        weight = np.minimum(1.0, EVIDENCE / np.maximum(letters, 1.0))
+        tempered = total * weight[:, None] + self.priors
+        tempered -= tempered[rows, best][:, None]
+        posterior = 1.0 / np.exp(np.minimum(tempered, 700.0)).sum(axis=1)
+        return np.where(letters > 0, best, -1), posterior * known / np.maximum(letters, 1.0)
+
+
+def log_ratios(counts: np.ndarray) -> np.ndarray:
+    """Log-probabilities relative to the floor from (buckets, languages) counts; every language has one at least."""
+    share = counts / counts.sum(axis=0)
+    return np.log1p(share * ((1 - FLOOR) * BUCKETS / FLOOR)).astype(np.float32)
+
+
+def train(labelled: DataFrame, max_docs: int = TRAIN_DOCS, max_languages: int = MAX_LANGUAGES) -> Model:
+    """A model from (lang, key, text).
+
+    Languages with more than max_docs rows learn from a sample that holds about
+    max_docs of them, seeded by key. Of more than max_languages, those with the
+    most rows are learned. Rows without a language or text teach nothing, and a
+    language whose sample has no letter isn't learned. Priors are the languages'
+    shares of the rows that have a text.
+    """
+    rows = labelled.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "key", "text")
+    totals = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
     if not totals:
         return Model((), np.zeros(0), np.zeros((BUCKETS, 0), dtype=np.float32))
-    share = F.lit(0.0)
-    for r in totals:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, max_docs / r["n"])).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64(F.lit(11), "key"), F.lit(1 << 30)) < share * (1 << 30)).where("text is not null")
+    sizes = {r["lang"]: r["n"] for r in totals}
+    share = inline(rows.sparkSession, [(lang, min(1.0, max_docs / n)) for lang, n in sizes.items()], "lang string, share double")
+    sample = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64(F.lit(11), "key"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs = batch.column(0).to_pylist()
-            for lang in set(langs):
-                mine = [t for t, of in zip(batch.column(1).to_pylist(), langs, strict=True) if of == lang]
+            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for lang in sorted(set(langs)):
                 held = sums.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
-                for buckets, _ in grams(mine):
+                for buckets, _ in grams([t for t, of in zip(texts, langs, strict=True) if of == lang]):
                     held += np.bincount(buckets.ravel(), minlength=BUCKETS)
         for lang, held in sums.items():
             at = np.flatnonzero(held)
@@ -142,15 +173,14 @@ def train(labelled: DataFrame, max_docs: int = TRAIN_DOCS) -> Model:
 
     counts = sample.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long")
     table = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    languages = tuple(r["lang"] for r in totals)
-    place = {lang: k for k, lang in enumerate(languages)}
-    matrix = np.zeros((BUCKETS, len(languages)))
-    columns = np.array([place[x] for x in table["lang"].to_pylist()], dtype=np.int64)
-    matrix[table["bucket"].to_numpy(), columns] = table["n"].to_numpy()
-    matrix += SMOOTHING
-    matrix = np.log(matrix / matrix.sum(axis=0)).astype(np.float32)
-    known = np.array([r["n"] for r in totals], dtype=float)
-    return Model(languages, np.log(known / known.sum()), matrix)
+    names = table["lang"].combine_chunks().dictionary_encode()
+    learned = names.dictionary.to_pylist()
+    matrix = np.zeros((BUCKETS, len(learned)))
+    matrix[table["bucket"].to_numpy(), names.indices.to_numpy()] = table["n"].to_numpy()
+    order = sorted(range(len(learned)), key=lambda k: learned[k])
+    languages = tuple(learned[k] for k in order)
+    known = np.array([sizes[lang] for lang in languages], dtype=float)
+    return Model(languages, np.log(known / known.sum()), log_ratios(matrix[:, order]))
 
 
 def predict(spark, model: Model, text: Column) -> Column:
@@ -159,9 +189,9 @@ def predict(spark, model: Model, text: Column) -> Column:
 
     @F.arrow_udf("lang_pred string, score double")
     def scored(texts: pa.Array) -> pa.Array:
-        best, posterior = shared.value.score(texts.to_pylist())
+        best, score = shared.value.score(texts.to_pylist())
         names = (*shared.value.languages, UNKNOWN)
-        return pa.StructArray.from_arrays([pa.array([names[k] for k in best.tolist()], pa.string()), pa.array(posterior)], ["lang_pred", "score"])
+        return pa.StructArray.from_arrays([pa.array([names[k] for k in best.tolist()], pa.string()), pa.array(score)], ["lang_pred", "score"])
 
     return scored(text)
 
@@ -171,21 +201,26 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
+def trained(docs: DataFrame, max_docs: int = TRAIN_DOCS) -> Model:
+    """The model of the documents that are not held out."""
+    return train(docs.where(~held_out(F.col("doc_id"))).select("lang", F.col("doc_id").alias("key"), "text"), max_docs)
+
+
 def identify(docs: DataFrame, max_docs: int = TRAIN_DOCS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score), a row for each row of docs.
 
     Learns from the languages of the documents that are not held out. Without
-    any, every text is `und`. Very long texts are scored whole, in slices.
+    any, every text is `und`. Very long texts are scored whole, in slices. A
+    text in letters that no language was seen with gets the most frequent
+    language, at a score near 0.
     """
-    learn = docs.where(~held_out(F.col("doc_id"))).select("lang", F.col("doc_id").alias("key"), "text")
-    model = train(learn, max_docs)
+    model = trained(docs, max_docs)
     found = docs.select(F.col("doc_id").alias("doc_id"), predict(docs.sparkSession, model, F.col("text")).alias("p"))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "p.lang_pred", "p.score")
 
 
 def keep_known(docs: DataFrame, min_score: float = MIN_SCORE, max_docs: int = TRAIN_DOCS) -> DataFrame:
     """The rows of docs, all columns, whose language is known: not `und`, and at min_score or more."""
-    learn = docs.where(~held_out(F.col("doc_id"))).select("lang", F.col("doc_id").alias("key"), "text")
-    model = train(learn, max_docs)
+    model = trained(docs, max_docs)
     found = docs.select(F.struct("*").alias("row"), predict(docs.sparkSession, model, F.col("text")).alias("p"))
     return found.where((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.score") >= min_score)).select("row.*")

@@ -1,7 +1,9 @@
 """Plain re-statements of what the operators of this subpackage must return."""
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import xxhash
@@ -111,3 +113,42 @@ def phrases(text):
                 starts.append(k)
                 labels.add(label)
     return len(w), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels))
+
+
+def grams(text):
+    """(unigram, bigram, trigram) buckets of each letter."""
+    mask = (1 << 32) - 1
+    codes = [32] + [ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else ord(c) if c.isalpha() else 32 for c in text or ""] + [32]
+    for a, b, c in zip(codes, codes[1:], codes[2:]):
+        if b != 32:
+            two = b * 0x9E3779B1 + c * 0x85EBCA6B
+            mixed = [(b * 0x27D4EB2F + 1) & mask, (two + 2) & mask, (two + a * 0xC2B2AE35 + 3) & mask]
+            mixed = [(m ^ m >> 15) * 0x2C1B3C6D & mask for m in mixed]
+            yield mixed[0] >> 18, (mixed[1] >> 16) + (1 << 14), (mixed[2] >> 16) + (1 << 14)
+
+
+def languages(docs, floor=0.01, evidence=4):
+    """(language, score) of each (doc_id, text, lang), learned from those that aren't held out."""
+    counts, rows = defaultdict(Counter), Counter()
+    for i, text, lang in docs:
+        if zlib.crc32(str("" if i is None else i).encode()) % 3 != 1 and lang is not None and text is not None:
+            rows[lang] += 1
+            for three in grams(text):
+                counts[lang].update(three)
+    names = sorted(k for k in counts if counts[k])
+    total = {k: sum(counts[k].values()) for k in names}
+    everyone = sum(rows[k] for k in names)
+    prior = {k: math.log(rows[k] / everyone) for k in names}
+    seen = {b for k in names for b in counts[k]}
+    for _, text, _ in docs:
+        found = list(grams(text))
+        if not found or not names:
+            yield "und", 0.0
+            continue
+        each = Counter(b for three in found for b in three)
+        buckets = (1 << 14) + (1 << 16)
+        log = {k: sum(n * math.log1p(counts[k][b] / total[k] * (1 - floor) * buckets / floor) for b, n in each.items() if b in counts[k]) for k in names}
+        best = max(names, key=lambda k: log[k] + prior[k])
+        weight = min(1.0, evidence / len(found))
+        tempered = {k: log[k] * weight + prior[k] for k in names}
+        yield best, 1 / sum(math.exp(min(tempered[k] - tempered[best], 700.0)) for k in names) * sum(one in seen for one, _, _ in found) / len(found)

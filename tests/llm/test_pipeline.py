@@ -2,7 +2,7 @@ import brute
 import corpus_pipeline
 from oracle import connect, duck_rows, spark_rows
 
-from proofmill.llm import queries
+from proofmill.llm import language, queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -16,7 +16,9 @@ def test_stages(spark):
         kept.append(corpus_pipeline.written(stage(spark, kept[-1], SF), "test-stage"))
     assert all(d.columns == columns for d in kept[:-1])
     known, single, clean, mixed, sharded = ([tuple(r) for r in d.collect()] for d in kept[1:])
-    assert len(known) == docs.count()
+    every = [tuple(r) for r in docs.collect()]
+    scores = brute.languages([r[:3] for r in every])
+    assert sorted(known) == sorted(r for r, (lang, score) in zip(every, scores, strict=True) if lang != "und" and score >= language.MIN_SCORE)
     roots = brute.components({r[0]: brute.fingerprint(r[1]) for r in known})
     assert {r[0] for r in single} == set(roots.values())
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

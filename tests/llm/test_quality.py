@@ -1,4 +1,5 @@
 import random
+import time
 
 import brute
 import numpy as np
@@ -7,6 +8,8 @@ from rows import passage
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from proofmill.llm import decontaminate, language, licenses, queries
 
 SF = "/root/testdata/sf0.01"
@@ -37,6 +40,20 @@ def test_contamination(make, items, odd_rows, broadcast_rows):
     assert sorted(order((r.doc_id, r.n_words, r.n_hit, r.item_ids)) for r in got) == sorted(map(order, expected))
 
 
+def test_a_very_long_document(make, items):
+    """Time grows with the length of a text, not with its square."""
+    words = passage(60, 300_000).split()
+    at = [1000, 150_000, 299_000]
+    for a in at:
+        words[a : a + 12] = passage(50, 30).split()[5:17]
+    words[200_000:200_003] = "four", "short", "words"
+    start = time.monotonic()
+    (got,) = decontaminate.contamination(make([(1, " ".join(words))]), items).collect()
+    assert (got.n_words, got.item_ids) == (300_000, ["1", "6"])
+    assert got.n_hit == 36 + words.count("lone")
+    assert time.monotonic() - start < 30
+
+
 def test_keep_clean(make, items, odd_rows):
     rows = [*odd_rows, *dirty_rows()]
     docs = make(rows)
@@ -72,6 +89,35 @@ def test_language_odd_rows(make, odd_rows):
     assert kept.count() <= len(odd_rows) - unknown
 
 
+def test_language_against_plain_counts(make, odd_rows):
+    """Predictions and scores are those of a plain naive Bayes; unseen letters have a low score, and a language without text isn't learned."""
+    rng = random.Random(6)
+    words = {"en": "the house of people is here and there with that".split(), "fr": "la maison des gens est ici avec les autres où".split(), "de": "das haus der leute ist hier und dort über".split()}
+    rows = [(100 + k, " ".join(rng.choices(words[lang], k=rng.randint(1, 30))), lang) for k in range(120) for lang in [rng.choice("en en en fr de".split())]]
+    rows += [(900 + k, None, "xx") for k in range(12)] + [(950 + k, "123 !", "yy") for k in range(12)]
+    rows += [(1000, "中文文本 測試", None), (1001, "Ελληνικά κείμενα", None), (1002, "the house des gens", None), (1003, "ΘΘ the", None)]
+    rows += [r[:3] for r in odd_rows]
+    docs = make(rows)
+    found = docs.select("doc_id", "text", language.predict(docs.sparkSession, language.trained(docs), F.col("text")).alias("p")).collect()
+    expected = dict(zip([r[:2] for r in rows], brute.languages(rows), strict=True))
+    assert len(found) == len(rows)
+    for i, text, (lang, score) in found:
+        own, plain = expected[i, text]
+        assert lang == own, text
+        assert score == pytest.approx(plain, abs=1e-5), text
+        assert lang not in ("xx", "yy")
+        assert score < 0.1 or i not in (1000, 1001)
+    kept = {r.doc_id for r in language.keep_known(make(rows)).collect()}
+    assert not kept & {1000, 1001, 900, 950}
+    assert 102 in kept
+
+
+def test_rare_languages_are_left_out(make):
+    rows = [(k, "some text", "en" if k % 2 else f"l{k}") for k in range(60)]
+    docs = make(rows).select("lang", F.col("doc_id").alias("key"), "text")
+    assert language.train(docs, max_languages=3).languages == ("en", "l0", "l10")
+
+
 def test_language_without_labels(make):
     assert [r.lang_pred for r in language.identify(make([(1, "text"), (2, "more")])).collect()] == ["und", "und"]
     assert language.identify(make([])).count() == 0
