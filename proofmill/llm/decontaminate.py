@@ -30,82 +30,94 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
-def _grams(words: Column, n: int) -> Column:
-    """The hash of the n words from each place on."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.slice(words, i, n)))).otherwise(
-        F.array().cast("array<bigint>")
-    )
+def _run(array: Column, first: Column, n: int) -> list[Column]:
+    """The n elements from index `first` (from 0) on, null outside the array. One look-up each: slices in lambdas copy the whole array for each place."""
+    return [F.get(array, first + k) for k in range(n)]
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), an array, with value made once."""
+    return F.flatten(F.transform(F.array(value), body))
+
+
+def _gram(hashes: Column, first: Column, n: int) -> Column:
+    return F.xxhash64(*_run(hashes, first, n))
 
 
-def _winnowed(words: Column) -> Column:
-    """The places (from 1) of the first least gram of each SPAN grams in a row.
+def _winnowed(hashes: Column) -> Column:
+    """The places (from 1) of the first least gram of each SPAN grams in a row, from the hashes of the words.
 
     A gram is a number of its hash's high bits and its place, so that the least
     number of a stretch gives the least hash and where it stands first. A
     string holds fewer words than places have room for.
     """
     place = (1 << PLACE_BITS) - 1
-    grams = F.transform(
-        F.sequence(F.lit(1), F.size(words) - (GRAM - 1)),
-        lambda i: F.xxhash64(F.slice(words, i, GRAM)).bitwiseAND(F.lit(~place)).bitwiseOR(i.cast("long")),
-    )
-    starts = F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))
-    least = lambda a: F.array_distinct(F.transform(starts, lambda s: F.array_min(F.slice(a, s, SPAN)).bitwiseAND(F.lit(place)).cast("int")))
-    # One element, so that the grams are made once for all stretches.
-    found = F.flatten(F.transform(F.array(grams), least))
-    return F.when(F.size(words) >= WINDOW, found).otherwise(F.array().cast("array<int>"))
+    upto = lambda n: F.sequence(F.lit(0), F.size(hashes) - n)
+    grams = F.transform(upto(GRAM), lambda i: _gram(hashes, i, GRAM).bitwiseAND(F.lit(~place)).bitwiseOR((i + 1).cast("long")))
+    least = lambda a: F.array_distinct(F.transform(upto(WINDOW), lambda s: F.least(*_run(a, s, SPAN)).bitwiseAND(F.lit(place)).cast("int")))
+    return F.when(F.size(hashes) >= WINDOW, _let(grams, least)).otherwise(F.array().cast("array<int>"))
+
+
+def _entry(hashes: Column, place: Column, kind: int, n: int) -> Column:
+    return F.struct(place.alias("place"), F.lit(kind).alias("kind"), _gram(hashes, place - 1, n).alias("hash"))
+
+
+def _entries(hashes: Column, lengths: list[int]) -> Column:
+    """(place, kind, hash): kind 0 for winnowed grams, and all grams of the lengths, which are their kinds."""
 
+    def every(n: int) -> Column:
+        of_length = F.transform(F.sequence(F.lit(1), F.size(hashes) - n + 1), lambda p: _entry(hashes, p, n, n))
+        return F.when(F.size(hashes) >= n, of_length).otherwise(F.array().cast("array<struct<place:int,kind:int,hash:bigint>>"))
 
-def _places(hashes: Column, kind: int) -> Column:
-    return F.transform(hashes, lambda h, i: F.struct((i + 1).alias("place"), F.lit(kind).alias("kind"), h.alias("hash")))
+    return F.concat(F.transform(_winnowed(hashes), lambda p: _entry(hashes, p, 0, GRAM)), *map(every, lengths))
 
 
 def _fingerprints(rows: DataFrame, lengths: list[int]) -> DataFrame:
-    """rows (with words) and `place`, `kind`, `hash`: kind 0 for winnowed grams, else the gram's length."""
-    entry = F.transform(
-        _winnowed(F.col("words")), lambda p: F.struct(p.alias("place"), F.lit(0).alias("kind"), F.xxhash64(F.slice("words", p, GRAM)).alias("hash"))
-    )
-    short = [_places(_grams(F.col("words"), n), n) for n in lengths]
-    entries = F.concat(entry, *short) if short else entry
-    return rows.select(*rows.columns, F.explode(entries).alias("e")).select(*rows.columns, "e.place", "e.kind", "e.hash")
+    """rows (with words) and `place`, `kind`, `hash`: kind 0 for winnowed grams, else the gram's length. A text without any has a row of nulls, which joins nothing."""
+    # Made before they are exploded: explode then runs in generated code, which copies no words for each fingerprint.
+    # The outer form, for Spark pushes a filter on the size of what a plain explode reads down to the text, and makes the words anew for each place.
+    made = rows.withColumn("entries", _let(F.transform("words", lambda w: F.xxhash64(w)), lambda h: _entries(h, lengths)))
+    return made.select(*rows.columns, F.explode_outer("entries").alias("e")).select(*rows.columns, "e.place", "e.kind", "e.hash")
+
+
+def _context(words: Column, place: Column) -> tuple[list[Column], list[Column], list[Column]]:
+    """The words before a gram, the nearest first, those of the gram and those after it."""
+    around = WINDOW - GRAM
+    return _run(words, place - 1 - around, around)[::-1], _run(words, place - 1, GRAM), _run(words, place - 1 + GRAM, around)
 
 
 def item_fingerprints(items: DataFrame) -> DataFrame:
-    """(hash, kind, item_id, before, gram, after): the fingerprints of benchmark items with the words around them, the nearest first."""
+    """(hash, kind, item_id, before, gram, after): the fingerprints of benchmark items with the words around them, the nearest first, null outside the item."""
     rows = items.select("item_id", words_of(F.col("text")).alias("words"))
-    place, words = F.col("place"), F.col("words")
-    around = WINDOW - GRAM
+    before, gram, after = _context(F.col("words"), F.col("place"))
     long = _fingerprints(rows.where(F.size("words") >= WINDOW), []).select(
-        "hash", "kind", "item_id",
-        _before(words, place, around).alias("before"), F.slice(words, place, GRAM).alias("gram"), F.slice(words, place + GRAM, around).alias("after"),
+        "hash", "kind", "item_id", F.array(*before).alias("before"), F.array(*gram).alias("gram"), F.array(*after).alias("after")
     )
     none = F.array().cast("array<string>")
-    short = rows.where(F.size("words").between(1, WINDOW - 1)).select(
-        F.xxhash64("words").alias("hash"), F.size("words").alias("kind"), "item_id", none.alias("before"), F.col("words").alias("gram"), none.alias("after")
-    )
+    short = rows.where(F.size("words").between(1, WINDOW - 1))
+    # A short item is one gram: that of its own length.
+    short = _fingerprints(short, list(range(1, WINDOW))).where(F.col("kind") == F.size("words"))
+    short = short.select("hash", "kind", "item_id", none.alias("before"), F.col("words").alias("gram"), none.alias("after"))
     return long.unionByName(short).distinct()
 
 
-def _before(words: Column, place: Column, n: int) -> Column:
-    take = F.least(place - 1, F.lit(n))
-    return F.reverse(F.slice(words, place - take, take))
-
-
-def _agreeing(a: Column, b: Column) -> Column:
-    """How many first elements of two arrays are equal."""
-    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
-    first = F.array_position(same, F.lit(False)).cast("int")
-    return F.when(first == 0, F.size(same)).otherwise(first - 1)
+def _agreeing(a: list[Column], b: Column) -> Column:
+    """How many first words of a equal those of the array b; null equals nothing."""
+    found = F.lit(len(a))
+    for k in reversed(range(len(a))):
+        found = F.when(F.coalesce(a[k] == F.get(b, F.lit(k)), F.lit(False)), found).otherwise(k)
+    return found
 
 
 def _extended(hits: DataFrame) -> DataFrame:
     """(k_id, k_text, item_id, start, stop) of the hits whose words agree over a whole window; places from 1, stop excluded."""
-    words, place = F.col("words"), F.col("place")
-    around = WINDOW - GRAM
-    left = F.when(F.col("kind") == 0, _agreeing(_before(words, place, around), F.col("before"))).otherwise(0)
-    right = F.when(F.col("kind") == 0, _agreeing(F.slice(words, place + GRAM, around), F.col("after"))).otherwise(0)
-    size = F.size("gram")
-    kept = hits.where(F.slice(words, place, size) == F.col("gram")).select("k_id", "k_text", "item_id", "kind", "place", size.alias("size"), left.alias("left"), right.alias("right"))
+    words, place, size = F.col("words"), F.col("place"), F.size("gram")
+    before, _, after = _context(words, place)
+    left = F.when(F.col("kind") == 0, _agreeing(before, F.col("before"))).otherwise(0)
+    right = F.when(F.col("kind") == 0, _agreeing(after, F.col("after"))).otherwise(0)
+    # A gram holds GRAM words, or those of a short item.
+    same = _agreeing(_run(words, place - 1, WINDOW - 1), F.col("gram")) >= size
+    kept = hits.where(same).select("k_id", "k_text", "item_id", "kind", "place", size.alias("size"), left.alias("left"), right.alias("right"))
     kept = kept.where((F.col("kind") > 0) | (F.col("left") + F.col("right") + GRAM >= WINDOW))
     return kept.select("k_id", "k_text", "item_id", (place - F.col("left")).alias("start"), (place + F.col("size") + F.col("right")).alias("stop"))
 
