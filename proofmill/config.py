@@ -32,11 +32,13 @@ LANGUAGE_ALIASES = {
     "cn": "zh", "zh": "zh", "zn": "zh", "kr": "ko", "il": "he", "in": "hi", "gr": "el", "se": "sv", "dk": "da", "ua": "uk", "ee": "et", "kz": "kk",
     "rs": "sr-latn", "sr": "sr-latn", "cz": "cs", "jp": "ja", "pt": "pt", "az": "az", "si": "sl",
 }
+# Fixed values.
 #: File stems that are never a language; a site adds its own words.
 NOT_LANGUAGES = (
     "logo", "icon", "btn", "mid", "bg", "bm", "bc", "wl", "vday", "promo", "email", "feb", "day", "valentine", "img", "done", "transl", "banner",
     "preview", "default", "thumb", "new", "top", "all", "web", "app",
 )
+# Fixed values.
 #: Words that stand before a language code in a file name; a site adds its own.
 VARIANT_PREFIXES = ("wl", "bc", "bm", "vday")
 

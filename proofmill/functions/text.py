@@ -40,12 +40,20 @@ PLACEHOLDER = "(?i)" + "|".join(
 )
 LEVELS = ("strict", "soft", "consensus")
 #: Any character but ASCII and the letters from U+00C0 to U+024F. Most texts have none: nothing in them is deleted or
-#: folded, and classes of a few ranges, which match several times faster, do the work of the general ones.
+#: folded, and classes of single characters, which match ten times faster, do the work of the general ones.
 NOT_PLAIN = r"[^\x00-\x9F\xC0-\x{24F}]"
-PLAIN_LETTERS = r"\xC0-\xD6\xD8-\xF6\xF8-\x{24F}"
-PLAIN_WS = r"\x09-\x0D\x1C-\x20\x85"
-PLAIN_STRICT_DROP = rf'[^a-z0-9_!?".,$%&{PLAIN_LETTERS}]+'
-PLAIN_STRICT_DROP_FR = rf'[^a-z0-9_!?".,$%&:;{PLAIN_LETTERS}]+'
+
+
+def _singles(*ranges: tuple[int, int]) -> str:
+    """The characters of ranges below U+0100 one by one, for a class: Java looks single characters up in a table, but goes through the ranges of a class one after another."""
+    return "".join(f"\\x{c:02X}" for first, last in ranges for c in range(first, last + 1))
+
+
+PLAIN_LETTERS = _singles((0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0xFF)) + r"\x{100}-\x{24F}"
+PLAIN_WS = _singles((0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85))
+_KEPT = _singles((ord("a"), ord("z")), (ord("0"), ord("9"))) + '_!?".,$%&'
+PLAIN_STRICT_DROP = rf"[^{_KEPT}{PLAIN_LETTERS}]+"
+PLAIN_STRICT_DROP_FR = rf"[^{_KEPT}:;{PLAIN_LETTERS}]+"
 PLAIN_CONSENSUS_DROP = rf"""[!"#&'()*,\-./:;?@\\_{{}}{PLAIN_WS}]+"""
 
 
@@ -93,8 +101,9 @@ def remove_brand(text: Column, brand: str | None) -> Column:
 
 
 def remove_placeholders(text: Column | str) -> Column:
-    """Known placeholders become a space; other %..%, [..] and <..> stay."""
-    return F.regexp_replace(_text(text), PLACEHOLDER, " ")
+    """Known placeholders become a space; other %..%, [..] and <..> stay. Most texts have no character that opens one."""
+    t = _text(text)
+    return F.when(t.rlike(r"[%\[<]"), F.regexp_replace(t, PLACEHOLDER, " ")).otherwise(t)
 
 
 def has_placeholder(text: Column | str) -> Column:
@@ -170,4 +179,4 @@ def has_letter_or_digit(text: Column | str) -> Column:
 
 def words(text: Column) -> Column:
     """The words of a normalised text (single spaces); none if it is empty."""
-    return F.filter(F.split(text, " "), lambda x: x != "")
+    return F.array_remove(F.split(text, " "), "")

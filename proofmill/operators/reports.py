@@ -60,12 +60,20 @@ def reason_counts(rows: DataFrame) -> DataFrame:
     return counts.groupBy("session_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("reasons"))
 
 
-def session_meta(rows: DataFrame, calls: DataFrame) -> DataFrame:
-    """(session_id, meta): counters and judge totals as one JSON document."""
+def session_meta(rows: DataFrame, calls: DataFrame, locked: DataFrame, details: DataFrame) -> DataFrame:
+    """(session_id, meta): counters, judge totals, the locked section and reason texts as one JSON document.
+
+    locked has (session_id, section_no, section_name), details (session_id,
+    reason, detail). A reason has one text, its first in order: texts of each
+    image stay in a table, so that no session's document grows with its rows.
+    """
+    texts = details.groupBy("session_id", "reason").agg(F.min("detail").alias("detail")).where("detail is not null")
+    texts = texts.groupBy("session_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "detail")))).alias("reason_texts"))
     both = session_totals(rows).join(judge_totals(calls), "session_id", "left").join(reason_counts(rows), "session_id", "left")
+    both = both.join(locked, "session_id", "left").join(texts, "session_id", "left")
     both = both.na.fill(0, ["calls", "flips"]).na.fill(0.0, ["cost"])
-    doc = F.struct("total", "passed", "manual", "unresolved", "disagreeing", "calls", "flips", "cost", "reasons")
-    return both.select("session_id", F.to_json(doc).alias("meta"))
+    doc = F.struct("total", "passed", "manual", "unresolved", "disagreeing", "section_no", "section_name", "calls", "flips", "cost", "reasons", "reason_texts")
+    return both.select("session_id", F.to_json(doc, {"ignoreNullFields": "false"}).alias("meta"))
 
 
 def judge_totals(calls: DataFrame) -> DataFrame:
@@ -78,13 +86,18 @@ def judge_totals(calls: DataFrame) -> DataFrame:
 
 
 def page(rows: DataFrame, number: int, size: int = 20, order: str = "id") -> DataFrame:
-    """One page in order, with the number of rows and pages."""
+    """One page in order, with the number of rows and pages. It counts and sorts the rows each time: page_after goes through many pages."""
     total = rows.count()
     pages = max(1, -(-total // size))
     counts = [F.lit(total).cast("long").alias("total_rows"), F.lit(pages).cast("long").alias("total_pages")]
     return rows.orderBy(order).offset((number - 1) * size).limit(size).select("*", *counts)
 
 
+def page_after(rows: DataFrame, last=None, size: int = 20, order: str = "id") -> DataFrame:
+    """The page that follows the key `last` (the first one if it is None), in order. Keys are distinct; the filter reaches the scan, and a task keeps its first `size` rows."""
+    return (rows if last is None else rows.where(F.col(order) > F.lit(last))).orderBy(order).limit(size)
+
+
 def english_first(lang: Column) -> Column:
     """Sort key: English rows before the others."""
     return F.when(F.lower(F.replace(F.coalesce(lang, F.lit("")), F.lit("_"), F.lit("-"))).startswith("en"), 0).otherwise(1)
@@ -136,6 +149,7 @@ def progress(events: DataFrame) -> DataFrame:
 
 
 def latest(rows: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
-    """The last row of each key: what an upsert leaves."""
-    by = W.partitionBy(*keys).orderBy(F.desc(ts))
-    return rows.withColumn("rank", F.row_number().over(by)).where("rank = 1").drop("rank")
+    """The last row of each key: what an upsert leaves. Rows are combined before they are shuffled; of rows at the same time, a hash of the row settles which stays."""
+    hashed = F.xxhash64(*[F.col(f.name) for f in rows.schema if "map<" not in f.dataType.simpleString()])
+    last = F.max_by(F.struct(*rows.columns), F.struct(F.col(ts), hashed))
+    return rows.groupBy(*keys).agg(last.alias("last_row")).select("last_row.*")

@@ -104,8 +104,8 @@ def name_score(name: Column) -> Column:
 
 
 def token_count(text: Column, lang: Column) -> Column:
-    """Words, or characters where a language has no spaces."""
-    return F.when(lang.isin(*CJK), F.length(F.regexp_replace(text, f"[{T.WS}]", ""))).otherwise(F.size(T.words(text)))
+    """Words of any text, or its characters but white space where a language has no spaces. A null language has spaces."""
+    return F.when(F.coalesce(lang, F.lit("")).isin(*CJK), F.length(F.regexp_replace(text, f"[{T.WS}]", ""))).otherwise(F.size(T.words(T.collapse(text))))
 
 
 def with_forms(rows: DataFrame, text: str, prefix: str) -> DataFrame:
@@ -145,14 +145,25 @@ def score_sections(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return rows.withColumn("score", score).withColumn("warnings", warnings).drop("long_text")
 
 
-def apply_hints(pairs: DataFrame, keys: tuple[str, ...] = ("zone_id",)) -> DataFrame:
-    """Keeps the candidates that fit hint_number, then hint_name; a hint that fits none (or, for the name, has only one left) keeps all."""
-    by = W.partitionBy(*keys)
-    fits = F.coalesce(F.col("section_no") == F.col("hint_number"), F.lit(False))
-    rows = pairs.withColumn("fits", fits).withColumn("any", F.max("fits").over(by)).where("fits or not any")
-    named = F.coalesce((F.col("hint_name") != "") & F.contains(F.lower("name"), F.lower("hint_name")), F.lit(False))
-    rows = rows.withColumn("fits", named & (F.count("*").over(by) > 1)).withColumn("any", F.max("fits").over(by))
-    return rows.where("fits or not any").drop("fits", "any")
+def _fits(name: str) -> Column:
+    return F.coalesce({
+        "number": F.col("section_no") == F.col("hint_number"),
+        "name": (F.col("hint_name") != "") & F.contains(F.lower("name"), F.lower("hint_name")),
+    }[name], F.lit(False))
+
+
+def hint_flags(pairs: DataFrame) -> DataFrame:
+    """(zone_id, by_number, by_name): whether a zone's hint_number picks its candidates, and then its hint_name. A hint that fits none (or, for the name, has only one candidate left) picks nothing."""
+    number, name = _fits("number"), _fits("name")
+    counts = pairs.groupBy("zone_id").agg(F.count_if(number).alias("n"), F.count("*").alias("all"), F.max(number & name).alias("both"), F.max(name).alias("any"))
+    by_number = F.col("n") > 0
+    left, named = F.when(by_number, F.col("n")).otherwise(F.col("all")), F.when(by_number, F.col("both")).otherwise(F.col("any"))
+    return counts.select("zone_id", by_number.alias("by_number"), ((left > 1) & named).alias("by_name"))
+
+
+def picked() -> Column:
+    """Whether a candidate of a zone with hint_flags is one of those that the hints pick."""
+    return (_fits("number") | ~F.col("by_number")) & (_fits("name") | ~F.col("by_name"))
 
 
 def select_sections(readings: DataFrame, sections: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -166,10 +177,13 @@ def select_sections(readings: DataFrame, sections: DataFrame, config: Config = D
     known = sections.select("pack_id").distinct().withColumn("has_sections", F.lit(True))
     if "lang" in sections.columns:
         sections = sections.drop("lang")
-    pairs = with_forms(readings.where(~short), "reading", "r").join(with_section_facts(sections).drop("content"), "pack_id")
+    # Hints need numbers and names only: they pick the candidates before any text is compared.
+    asked = readings.where(~short)
+    flags = hint_flags(asked.select("zone_id", "pack_id", "hint_number", "hint_name").join(sections.select("pack_id", "section_no", "name"), "pack_id"))
+    pairs = with_forms(asked.join(flags, "zone_id"), "reading", "r").join(with_section_facts(sections).drop("content"), "pack_id").where(picked())
     # Pairs are scored as the join makes them; texts and their forms don't travel through the windows that follow.
     scored = score_sections(pairs, config).withColumn("usable", (F.col("s_soft") != "") & ~F.col("has_placeholder"))
-    scored = apply_hints(scored.select("zone_id", "ord", "section_no", "name", "hint_number", "hint_name", "score", "strict_equal", "soft_equal", "has_placeholder", "usable"))
+    scored = scored.select("zone_id", "ord", "section_no", "name", "hint_number", "hint_name", "score", "strict_equal", "soft_equal", "has_placeholder", "usable")
     ranked = W.partitionBy("zone_id").orderBy(F.desc("score"), "ord")
     all_ = W.partitionBy("zone_id")
     scored = (

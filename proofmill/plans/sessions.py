@@ -130,7 +130,10 @@ def snk_updated_verdicts(spark, sf_dir):
     return V.updated_verdicts(rows, new)
 
 
-@query()
+_REASON_ROWS = ", ".join(f"('{r}', '{s}')" for r, s in V.REASONS)
+
+
+@query(f"select k.reason, k.usual_status, count(r.reason) as n from (values {_REASON_ROWS}) k(reason, usual_status) left join @v_results r on k.reason = r.reason group by 1, 2")
 def ver_reasons(spark, sf_dir):
     """How often each reason of the catalogue occurs in the results."""
     known = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(r).alias("reason"), F.lit(s).alias("usual_status")) for r, s in V.REASONS])).alias("r")).select("r.*")
@@ -221,9 +224,24 @@ def agg_judge_totals(spark, sf_dir):
     return O.judge_totals(_calls(spark, sf_dir))
 
 
-@query()
+_META = f"""
+with t as (select session_id, count(*) as total, count(*) filter (where status = 'PASS') as passed, count(*) filter (where status <> 'PASS') as manual, count(*) filter (where status <> 'PASS' and decision is null) as unresolved,
+  count(*) filter (where disagree) as disagreeing, min(id) % 12 as section_no from @v_results group by 1),
+c as (select session_id, count(*) filter (where called and not from_cache) as calls, round(cast(sum(case when called and not from_cache then coalesce(cost, 0) else 0 end) as double), 6) as cost, count(*) filter (where called and verdict = 'pass') as flips from {_CALLS} group by 1),
+n as (select session_id, reason, count(*) as n, min(image_name) as image from @v_results where reason is not null group by 1, 2),
+r as (select session_id, string_agg('"' || reason || '":' || n, ',' order by reason) as reasons, string_agg('"' || reason || '":"See ' || image || '"', ',' order by reason) as texts from n group by 1)
+select t.session_id, '{{"total":' || total || ',"passed":' || passed || ',"manual":' || manual || ',"unresolved":' || unresolved || ',"disagreeing":' || disagreeing || ',"section_no":' || section_no || ',"section_name":"NAME ' || section_no
+  || '","calls":' || calls || ',"flips":' || flips || ',"cost":' || cost || ',"reasons":{{' || reasons || '}},"reason_texts":{{' || texts || '}}}}' as meta
+from t join c using (session_id) join r using (session_id)"""
+
+
+@query(_META)
 def agg_session_meta(spark, sf_dir):
-    return O.session_meta(_results(spark, sf_dir), _calls(spark, sf_dir))
+    rows = _results(spark, sf_dir)
+    locked = rows.groupBy("session_id").agg((F.min("id") % 12).alias("section_no"))
+    locked = locked.withColumn("section_name", F.concat(F.lit("NAME "), F.col("section_no")))
+    details = rows.select("session_id", "reason", F.concat(F.lit("See "), F.col("image_name")).alias("detail")).where("reason is not null")
+    return O.session_meta(rows, _calls(spark, sf_dir), locked, details)
 
 
 @query("select *, (select count(*) from @v_results where status <> 'PASS') as total_rows, cast((select greatest(1, ceil(count(*) / 20.0)) from @v_results where status <> 'PASS') as bigint) as total_pages from (select id, reason, status from @v_results where status <> 'PASS' order by id limit 20 offset 20)")
@@ -244,10 +262,10 @@ def lim_first_languages(spark, sf_dir):
     return O.first_languages(_results(spark, sf_dir), ["session_id"])
 
 
-@query("select id, substr(ref_text, 1, 200) as preview from @v_results where session_id = 7 and status <> 'PASS'")
+@query("select session_id, id, substr(ref_text, 1, 200) as preview from @v_results where status <> 'PASS'")
 def src_session_results(spark, sf_dir):
-    rows = K.session_results(_results(spark, sf_dir), "7", hide_pass=True)
-    return rows.select("id", K.preview(F.col("ref_text")).alias("preview"))
+    rows = K.session_results(_results(spark, sf_dir), hide_pass=True)
+    return rows.select("session_id", "id", K.preview(F.col("ref_text")).alias("preview"))
 
 
 @query("select image_name from @v_results where decision = 'error'")
@@ -272,7 +290,7 @@ def snk_documents(spark, sf_dir):
 @query("select event_id, '{\"event\":\"call\",\"ts_utc\":\"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '\",\"user_id\":' || user_id || '}' as line from @events")
 def snk_event_rows(spark, sf_dir):
     events = view(spark, sf_dir, "events")
-    return events.select("event_id", F.to_json(F.struct(F.lit("call").alias("event"), G.iso_z(F.col("ts")).alias("ts_utc"), "user_id")).alias("line"))
+    return K.event_rows(events, "call", "ts", "user_id", keys=("event_id",))
 
 
 @query("""with r as (select doc_id % 23 as session_id, doc_id as idx, 40 as total from @documents), d as (select *, least(count(*) over (partition by session_id order by idx rows unbounded preceding), total) as done from r)
@@ -373,7 +391,7 @@ def mth_confidences(spark, sf_dir):
     return view(spark, sf_dir, "v_zones").select("zone_id", clean.alias("clean"), G.confidence_band(clean).alias("band"), G.first_finite(clean, raw.try_cast("double"), F.lit(-1.0)).alias("picked"))
 
 
-@query()
+@query("select zone_id, case when zone_id % 3 < 2 then w end as width, case when zone_id % 3 < 2 then h end as height from @v_zones")
 def mth_image_size(spark, sf_dir):
     """Sizes read from image headers that are put together from the zones' sizes."""
     hex4 = lambda c: F.lpad(F.hex(c.cast("long")), 8, "0")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proofmill.functions import compare as C
 from proofmill.functions import text as T
+from proofmill.operators import sections as S
 from proofmill.operators import vote as V
 from proofmill.plans import duck as D
 from proofmill.plans.registry import query
@@ -121,6 +122,12 @@ def cmp_jaccard(spark, sf_dir):
     return rows.select("zone_id", F.round(C.jaccard(F.col("w.a"), F.col("w.b")), 6).alias("overlap"))
 
 
+@query("select doc_id, cast(case when doc_id % 3 = 0 then length(regexp_replace(text, '\\s', '', 'g')) else len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) end as int) as n from @documents")
+def fun_token_count(spark, sf_dir):
+    lang = F.when(F.col("doc_id") % 3 == 0, "zh-hans").otherwise(F.col("lang"))
+    return view(spark, sf_dir, "documents").select("doc_id", S.token_count(F.col("text"), lang).alias("n"))
+
+
 @query()
 def cmp_closest_engine(spark, sf_dir):
     return C.closest_engine(view(spark, sf_dir, "v_readings").where("error is null"), view(spark, sf_dir, "v_refs").select("zone_id", F.col("ref").alias("text")))

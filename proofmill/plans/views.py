@@ -122,11 +122,16 @@ def _tables_of(name: str) -> set[str]:
     return {t for used in re.findall(r"@(\w+)", VIEWS[name]) if used in VIEWS or used in TABLES for t in _tables_of(used)}
 
 
+#: Tables of fewer bytes in all are one or two splits of a file, which would leave most cores idle.
+DEALT_BYTES = 64 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A supplied table. One of no more splits than there are cores is dealt out to all of them."""
+    """A supplied table. One of less than DEALT_BYTES, in fewer files than there are cores, is dealt out to them; larger ones are read as they are split."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() <= cores else rows
+    return rows.repartition(cores) if size < DEALT_BYTES and len(rows.inputFiles()) < cores else rows
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

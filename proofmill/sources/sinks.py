@@ -19,14 +19,14 @@ def upsert(stored: DataFrame, new: DataFrame, keys: list[str], path: str, ts: st
     latest(stored.unionByName(new), keys, ts).write.mode("overwrite").parquet(path)
 
 
-def event_rows(rows: DataFrame, event: str, ts: str, *fields: str) -> DataFrame:
-    """(line): rows as JSON events with a UTC time."""
-    return rows.select(F.to_json(F.struct(F.lit(event).alias("event"), G.iso_z(F.col(ts)).alias("ts_utc"), *fields)).alias("line"))
+def event_rows(rows: DataFrame, event: str, ts: str, *fields: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, line): rows as JSON events with a UTC time."""
+    return rows.select(*keys, F.to_json(F.struct(F.lit(event).alias("event"), G.iso_z(F.col(ts)).alias("ts_utc"), *fields)).alias("line"))
 
 
-def session_results(results: DataFrame, session_id: str, hide_pass: bool = False) -> DataFrame:
-    """One session's results; the session is a partition of the table."""
-    rows = results.where(F.col("session_id") == session_id)
+def session_results(results: DataFrame, session_id: str | None = None, hide_pass: bool = False) -> DataFrame:
+    """One session's results, or those of all; the session is a partition of the table."""
+    rows = results if session_id is None else results.where(F.col("session_id") == session_id)
     return rows.where("status <> 'PASS'") if hide_pass else rows
 
 

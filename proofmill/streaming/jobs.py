@@ -19,16 +19,40 @@ from proofmill.operators import manifest as M
 from proofmill.operators import reports as O
 
 
-def progress(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """(session_id, done, passed, manual, last_status) of (session_id, ts, seq, status), for update mode."""
-    count = lambda s: F.count_if(F.col("status") == s)
-    last = F.max_by("status", F.struct("ts", "seq"))
-    return events.withWatermark("ts", delay).groupBy("session_id").agg(F.count("*").alias("done"), count("PASS").alias("passed"), count("MANUAL").alias("manual"), last.alias("last_status"))
+_PROGRESS = "session_id long, done long, passed long, manual long, last_status string"
+_HELD = "done long, passed long, manual long, at long, seq long, last_status string"
 
 
-def session_state(events: DataFrame) -> DataFrame:
-    """(session_id, status): the last state that a session was in, for update mode."""
-    return events.groupBy("session_id").agg(F.max_by("status", F.struct("ts", "seq")).alias("status"))
+def progress(events: DataFrame, delay: str = "10 minutes", config: Config = DEFAULT) -> DataFrame:
+    """(session_id, done, passed, manual, last_status) of (session_id, ts, seq, status), for update mode.
+
+    The state of a session is dropped once config.expiry_days of event time
+    have passed without an event of it. Events without a time are left out.
+    """
+    idle = config.expiry_days * 86_400_000
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        done, passed, manual, at, seq, last = state.get if state.exists else (0, 0, 0, -(1 << 62), 0, None)
+        for frame in frames:
+            done, passed, manual = done + len(frame), passed + int((frame["status"] == "PASS").sum()), manual + int((frame["status"] == "MANUAL").sum())
+            newest = frame.sort_values(["ts", "seq"]).iloc[-1]
+            when = round(newest["ts"].timestamp() * 1_000_000)
+            if (when, int(newest["seq"])) >= (at, seq):
+                at, seq, last = when, int(newest["seq"]), newest["status"]
+        state.update((done, passed, manual, at, seq, last))
+        state.setTimeoutTimestamp(max(at // 1000, state.getCurrentWatermarkMs()) + idle)
+        yield pd.DataFrame([(key[0], done, passed, manual, last)], columns=[c.split()[0] for c in _PROGRESS.split(", ")])
+
+    rows = events.select("session_id", "ts", "seq", "status").where("ts is not null").withWatermark("ts", delay)
+    return rows.groupBy("session_id").applyInPandasWithState(update, _PROGRESS, _HELD, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def session_state(events: DataFrame, delay: str = "10 minutes", config: Config = DEFAULT) -> DataFrame:
+    """(session_id, status): the last state that a session was in, for update mode. States expire as those of progress do."""
+    return progress(events, delay, config).select("session_id", F.col("last_status").alias("status"))
 
 
 def engine_counters(events: DataFrame) -> DataFrame:
@@ -59,7 +83,7 @@ def request_batches(batch: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 VOTE = "zone_id long, engine string, text string, rule string, status string, reason string, n_readings long, n_valid long"
-_STATE = "engines array<string>, texts array<string>, norms array<string>, failed array<boolean>"
+_STATE = "engines array<string>, texts array<string>, norms array<string>, failed array<boolean>, decided boolean"
 
 
 def decide(readings: list[tuple[str, str, str, bool]]) -> tuple:
@@ -79,24 +103,34 @@ def decide(readings: list[tuple[str, str, str, bool]]) -> tuple:
 
 
 def streaming_vote(readings: DataFrame, expected: int = len(ENGINES), delay: str = "10 minutes") -> DataFrame:
-    """The vote of each zone of (zone_id, engine, text, error, ts), once all `expected` readings are there, failed ones too, or the zone has waited `delay` of event time."""
+    """The vote of each zone of (zone_id, engine, text, error, ts), once `expected` engines have read it, or failed to, or the zone has waited `delay` of event time.
+
+    An engine counts once, however often its reading is delivered; a reading
+    takes the place of the engine's failure. A decided zone is remembered for
+    another `delay`, in which further readings change nothing.
+    """
     rows = readings.select("zone_id", "engine", F.coalesce("text", F.lit("")).alias("text"), T.normalize("text", "consensus").alias("norm"), F.col("error").isNotNull().alias("failed"), "ts")
     wait = int(pd.Timedelta(delay).total_seconds() * 1000)
 
     def vote(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get, strict=True)) if state.exists else []
+        *lists, decided = state.get if state.exists else ([], [], [], [], False)
+        if state.hasTimedOut and decided:
+            state.remove()
+            return
+        held = {r[0]: r for r in zip(*lists, strict=True)}
+        newest = state.getCurrentWatermarkMs()
         if not state.hasTimedOut:
-            newest = state.getCurrentWatermarkMs()
             for frame in frames:
-                held += list(zip(frame["engine"], frame["text"], frame["norm"], (bool(f) for f in frame["failed"]), strict=True))
+                for r in zip(frame["engine"], frame["text"], frame["norm"], (bool(f) for f in frame["failed"]), strict=True):
+                    if r[0] not in held or (held[r[0]][3] and not r[3]):
+                        held[r[0]] = r
                 newest = max(newest, int(frame["ts"].max().timestamp() * 1000))
-            if len(held) < expected:
-                state.update(tuple([r[k] for r in held] for k in range(4)))
-                state.setTimeoutTimestamp(newest + wait)
-                return
-        if state.exists:
-            state.remove()
-        n_valid = sum(not r[3] for r in held)
-        yield pd.DataFrame([(key[0], *decide(held), len(held), n_valid)], columns=[c.split()[0] for c in VOTE.split(", ")])
+        due = not decided and (state.hasTimedOut or len(held) >= expected)
+        kept = [] if due or decided else list(held.values())
+        state.update((*([r[k] for r in kept] for k in range(4)), due or decided))
+        state.setTimeoutTimestamp(newest + wait)
+        if due:
+            votes = list(held.values())
+            yield pd.DataFrame([(key[0], *decide(votes), len(votes), sum(not r[3] for r in votes))], columns=[c.split()[0] for c in VOTE.split(", ")])
 
     return rows.withWatermark("ts", delay).groupBy("zone_id").applyInPandasWithState(vote, VOTE, _STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -1,6 +1,7 @@
 """Decision tables, invariants, streams against batches, and plans."""
 
 import itertools
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,8 +16,9 @@ from proofmill.operators import verdicts as V
 from proofmill.operators import vote
 from proofmill.plans.views import view
 from proofmill.sources import catalog, sinks
+from proofmill.sources.shared import shared_dir
 from proofmill.streaming import jobs
-from proofmill.streaming.run import appended, file_stream
+from proofmill.streaming.run import appended, file_stream, updated
 
 SF = "/root/testdata/sf0.001"
 READING = "zone_id long, engine string, text string, error string"
@@ -64,6 +66,61 @@ def test_streaming_vote(spark, tmp_path):
     assert 100 not in got
 
 
+def _batches(spark, tmp_path, parts, schema):
+    """A stream of one micro-batch for each part."""
+    for part in parts:
+        spark.createDataFrame(part, schema + ", s long").withColumn("ts", F.timestamp_seconds("s")).drop("s").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are read in the order of their times
+    return file_stream(spark, str(tmp_path / "in"), 1)
+
+
+def test_streaming_vote_redelivery(spark, tmp_path):
+    """An engine counts once; a decided zone isn't decided again."""
+    first = [(1, "google", "a", None, 1000), (1, "google", "a", None, 1000), (1, "azure", "b", "failed", 1000)]
+    then = [(1, "azure", "a", None, 1010), (1, "azure", "a", None, 1010), (1, "ocrspace", "b", None, 1010)]
+    again = [(1, "ocrspace", "b", None, 1010), (1, "google", "a", None, 1000), (1, "azure", "a", None, 1010)]
+    out = appended(jobs.streaming_vote(_batches(spark, tmp_path, (first, then, again), READING)), "redelivery").collect()
+    assert [(r.zone_id, r.text, r.rule, r.n_readings, r.n_valid) for r in out] == [(1, "a", "majority_2_of_3", 3, 3)]
+
+
+def test_streaming_progress_expires(spark, tmp_path):
+    """A session that was idle for longer than the expiry starts anew."""
+    day = 86_400
+    parts = [[(1, 1, "PASS", day), (1, 2, "MANUAL", day + 5), (2, 3, "pending", day)], [(2, 4, "PASS", 20 * day)], [(2, 5, "PASS", 20 * day + 1)], [(1, 6, "PASS", 20 * day + 2), (2, 7, "MANUAL", 20 * day + 2)]]
+    got = updated(jobs.progress(_batches(spark, tmp_path, parts, "session_id long, seq long, status string")), ["session_id"], "expiry").collect()
+    assert {(r.session_id, r.done, r.passed, r.manual, r.last_status) for r in got} == {(1, 1, 1, 0, "PASS"), (2, 4, 2, 1, "MANUAL")}
+
+
+def test_shared_dir_is_set_on_a_cluster(spark):
+    class Conf:
+        def get(self, name, default=None):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError):
+        shared_dir(Session())
+
+
+def test_page_after(spark):
+    rows = spark.range(45)
+    assert [r.id for r in O.page_after(rows, size=20).collect()] == list(range(20))
+    assert [r.id for r in O.page_after(rows, 39, 20).collect()] == list(range(40, 45))
+
+
+def test_latest_settles_ties(spark):
+    rows = spark.createDataFrame([(1, 5, "a"), (1, 5, "b"), (1, None, "c"), (2, None, "d")], "k long, ts long, rank string").repartition(3)
+    first = O.latest(rows, ["k"])
+    assert first.columns == rows.columns
+    assert {tuple(r) for r in first.collect()} == {tuple(r) for r in O.latest(rows.coalesce(1), ["k"]).collect()}
+    assert {r["rank"] for r in first.where("k = 2").collect()} == {"d"}
+
+
 @pytest.mark.parametrize(
     ("path", "lang"),
     [
