@@ -7,41 +7,52 @@ columns of an input table, whatever they are called, never meet its own names.
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proofmill.sources.shared import shared_dir
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Space and U+0009 to U+000D, as characters and as a regular expression.
 SPACES = " \t\n\x0b\f\r"
 SPACES_RE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share.
-
-    Only a session without that setting (a local test) gets a temporary one.
-    """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    return conf.rstrip("/")
+def _home(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, name: str, *, codec: str = "zstd", partition_by: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: the lineage ends there.
 
     A lost executor costs only its running tasks; what is written is read again,
-    never computed a second time.
+    never computed a second time. Results read such tables when they are asked
+    for, so they stay until `forget` or `clear`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_home(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", codec)
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(table: DataFrame) -> None:
+    """Deletes a table of `written` that nothing reads any more."""
+    _delete(table.sparkSession, table._written_to)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application has written: for sessions that live on, once their results are stored."""
+    _delete(spark, _home(spark))
 
 
 def inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import pytest
 
 #: Names that the operators use inside; as columns of an input they must change nothing.
-CLASHES = ("row", "k_id", "k_text", "words", "hashes", "h", "size", "digit", "group", "fp", "root", "start", "n", "pos", "block", "place", "fraction", "rid", "slot", "shard", "p", "e", "raw")
+CLASHES = ("row", "k_id", "k_text", "words", "hashes", "h", "size", "digit", "group", "fp", "root", "start", "n", "pos", "block", "place", "fraction", "rid", "SLOT", "Shard", "p", "e", "raw", "Pass", "H_BUCKET", "Doc_Rank")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 

@@ -210,10 +210,33 @@ def test_shards(make, odd_rows):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+@pytest.mark.parametrize("bucket_rows", [7, 50_000])
+def test_shards_in_plain_order(make, monkeypatch, bucket_rows):
+    """Sorted by hash within a source, then by fractional rank over all, whatever the buckets."""
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", bucket_rows)
+    rows = [(k, passage(k, k % 9), "en", f"s{k % 3}" if k % 4 else f"single{k}") for k in range(300)] + [(None, None, None, None), (301, "", "en", None)]
+    docs = make(rows)
+    h = F.xxhash64(F.lit(sharding.SEED), F.col("doc_id"), F.coalesce("text", F.lit("")).cast("binary"))
+    plain = docs.select("doc_id", "source", h.alias("h"), F.xxhash64(F.lit(sharding.SEED + 1), "source").alias("o")).collect()
+    by = defaultdict(list)
+    for r in plain:
+        by[r.source].append(((r.h % 2**64), r.doc_id, r.o))
+    places = []
+    for source, mine in by.items():
+        for rank, (_, i, o) in enumerate(sorted(mine, key=lambda m: m[0])):
+            places.append((float(((rank + ((o % 2**64) // 2**11 + 0.5) / 2.0**53)) / len(mine)), i))
+    order = [i for _, i in sorted(places, key=lambda p: p[0])]
+    n = len(order)
+    bounds = [-(-s * n // 16) for s in range(17)]
+    expected = {order[p]: (s, p - bounds[s]) for s in range(16) for p in range(bounds[s], bounds[s + 1])}
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.interleave(docs).collect()} == expected
+
+
 def test_few_rows_and_columns(make, odd_rows):
     got = sharding.interleave(make(odd_rows[:3])).collect()
     assert sorted(Counter(r.shard for r in got).values()) == [1, 1, 1]
     docs = make(odd_rows)
     out = sharding.shard_rows(docs)
-    assert set(out.columns) == set(docs.columns)
+    assert {c.lower() for c in out.columns} == {c.lower() for c in docs.columns}
+    assert {"shard", "slot"} < set(out.columns)
     assert out.select("shard", "slot").distinct().count() == len(odd_rows)
