@@ -2,13 +2,18 @@
 
 Fingerprints that differ in at most `bits` bits are linked, and the connected
 components of all links are the classes. 64-bit fingerprints are cut into four
-projections of 16 bits; two fingerprints within 4 bits are within 1 bit in at
-least one projection. For each projection a vantage-point tree is grown on a
-bounded sample: a node sends what lies within its radius of its vantage point
-to one side, the rest to the other. A fingerprint has one home leaf in a tree;
-by the triangle inequality it must visit another branch only if it is within
-the tolerance of that branch's bound, so leaves hold homes and the visitors of
-the overlapping boundaries. In a leaf all 64 bits are compared.
+slices of 16 bits; two fingerprints within 4 bits are within 1 bit in two slices
+at least. For each slice but the last a vantage-point tree is grown on a bounded
+sample: a node sends what lies within its radius of its vantage point to one
+side, the rest to the other. A fingerprint has one home leaf in a tree; by the
+triangle inequality it must visit another branch only if it is within the
+tolerance of that branch's bound, so leaves hold homes and the visitors of the
+overlapping boundaries. In a leaf all 64 bits are compared.
+
+A leaf with too many homes is split again: trees over the slices behind its own
+are grown on a sample of that leaf, and its rows go down those. No pair is lost:
+the first slice that agrees has another one behind it. So leaves stay small when
+the corpus grows beyond what one sample can split.
 
 Equal fingerprints are one node from the start, leaves emit a forest instead of
 pairs, and leaves above LEAF_ROWS are compared as a grid of parts, so that no
@@ -17,6 +22,7 @@ task holds a hot group.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,16 +33,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from proofmill.llm.common import row_key, written
+from proofmill.llm.common import forget, row_key, written
 
 SHINGLE = 4
 BITS = 4
 SEED = 42
 PROJECTIONS = 4
 WIDTH = 16
-#: Fingerprints that the trees are grown on, and homes that a leaf should have.
+#: Fingerprints that the first trees, and those of a large leaf, are grown on.
 SAMPLE = 40_000
+LEAF_SAMPLE = 4_000
+#: Homes that a leaf should have, and those above which it is split again.
 LEAF_HOMES = 2_000
+LARGE_HOMES = 8_000
 #: Rows of one side of a comparison in one task.
 LEAF_ROWS = 16_000
 _SLICE = 1 << 15
@@ -116,9 +125,9 @@ def grow(sample: np.ndarray, leaf: float, tolerance: int, seed: int) -> list[tup
     return nodes
 
 
-def route(nodes: list[tuple[int, int, int, int]], points: np.ndarray, tolerance: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(leaf, indices of points, whether at home) for every leaf that points reach."""
-    todo = [(0 if nodes else -1, np.arange(len(points)), np.ones(len(points), dtype=bool))]
+def route(nodes: list[tuple[int, int, int, int]], points: np.ndarray, tolerance: int, home: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(leaf, indices of points, whether at home) for every leaf that points reach; those that aren't at home from the start visit only."""
+    todo = [(0 if nodes else -1, np.arange(len(points)), np.ones(len(points), dtype=bool) if home is None else home)]
     while todo:
         at, rows, home = todo.pop()
         if not len(rows):
@@ -159,35 +168,85 @@ def forest(homes: np.ndarray, queries: np.ndarray, bits: int) -> tuple[np.ndarra
     return nodes[child], nodes[label[child]]
 
 
-def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
-    """(a, b), a > b: edges whose components are those of all pairs of `fp` of nodes (distinct 64-bit numbers) within `bits` bits."""
-    tolerance = bits // PROJECTIONS
-    n = nodes.count()
+def _grown(sample: np.ndarray, homes: int, slices: range, tolerance: int) -> dict[int, list[tuple[int, int, int, int]]]:
+    """A tree over each slice, with leaves of about LEAF_HOMES of the homes that sample stands for."""
+    leaf = max(8.0, LEAF_HOMES * len(sample) / max(homes, 1))
+    return {k: grow(projection(sample, k), leaf, tolerance, k) for k in slices}
+
+
+def _placed(nodes: DataFrame, n: int, tolerance: int) -> DataFrame:
+    """(leaf, sub, home, fp): the leaves that the fingerprints reach; a leaf is a slice and its number there, sub is 0."""
     share = min(1.0, SAMPLE / max(n, 1))
     picked = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30))).toArrow()
     sample = np.sort(picked["fp"].to_numpy().astype(np.int64))
-    leaf = max(8.0, LEAF_HOMES * len(sample) / max(n, 1))
-    trees = [grow(projection(sample, k), leaf, tolerance, k) for k in range(PROJECTIONS)]
-    shared = nodes.sparkSession.sparkContext.broadcast(trees)
+    shared = nodes.sparkSession.sparkContext.broadcast(_grown(sample, n, range(PROJECTIONS - 1), tolerance))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for k, tree in enumerate(shared.value):
+            for k, tree in shared.value.items():
                 for at, rows, home in route(tree, projection(values, k), tolerance):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(rows), k * (1 << 24) + at, np.int32)), pa.array(home), pa.array(values[rows])],
-                        ["leaf", "home", "fp"],
+                        [pa.array(np.full(len(rows), (k << _LEAF_BITS) + at)), pa.array(np.zeros(len(rows), np.int64)), pa.array(home), pa.array(values[rows])],
+                        ["leaf", "sub", "home", "fp"],
                     )
 
-    placed = written(nodes.select("fp").mapInArrow(place, "leaf int, home boolean, fp long"), "vp-leaves")
+    return written(nodes.select("fp").mapInArrow(place, _PLACED), "vp-leaves")
+
+
+def _split(placed: DataFrame, tolerance: int) -> DataFrame:
+    """placed, with the rows of large leaves sent down trees of the slices behind the leaf's own, grown on samples of the leaf. `sub` is a slice and the number of the smaller leaf, from 1."""
+    sizes = placed.groupBy("leaf").agg(F.count_if("home").alias("homes"), F.count("*").alias("rows")).where(F.col("homes") > LARGE_HOMES)
+    sizes = written(sizes.withColumn("parts", F.ceil(F.col("rows") / LEAF_ROWS).cast("int")), "vp-large")
+    if sizes.isEmpty():
+        return placed
+    large = placed.join(sizes, "leaf")
+    share = F.lit(LEAF_SAMPLE) / F.col("homes") * (1 << 30)
+    sample = large.where(F.col("home") & (F.pmod(F.xxhash64(F.lit(5), "fp"), F.lit(1 << 30)) < share)).select("leaf", "homes", "fp")
+
+    def behind(leaf: int) -> range:
+        return range((leaf >> _LEAF_BITS) + 1, PROJECTIONS)
+
+    def plant(pdf: pd.DataFrame) -> pd.DataFrame:
+        leaf = int(pdf["leaf"].iloc[0])
+        trees = _grown(np.sort(pdf["fp"].to_numpy()), int(pdf["homes"].iloc[0]), behind(leaf), tolerance)
+        return pd.DataFrame({"leaf": [leaf], "trees": [json.dumps(trees)]})
+
+    trees = written(sample.groupBy("leaf").applyInPandas(plant, "leaf long, trees string"), "vp-trees")
+    parts = sizes.join(trees, "leaf", "left").select("leaf", F.coalesce("trees", F.lit("")).alias("trees"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+    def send(rows: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+        values, home = rows["fp"].to_numpy(), rows["home"].to_numpy()
+        leaf, found = int(rows["leaf"].iloc[0]), []
+        # A leaf whose sample is empty, by chance, has trees of one leaf.
+        trees = json.loads(tree["trees"].iloc[0] or "{}")
+        for k in behind(leaf):
+            for at, reached, stays in route(trees.get(str(k), []), projection(values, k), tolerance, home):
+                found.append(pd.DataFrame({"leaf": leaf, "sub": (k << _LEAF_BITS) + at + 1, "home": stays, "fp": values[reached]}))
+        return pd.concat(found)
+
+    rows = large.select("leaf", F.pmod(F.xxhash64(F.lit(3), "fp"), F.col("parts")).cast("int").alias("part"), "home", "fp")
+    sent = rows.groupBy("leaf", "part").cogroup(parts.groupBy("leaf", "part")).applyInPandas(send, _PLACED)
+    return written(placed.join(sizes.select("leaf"), "leaf", "left_anti").unionByName(sent), "vp-leaves")
+
+
+_LEAF_BITS = 24
+_PLACED = "leaf long, sub long, home boolean, fp long"
+
+
+def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
+    """(a, b), a > b: edges whose components are those of all pairs of `fp` of nodes (distinct 64-bit numbers) within `bits` bits."""
+    # Of the slices of a pair the second best differs in no more bits than this.
+    tolerance = bits // (PROJECTIONS - 1)
+    placed = _split(_placed(nodes, nodes.count(), tolerance), tolerance)
     # A leaf is a grid of parts of homes against parts of all its rows.
-    sizes = placed.groupBy("leaf").agg(F.count_if("home").alias("homes"), F.count("*").alias("rows")).where("homes > 0 and rows > 1")
-    grid = sizes.select("leaf", F.ceil(F.col("homes") / LEAF_ROWS).cast("int").alias("h"), F.ceil(F.col("rows") / LEAF_ROWS).cast("int").alias("q"))
-    cells = placed.join(grid, "leaf")
+    sizes = placed.groupBy("leaf", "sub").agg(F.count_if("home").alias("homes"), F.count("*").alias("rows")).where("homes > 0 and rows > 1")
+    grid = sizes.select("leaf", "sub", F.ceil(F.col("homes") / LEAF_ROWS).cast("int").alias("h"), F.ceil(F.col("rows") / LEAF_ROWS).cast("int").alias("q"))
+    # Written, so that the join deals out its own exchange, and a hot leaf can be split.
+    cells = placed.join(written(grid, "vp-grid"), ["leaf", "sub"])
     part = lambda n: F.pmod(F.xxhash64(F.lit(7), F.col("fp")), n).cast("int")
-    as_home = cells.where("home").select("leaf", part(F.col("h")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("j"), F.lit(True).alias("home"), "fp")
-    as_query = cells.select("leaf", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("i"), part(F.col("q")).alias("j"), F.lit(False).alias("home"), "fp")
+    as_home = cells.where("home").select("leaf", "sub", part(F.col("h")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("j"), F.lit(True).alias("home"), "fp")
+    as_query = cells.select("leaf", "sub", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("i"), part(F.col("q")).alias("j"), F.lit(False).alias("home"), "fp")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         home = pdf["home"].to_numpy()
@@ -195,21 +254,28 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
         a, b = forest(fps[home], fps[~home], bits)
         return pd.DataFrame({"a": a, "b": b})
 
-    return as_home.unionByName(as_query).groupBy("leaf", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return as_home.unionByName(as_query).groupBy("leaf", "sub", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each component, for all nodes of edges (a, b) but the roots. Alternating large-star and small-star rounds, each cut off by a written table."""
+    """(node, root): the smallest node of each component, for all nodes of edges (a, b) but the roots.
+
+    Alternating large-star and small-star rounds, each cut off by a written
+    table. The least neighbours are written before they are joined: both sides
+    then have exchanges of their own, and a hub's rows can be split.
+    """
     edges = written(edges.select("a", "b"), "cc-edges")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
-        small = joined.select("a", F.col("m").alias("b")).unionByName(joined.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        edges = written(small.distinct(), "cc-edges")
+        low = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "cc-low")
+        large = written(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "cc-large")
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "cc-least")
+        joined = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = written(least.select("a", F.col("m").alias("b")).unionByName(joined).distinct(), "cc-edges")
+        for old in (edges, low, large, least):
+            forget(old)
+        edges = small
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -237,13 +303,16 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """One row of docs, with all columns, of each class: that with the smallest doc_id (null ids last)."""
+    """One row of docs, with all columns, of each class: that with the smallest doc_id (null ids last). Of rows that repeat its id and text any one stays."""
     classes = written(near_duplicates(docs, bits).select("doc_id", "k_text", "root"), "simhash-classes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("k_id"), "k_text")).alias("w")
-    winners = classes.groupBy("root").agg(first).select("w.k_id", "w.k_text")
-    full = docs.select(F.struct("*").alias("row"), *row_key(F.col("doc_id"), F.col("text"))).alias("d")
-    kept = full.join(winners.alias("w"), F.col("d.k_id").eqNullSafe(F.col("w.k_id")) & (F.col("d.k_text") == F.col("w.k_text")), "left_semi")
-    if not classes.groupBy("doc_id", "k_text").count().where("count > 1").isEmpty():
-        # Rows that repeat id and text: any of them is the one.
-        kept = kept.groupBy("k_id", "k_text").agg(F.first("row").alias("row"))
-    return kept.select("row.*")
+    winners = written(classes.groupBy("root").agg(first).select(*_named("w.k_id", "w.k_text")), "simhash-winners")
+    names = ["k_none", "k_name", "k_text"]
+    full = docs.select(F.struct("*").alias("row"), *row_key(F.col("doc_id"), F.col("text"))).select("row", *_named("k_id", "k_text"))
+    # Grouped by the keys of the join, whose order and partitions it takes over.
+    return full.join(winners, names, "left_semi").groupBy(*names).agg(F.first("row").alias("row")).select("row.*")
+
+
+def _named(k_id: str, k_text: str) -> list[Column]:
+    """Keys of a row that are never null."""
+    return [F.col(k_id).isNull().alias("k_none"), F.coalesce(F.col(k_id).cast("string"), F.lit("")).alias("k_name"), F.col(k_text).alias("k_text")]

@@ -80,12 +80,30 @@ def near_rows():
     return rows
 
 
+def plain_near(rows):
+    """(id, text, fingerprint, smallest id of the class) of each row, null and repeated ids too."""
+    prints = [brute.fingerprint(r[1]) for r in rows]
+    roots = brute.components(dict(enumerate(prints)))
+    least = {}
+    for k, r in enumerate(rows):
+        known = [x for x in (least.get(roots[k]), r[0]) if x is not None]
+        least[roots[k]] = min(known, default=None)
+    return sorted(key((r[0], f"{prints[k]:016x}", least[roots[k]])) for k, r in enumerate(rows))
+
+
 def test_near(make, odd_rows):
-    rows = [r for r in odd_rows if r[0] not in (None, 10, 11)] + near_rows()
+    rows = [*odd_rows, *near_rows()]
+    got = near_dedup.near_duplicates(make(rows)).collect()
+    assert sorted(key((r.doc_id, f"{r.fp % 2**64:016x}", r.component_id)) for r in got) == plain_near(rows)
+
+
+def test_near_splits_large_leaves(make, odd_rows, monkeypatch):
+    """Leaves beyond what the first sample can split are split again on their own, and lose no pair."""
+    for name, value in (("SAMPLE", 40), ("LEAF_HOMES", 4), ("LARGE_HOMES", 8), ("LEAF_SAMPLE", 30), ("LEAF_ROWS", 16)):
+        monkeypatch.setattr(near_dedup, name, value)
+    rows = [*odd_rows, *near_rows()]
     got = near_dedup.near_duplicates(make(rows)).collect()
-    prints = {r[0]: brute.fingerprint(r[1]) for r in rows}
-    roots = brute.components(prints)
-    assert {r.doc_id: (r.fp % 2**64, r.component_id) for r in got} == {k: (prints[k], roots[k]) for k in prints}
+    assert sorted(key((r.doc_id, f"{r.fp % 2**64:016x}", r.component_id)) for r in got) == plain_near(rows)
 
 
 def test_near_keeps_one(make, odd_rows):
@@ -101,7 +119,7 @@ def test_trees_lose_no_pair():
     rng = np.random.default_rng(3)
     points = rng.integers(0, 2**63, 3000).astype(np.int64)
     points = np.concatenate([points, points[:500] ^ np.int64(0b1011), points[:500] ^ np.int64(1 << 40)])
-    trees = [near_dedup.grow(near_dedup.projection(points, k), 40, 1, k) for k in range(4)]
+    trees = [near_dedup.grow(near_dedup.projection(points, k), 40, 1, k) for k in range(3)]
     assert all(len(t) > 20 for t in trees)
     found = set()
     for k, tree in enumerate(trees):
