@@ -37,8 +37,9 @@ def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
 
     A null or empty text is one empty line. Keys shorter than min_chars code
     points never count. A document holds a key once, however often the line
-    stands in it; each row of docs is a document, also one that repeats another.
-    A document that loses all its lines has an empty text.
+    stands in it. Rows with the same id are one document in this count; each
+    row with a null id is one of its own. A document that loses all its lines
+    has an empty text.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = written(
@@ -47,7 +48,9 @@ def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
         ),
         "line-hashes",
     )
-    held = lines.select(F.explode(F.array_distinct(F.array_compact("hashes"))).alias("h"))
+    # Pairs of document and line first, then the lines: a hot line, or a hot id, spreads over the tasks.
+    own = F.when(F.col("k_id").isNull(), F.col("row")).alias("own")
+    held = lines.select("k_id", own, F.explode(F.array_distinct(F.array_compact("hashes"))).alias("h")).dropDuplicates(["k_id", "own", "h"])
     # Written, so that the join below deals out its own exchange and a hot line can be split.
     common = written(held.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h"), "line-common")
     # The positions of a repeated row are those of its first: each (id, text) asks once.

@@ -97,7 +97,8 @@ def targets(sizes):
 
 def without_lines(docs, least=10):
     keys = [[low(x.strip(" \t\n\x0b\f\r")) for x in (t or "").split("\n")] for _, t in docs]
-    count = Counter(k for ks in keys for k in set(ks) if k)
+    held = {(n if i is None else None, i, k) for n, ((i, _), ks) in enumerate(zip(docs, keys, strict=True)) for k in ks if k}
+    count = Counter(k for _, _, k in held)
     for (i, t), ks in zip(docs, keys, strict=True):
         kept = [x for x, k in zip((t or "").split("\n"), ks, strict=True) if count[k] < least]
         yield i, len(ks), len(ks) - len(kept), "\n".join(kept)

@@ -37,7 +37,8 @@ def test_levels_cover_all_bytes():
 def test_lines(make, odd_rows):
     common = [(500 + k, f"own {k}\n  Shared LINE \t\n\nshared line\nlast") for k in range(12)]
     few = [(600 + k, "rare\nother") for k in range(9)]
-    rows = [*odd_rows, *common, *few]
+    again = [(620, f"of one id\n{k}") for k in range(12)] + [(None, f"of no id\n{k}") for k in range(10)]
+    rows = [*odd_rows, *common, *few, *again]
     got = line_dedup.drop_common_lines(make(rows)).collect()
     expected = brute.without_lines([r[:2] for r in rows])
     assert sorted(key((r.doc_id, r.n_lines, r.n_dropped, r.text)) for r in got) == sorted(map(key, expected))
