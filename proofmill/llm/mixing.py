@@ -11,8 +11,10 @@ distribution how many blocks of each source go left. A shard's quota is served
 by the next blocks of the source's permutation, so that shards hold disjoint
 blocks; rows are shuffled within their shard.
 
-Documents and blocks stay in DataFrames. The driver holds a number per source
-and shard; more than MAX_SOURCES sources are refused.
+Documents and blocks stay in DataFrames. The driver holds a number per stratum
+and shard. The MAX_STRATA largest sources are strata of the tree; smaller ones
+share SHARED strata, by a hash: their blocks are dealt out together. Targets and
+takes are those of each source in any case.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 #: Documents of a source are dealt into so many blocks, whatever its size.
 BLOCKS = 512
-MAX_SOURCES = 100_000
+#: Sources with quotas of their own in the tree, and strata that all others share.
+MAX_STRATA = 100_000
+SHARED = 1024
 #: A miss of a last pass up to this share of it is near enough; above it, documents are exchanged.
 NEAR = 0.001
 
@@ -112,11 +116,12 @@ def plan(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame:
     rows = written(rows.withColumn("block", F.pmod(F.shiftrightunsigned("k_hash", 20), F.lit(BLOCKS)).cast("int")), "mix-rows")
     blocks = rows.groupBy("source", "block").agg(F.sum(F.col("size") * F.col("copies")).alias("words"))
     blocks = written(blocks, "mix-blocks")
-    n_sources = blocks.select("source").distinct().limit(MAX_SOURCES + 1).count()
-    if n_sources > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
     targets = source_targets(blocks.groupBy("source").agg(F.sum("words").alias("source_size")))
     targets = targets.withColumn("passes", F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0)).cast("int"))
+    largest = F.row_number().over(W.orderBy(F.desc("source_size"), F.col("source").asc_nulls_last()))
+    name = F.when(F.col("source").isNull(), F.lit("null")).otherwise(F.concat(F.lit("source "), F.col("source")))
+    shared = F.concat(F.lit("shared "), F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(SHARED)).cast("string"))
+    targets = targets.withColumn("stratum", F.when(largest <= MAX_STRATA, name).otherwise(shared))
     targets = targets.withColumn("rest", F.greatest(F.col("target") - F.col("passes") * F.col("source_size"), F.lit(0.0)))
     targets = written(targets, "mix-targets")
 
@@ -126,10 +131,11 @@ def plan(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame:
     whole = _with_source(blocks, targets.select("source", "passes")).where("passes > 0")
     whole = whole.select("source", "block", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("pass"))
     slots = whole.unionByName(marked.where("last").select("source", "block", F.col("passes").alias("pass")).distinct())
-    permuted = W.partitionBy("source").orderBy("pass", F.xxhash64(F.lit(seed), "source", "pass", "block"), "block")
-    slots = written(slots.withColumn("nth", F.row_number().over(permuted) - 1).select("source", "block", "pass", "nth"), "mix-slots")
+    permuted = W.partitionBy("stratum").orderBy("pass", F.xxhash64(F.lit(seed), "source", "pass", "block"), "source", "block")
+    slots = _with_source(slots, targets.select("source", "stratum"))
+    slots = written(slots.withColumn("nth", F.row_number().over(permuted) - 1).select("source", "stratum", "block", "pass", "nth"), "mix-slots")
 
-    quotas = sorted(((r["source"], r["n"]) for r in slots.groupBy("source").agg(F.count("*").alias("n")).collect()), key=lambda q: (q[0] is None, q[0] or ""))
+    quotas = sorted((r["stratum"], r["n"]) for r in slots.groupBy("stratum").agg(F.count("*").alias("n")).collect())
     spans = []
     start = [0] * len(quotas)
     for shard, part in enumerate(split_quotas([n for _, n in quotas], shards, seed) if quotas else []):
@@ -137,9 +143,9 @@ def plan(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame:
             if n:
                 spans.append((quotas[k][0], shard, start[k], start[k] + n))
                 start[k] += n
-    table = inline(spark, spans, "source string, shard int, first bigint, stop bigint")
+    table = inline(spark, spans, "stratum string, shard int, first bigint, stop bigint")
     # A slot's shard is the span that its place in the permutation falls into.
-    dealt = slots.alias("l").join(table.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source")) & F.col("l.nth").between(F.col("r.first"), F.col("r.stop") - 1))
+    dealt = slots.alias("l").join(table.alias("r"), (F.col("l.stratum") == F.col("r.stratum")) & F.col("l.nth").between(F.col("r.first"), F.col("r.stop") - 1))
     dealt = dealt.select("l.source", "l.block", "l.pass", "r.shard")
 
     keys = [F.col("l.source").eqNullSafe(F.col("r.source")), F.col("l.block") == F.col("r.block")]
@@ -237,7 +243,8 @@ def _with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def taken_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken), a row for each row of docs."""
-    each = plan(docs).groupBy("k_id", "k_hash", "copies", "size", "source_size", "target").agg((F.count("pass") * F.first("size")).alias("taken"))
-    rows = each.select(F.explode(F.sequence(F.lit(1), F.col("copies"))), F.col("k_id").alias("doc_id"), "size", "source_size", "target", "taken")
+    """(doc_id, size, source_size, target, taken, shards), a row for each row of docs; shards has the shard of each time that it is taken, comma-joined."""
+    shards = F.array_join(F.transform(F.array_sort(F.collect_list("shard")), lambda s: s.cast("string")), ",")
+    each = plan(docs).groupBy("k_id", "k_hash", "copies", "size", "source_size", "target").agg((F.count("pass") * F.first("size")).alias("taken"), shards.alias("shards"))
+    rows = each.select(F.explode(F.sequence(F.lit(1), F.col("copies"))), F.col("k_id").alias("doc_id"), "size", "source_size", "target", "taken", "shards")
     return rows.drop("col")

@@ -134,6 +134,39 @@ def test_mix(make, odd_rows):
     assert sorted(map(str, got)) == sorted(map(str, mixing.taken_words(make(rows)).collect()))
 
 
+@pytest.mark.parametrize("strata", [100_000, 3])
+def test_mix_deals_out_disjoint_blocks(make, odd_rows, monkeypatch, strata):
+    """A block of a pass goes to one shard, shards get the quotas of the tree, and every copy of a document is in the shard of its block."""
+    monkeypatch.setattr(mixing, "MAX_STRATA", strata)
+    monkeypatch.setattr(mixing, "SHARED", 2)
+    rows = mixed_rows(odd_rows)
+    docs = make(rows)
+    plan = mixing.plan(docs, 5).where("pass is not null").withColumn("block", F.pmod(F.shiftrightunsigned("k_hash", 20), F.lit(mixing.BLOCKS))).collect()
+    shard_of = {}
+    for r in plan:
+        assert shard_of.setdefault((r.source, r.block, r["pass"]), r.shard) == r.shard
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += len(brute.TOKEN.findall(r[1] or ""))
+    own = sorted(sizes, key=lambda s: (-sizes[s], s is None, s or ""))[:strata]
+    by = defaultdict(Counter)
+    for (source, _, _), shard in shard_of.items():
+        by["source " + source if source in own and source is not None else "null" if source in own else "rest"][shard] += 1
+    if strata > len(sizes):
+        quotas = {s: c.total() for s, c in by.items()}
+        parts = mixing.split_quotas([quotas[s] for s in sorted(quotas)], 5)
+        assert [[by[s][k] for s in sorted(quotas)] for k in range(5)] == parts
+    else:
+        assert by["rest"].total() > 0
+        counts = Counter(shard_of.values())
+        assert max(counts.values()) - min(counts.values()) <= 5
+    out = mixing.mix(docs, 5)
+    parts = out.select(F.spark_partition_id().alias("p"), "shard", "place").collect()
+    assert all(a.p != b.p or (a.shard, a.place) <= (b.shard, b.place) for a, b in zip(parts, parts[1:]))
+    taken = mixing.taken_words(docs).collect()
+    assert sum(len(r.shards.split(",")) for r in taken if r.shards) == out.count()
+
+
 def test_mix_of_a_long_tail(make):
     """Long documents at the crossing keep no source of many documents from its target."""
     rows = [(1000 * s + k, "w " * (4000 if k == 0 else 9) + str(k), "en", f"s{s:02}") for s in range(12) for k in range(401)]
