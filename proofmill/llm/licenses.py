@@ -1,11 +1,11 @@
 """License scans with a generalised suffix automaton of licence words.
 
 The automaton holds the words of all templates and phrases. A document is
-streamed through it once: at each word it knows the longest run of words that
-ends there and stands in some template (the matching statistics). Long maximal
-matches are chained, in order in both texts, into spans of their template; a
-span that covers enough of a template labels the document. Phrases are found
-wherever the whole phrase ends.
+streamed through it once: at each word it knows, for every template, the longest
+run of words that ends there and stands in it (the matching statistics), and all
+places where it does. Runs that can't grow any more are chained, in order in
+both texts, into spans of their template; the best chain that covers enough of a
+template labels the document. Phrases are found wherever the whole phrase ends.
 """
 
 from __future__ import annotations
@@ -55,6 +55,9 @@ MIN_MATCH = 3
 MAX_GAP = 20
 MIN_COVER = 0.8
 
+#: Characters of a table of templates: some two thousand whole licences.
+MAX_TEMPLATE_CHARS = 20_000_000
+
 _WORD_BYTES = bytes(
     c if c >= 0x80 or chr(c).isdigit() or chr(c).islower() else c + 32 if chr(c).isupper() else 32 for c in range(256)
 )
@@ -70,8 +73,10 @@ class State:
     length: int
     link: int = -1
     next: dict[int, int] = field(default_factory=dict)
-    #: Template -> the place in it after the first occurrence of this state's runs.
-    ends: dict[int, int] = field(default_factory=dict)
+    #: Template -> the places in it after the occurrences of this state's runs.
+    ends: dict[int, list[int]] = field(default_factory=dict)
+    #: Template that only shorter runs stand in -> the state of the longest of those.
+    shorter: dict[int, int] = field(default_factory=dict)
     #: Phrases that end wherever this state is reached, by (words, number).
     phrases: tuple[tuple[int, int], ...] = ()
 
@@ -90,14 +95,18 @@ class Automaton:
             last = 0
             for place, word in enumerate(ids, 1):
                 last = self._extend(last, word)
-                self.states[last].ends.setdefault(number, place)
+                self.states[last].ends.setdefault(number, []).append(place)
         self._close()
-        n = len(self.vocabulary) + 1
-        #: Pairs of words that follow each other in a template; 0 is a word of none.
-        self.pairs = np.zeros((n, n), dtype=bool)
-        for ids in self.sequences:
-            for a, b in zip(ids, ids[1:]):
-                self.pairs[a + 1, b + 1] = True
+        #: Pairs of words that follow each other in a template, as sorted numbers; word 0 is one of no template.
+        width = np.int64(len(self.vocabulary) + 1)
+        self._pairs = np.unique(np.array([(a + 1) * width + b + 1 for ids in self.sequences for a, b in zip(ids, ids[1:])], dtype=np.int64))
+
+    def pairs(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Whether two words in a row stand so in a template."""
+        if not len(self._pairs):
+            return np.zeros(len(first), dtype=bool)
+        asked = first * np.int64(len(self.vocabulary) + 1) + second
+        return self._pairs[np.minimum(np.searchsorted(self._pairs, asked), len(self._pairs) - 1)] == asked
 
     def _extend(self, last: int, word: int) -> int:
         states = self.states
@@ -132,8 +141,8 @@ class Automaton:
         order = sorted(range(1, len(self.states)), key=lambda k: self.states[k].length)
         for k in reversed(order):
             up = self.states[self.states[k].link]
-            for number, place in self.states[k].ends.items():
-                up.ends[number] = min(place, up.ends.get(number, place))
+            for number, places in self.states[k].ends.items():
+                up.ends.setdefault(number, []).extend(places)
         own: dict[int, list[tuple[int, int]]] = {}
         for number in range(len(self.phrases)):
             at = 0
@@ -141,6 +150,9 @@ class Automaton:
                 at = self.states[at].next[word]
             own.setdefault(at, []).append((self.sizes[number], number))
         for k in order:
+            up = self.states[self.states[k].link]
+            near = {number: self.states[k].link for number in up.ends} if up.length >= MIN_MATCH else {}
+            self.states[k].shorter = {number: at for number, at in {**up.shorter, **near}.items() if number not in self.states[k].ends}
             self.states[k].phrases = (*own.get(k, ()), *self.states[self.states[k].link].phrases)
 
     def scan(self, raw: bytes | None) -> tuple[int, dict[int, list[int]], dict[int, float]]:
@@ -150,21 +162,27 @@ class Automaton:
             return len(words), {}, {}
         get = self.vocabulary.get
         ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words)) + 1
-        known = self.pairs[ids[:-1], ids[1:]]
+        known = self.pairs(ids[:-1], ids[1:])
         edges = np.flatnonzero(np.diff(np.r_[False, known, False].astype(np.int8)))
         found: dict[int, list[int]] = {}
-        matches: list[tuple[int, int, int]] = []
+        matches: dict[int, list[tuple[int, int, list[int]]]] = {}
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
             self._walk((ids[a : b + 1] - 1).tolist(), a, found, matches)
-        return len(words), found, self._chain(matches)
+        covers = {number: self._chain(runs) / self.sizes[number] for number, runs in matches.items()}
+        return len(words), found, {number: share for number, share in covers.items() if share >= MIN_COVER}
 
-    def _walk(self, ids: list[int], start: int, found: dict[int, list[int]], matches: list[tuple[int, int, int]]) -> None:
-        """Matching statistics of a run of words; a match is noted where it can't grow any more."""
-        states = self.states
+    def _walk(self, ids: list[int], start: int, found: dict[int, list[int]], matches: dict[int, list[tuple[int, int, list[int]]]]) -> None:
+        """Matching statistics of a run of words; a template's match (start, words, places after it) is noted where it can't grow any more."""
+        states, first = self.states, len(self.phrases)
         at = length = 0
+        held: dict[int, tuple[int, int]] = {}
+
+        def note(runs: dict[int, tuple[int, int]], stop: int) -> None:
+            for number, (n, state) in runs.items():
+                if n >= min(MIN_MATCH, self.sizes[number]):
+                    matches.setdefault(number, []).append((stop - n, n, states[state].ends[number]))
+
         for place, word in enumerate(ids, start):
-            if word not in states[at].next and length >= MIN_MATCH:
-                matches.append((place - length, length, at))
             while at and word not in states[at].next:
                 at = states[at].link
                 length = states[at].length
@@ -174,27 +192,33 @@ class Automaton:
             for size, number in states[at].phrases:
                 if length >= size:
                     found.setdefault(number, []).append(place - size + 1)
-        if length >= MIN_MATCH:
-            matches.append((start + len(ids) - length, length, at))
-
-    def _chain(self, matches: list[tuple[int, int, int]]) -> dict[int, float]:
-        """Chains of matches in order: the largest share of each template that one covers, from MIN_COVER."""
-        first = len(self.phrases)
-        chains: dict[int, tuple[int, int, int]] = {}
-        best: dict[int, float] = {}
-        for start, length, state in matches:
-            for number, end in self.states[state].ends.items():
-                if number < first:
-                    continue
-                covered, doc_end, place = chains.get(number, (0, -MAX_GAP - 1, 0))
-                if start - doc_end > MAX_GAP or end - length < place:
-                    covered = 0
-                fresh = min(length, start + length - doc_end) if covered else length
-                chains[number] = (covered + fresh, start + length, end)
-                share = min(1.0, (covered + fresh) / self.sizes[number])
-                if share >= MIN_COVER and share > best.get(number, 0.0):
-                    best[number] = share
-        return best
+            now = {number: (states[k].length, k) for number, k in states[at].shorter.items() if number >= first}
+            now |= {number: (length, at) for number in states[at].ends if number >= first}
+            note({number: run for number, run in held.items() if now.get(number, (0, 0))[0] != run[0] + 1}, place)
+            held = now
+        note(held, start + len(ids))
+
+    @staticmethod
+    def _chain(runs: list[tuple[int, int, list[int]]]) -> int:
+        """The most words of a template that a chain of its runs covers: in order in both texts, overlaps counted once, at most MAX_GAP words of the document between two."""
+        best: list[tuple[int, int, int]] = []
+        most = low = 0
+        for start, n, places in runs:
+            stop = start + n
+            # Runs come in the order of their ends; those that end too early are left behind.
+            while low < len(best) and best[low][0] < start - MAX_GAP:
+                low += 1
+            fresh = []
+            for place in places:
+                covered = n
+                for end, end_place, have in best[low:]:
+                    over = max(0, end - start, end_place - (place - n))
+                    if over < n and start + over - end <= MAX_GAP:
+                        covered = max(covered, have + n - over)
+                fresh.append((stop, place, covered))
+                most = max(most, covered)
+            best += fresh
+        return most
 
 
 @cache
@@ -208,31 +232,40 @@ _RESULT = StructType([
 ])
 
 
-@F.arrow_udf(_RESULT)
-def _scan(raws: pa.Array) -> pa.Array:
-    machine = automaton()
-    rows = []
-    for raw in raws:
-        n, found, covers = machine.scan(raw.as_py())
-        starts = [s for places in found.values() for s in places]
-        base = {machine.phrases[k][1] for k in found}
-        labels = base | {machine.templates[k - len(machine.phrases)][0] for k in covers}
-        score = max([1.0 if base else 0.0, *covers.values()])
-        rows.append((n, len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score))
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
-    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _RESULT.names)
+def license_of(text: Column, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> Column:
+    """struct(n_words, n_base, first_word, last_word, base_labels, labels, score) of a text; a null text is empty. templates has (label, text)."""
 
+    @F.arrow_udf(_RESULT)
+    def scan(raws: pa.Array) -> pa.Array:
+        machine = automaton(PHRASES, templates)
+        rows = []
+        for raw in raws:
+            n, found, covers = machine.scan(raw.as_py())
+            starts = [s for places in found.values() for s in places]
+            base = {machine.phrases[k][1] for k in found}
+            labels = base | {machine.templates[k - len(machine.phrases)][0] for k in covers}
+            score = max([1.0 if base else 0.0, *covers.values()])
+            rows.append((n, len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
+        columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _RESULT.names)
 
-def license_of(text: Column) -> Column:
-    """struct(n_words, n_base, first_word, last_word, base_labels, labels, score) of a text; a null text is empty."""
-    return _scan(text.cast("binary"))
+    return scan(text.cast("binary"))
 
 
-def scan_licenses(docs: DataFrame) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), a row for each row of docs.
 
-    No phrase: n_base 0, null first and last words, empty base_labels. score is
-    1 with a phrase, else the best cover of a template, else 0.
+    templates has (label, text): whole licence texts or notices, instead of the
+    list of this module. They are held by the driver and each task, up to
+    MAX_TEMPLATE_CHARS in all; rows with a null are left out. No phrase: n_base
+    0, null first and last words, empty base_labels. score is 1 with a phrase,
+    else the best cover of a template, else 0.
     """
-    return docs.select(F.col("doc_id").alias("doc_id"), license_of(F.col("text")).alias("s")).select("doc_id", "s.*")
+    known = TEMPLATES
+    if templates is not None:
+        rows = templates.where("label is not null and text is not null").select(F.col("label").cast("string").alias("label"), F.col("text").alias("text")).distinct()
+        if (rows.agg(F.sum(F.length("text"))).first()[0] or 0) > MAX_TEMPLATE_CHARS:
+            raise ValueError(f"more than {MAX_TEMPLATE_CHARS} characters of templates")
+        known = tuple(sorted((r["label"], r["text"]) for r in rows.collect()))
+    return docs.select(F.col("doc_id").alias("doc_id"), license_of(F.col("text"), known).alias("s")).select("doc_id", "s.*")

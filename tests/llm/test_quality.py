@@ -154,6 +154,66 @@ def test_automaton_finds_every_phrase(phrases, templates, text):
         assert sorted(found.get(k, [])) == [i for i in range(len(text) - len(p) + 1) if text[i : i + len(p)] == p]
 
 
+def plain_cover(text, template):
+    """The share of a template that the best chain covers, from all runs that can't grow to the right, each of them the longest that ends there."""
+    runs = []
+    for end in range(1, len(text) + 1):
+        at = {}
+        for place in range(1, len(template) + 1):
+            n = 0
+            while n < min(end, place) and text[end - 1 - n] == template[place - 1 - n]:
+                n += 1
+            at[place] = n
+        n = max(at.values(), default=0)
+        grown = end < len(text) and any(at[p] == n and p < len(template) and template[p] == text[end] for p in at)
+        if n >= licenses.MIN_MATCH and not grown:
+            runs += [(end, place, n) for place in at if at[place] == n]
+    best = {}
+    for end, place, n in runs:
+        best[end, place] = n
+        for other_end, other_place, _ in runs:
+            over = max(0, other_end - (end - n), other_place - (place - n))
+            if other_end < end and over < n and end - n + over - other_end <= licenses.MAX_GAP:
+                best[end, place] = max(best[end, place], best[other_end, other_place] + n - over)
+    return max(best.values(), default=0) / max(len(template), 1)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), min_size=3, max_size=12), min_size=1, max_size=3), st.lists(st.sampled_from("abcx"), max_size=40))
+def test_best_chains(templates, text):
+    machine = licenses.Automaton((), tuple(("y", " ".join(t)) for t in templates))
+    _, _, covers = machine.scan(" ".join(text).encode())
+    expected = {k: plain_cover(text, t) for k, t in enumerate(templates)}
+    assert covers == pytest.approx({k: c for k, c in expected.items() if c >= licenses.MIN_COVER})
+
+
+def test_edited_notices_are_found():
+    """A repeated word, or one put in, doesn't break a chain."""
+    machine = licenses.automaton()
+    scan = lambda t: {machine.templates[k - len(machine.phrases)][0] for k in machine.scan(t.encode())[2]}
+    mit = "Permission is hereby granted, free of charge, {} any person obtaining a copy of this software and associated documentation files"
+    assert scan(mit.format("to any")) == {"mit"}
+    assert scan(mit.format("to the user of this software to")) == {"mit"}
+
+
+def test_a_table_of_templates(spark, make):
+    text = passage(80, 400)
+    templates = spark.createDataFrame([("own-1.0", text, "x"), ("own-2.0", passage(81, 50), "x"), (None, "a b c", "x"), ("none", None, "x")], "label string, text string, s string")
+    words = text.split()
+    docs = make([(1, "Preamble. " + " ".join(words[:200]) + " inserted words " + " ".join(words[200:]).upper()), (2, " ".join(words[:300])), (3, None), (4, passage(82, 9) + " " + passage(81, 50))])
+    got = {r.doc_id: (r.labels, round(r.score, 2)) for r in licenses.scan_licenses(docs, templates).collect()}
+    assert got == {1: ("own-1.0", 1.0), 2: ("", 0.0), 3: ("", 0.0), 4: ("own-2.0", 1.0)}
+    assert {r.labels for r in licenses.scan_licenses(docs, templates.limit(0)).collect()} == {""}
+
+
+def test_a_very_long_text_is_scanned(make):
+    text = passage(83, 300_000) + " " + licenses.TEMPLATES[2][1]
+    start = time.monotonic()
+    (got,) = licenses.scan_licenses(make([(1, text)])).collect()
+    assert got.labels == "mit"
+    assert time.monotonic() - start < 30
+
+
 def test_spans_need_cover():
     machine = licenses.automaton()
     scan = lambda t: {machine.templates[k - len(machine.phrases)][0] for k in machine.scan(t.encode())[2]}
