@@ -23,8 +23,8 @@ from proofmill.llm.common import written
 
 BUDGET = 2048
 HISTORY = 256
-#: Turns of a conversation whose prefix sums are found in one step.
-BLOCK_TURNS = 64
+#: Turns whose prefix sums are found in one step.
+BLOCK_TURNS = 4096
 #: Windows' worth of tokens that are filled in one step.
 STRETCH = 64
 #: Tokens of a turn's marks, and characters that count as a token.
@@ -54,22 +54,31 @@ def _same(a: str, b: str, *names: str) -> list[Column]:
     return [F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names]
 
 
-def _placed(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Turns with ord (from 0) and start (tokens before), and (conv, s_role, s_text, s_tokens) of the conversations with a system turn; prefix sums are taken within blocks of turns, then over blocks."""
-    order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
-    inside = W.partitionBy("conv", "block").orderBy(*order)
+def _numbered(turns: DataFrame) -> DataFrame:
+    """turns with `nth`, a number that grows in the order of conversation, turn, role and text.
+
+    The order is cut into ranges of its keys, so that no task holds a hot
+    conversation, nor one whose turns are alike or null; only rows that repeat
+    all of them share a task. Texts take part with their beginnings when ranges
+    are chosen, and as a whole within a range.
+    """
+    keys = [F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role")]
+    ranged = turns.repartitionByRange(*keys, F.substring("text", 1, 32)).sortWithinPartitions(*keys, "text")
+    return written(ranged.withColumn("nth", F.monotonically_increasing_id()), "chat-turns")
+
+
+def _placed(turns: DataFrame) -> DataFrame:
+    """(conv, nth, tokens, is_system, ord, start): the place of numbered turns in their conversation, from 0, and the tokens before them; prefix sums are taken within blocks of turns, then over blocks."""
+    turns = turns.select("conv", "nth", "tokens", "role", F.floor(F.col("nth") / BLOCK_TURNS).alias("block"))
+    inside = W.partitionBy("conv", "block").orderBy("nth")
     before = inside.rowsBetween(W.unboundedPreceding, -1)
     local = turns.withColumn("at", F.row_number().over(inside) - 1).withColumn("ahead", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
     blocks = turns.groupBy("conv", "block").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"))
     up_to = W.partitionBy("conv").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     offsets = blocks.select("conv", "block", F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("n"), F.coalesce(F.sum("t").over(up_to), F.lit(0)).alias("t"))
     placed = local.alias("l").join(offsets.alias("r"), _same("l", "r", "conv", "block"))
-    placed = placed.select(
-        "l.conv", "l.role", "l.text", "l.tokens", (F.col("l.at") + F.col("r.n")).alias("ord"), (F.col("l.ahead") + F.col("r.t")).alias("start")
-    )
-    placed = written(placed.withColumn("is_system", (F.col("ord") == 0) & (F.col("role") == SYSTEM)), "chat-turns")
-    systems = placed.where("is_system").select("conv", F.col("role").alias("s_role"), F.col("text").alias("s_text"), F.col("tokens").alias("s_tokens"))
-    return placed, written(systems, "chat-systems")
+    placed = placed.select("l.conv", "l.nth", "l.tokens", "l.role", (F.col("l.at") + F.col("r.n")).alias("ord"), (F.col("l.ahead") + F.col("r.t")).alias("start"))
+    return written(placed.withColumn("is_system", (F.col("ord") == 0) & (F.col("role") == SYSTEM)).drop("role"), "chat-placed")
 
 
 def _windows(places: DataFrame) -> DataFrame:
@@ -119,10 +128,12 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     turns = conversations.select(
         F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text.alias("text"),
-        token_count(text).alias("tokens"), F.coalesce(F.floor(F.col("turn").cast("long") / BLOCK_TURNS), F.lit(-(1 << 62))).alias("block"),
+        token_count(text).alias("tokens"),
     )
-    turns, systems = _placed(turns)
-    places = turns.alias("l").join(systems.alias("r"), _same("l", "r", "conv"), "left").select("l.conv", "l.ord", "l.start", "l.tokens", "l.is_system", F.coalesce("r.s_tokens", F.lit(0)).alias("s_tokens"))
+    turns = _numbered(turns)
+    placed = _placed(turns)
+    systems = written(placed.where("is_system").select("conv", "nth", F.col("tokens").alias("s_tokens")), "chat-systems")
+    places = placed.alias("l").join(systems.alias("r"), _same("l", "r", "conv"), "left").select("l.conv", "l.ord", "l.nth", "l.start", "l.tokens", "l.is_system", F.coalesce("r.s_tokens", F.lit(0)).alias("s_tokens"))
     room = F.greatest(F.lit(budget) - F.col("s_tokens"), F.lit(0)).cast("long")
     # The history takes at most half of the room, so that few windows repeat a turn.
     places = places.withColumn("room", room).withColumn("reserve", F.least(F.lit(history), F.floor(F.col("room") / 2)).cast("long"))
@@ -136,21 +147,23 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
     cell = max(history, 1)
     ahead = spans.where("window > 0 and back > 0").withColumn("least", F.greatest(F.col("first") - F.col("back"), F.lit(0)))
     ahead = ahead.withColumn("cell", F.explode(F.sequence(F.floor(F.col("least") / cell), F.floor((F.col("first") - 1) / cell))))
-    cells = places.where(~F.col("is_system")).select("conv", "ord", "from", F.floor(F.col("from") / cell).alias("cell"))
+    cells = places.where(~F.col("is_system")).select("conv", "ord", "nth", "from", F.floor(F.col("from") / cell).alias("cell"))
     past = ahead.alias("l").join(cells.alias("r"), _same("l", "r", "conv", "cell")).where("r.from >= l.least and r.ord < l.window")
-    past = past.select("l.conv", "l.window", F.lit(True).alias("repeated"), "r.ord")
+    past = past.select("l.conv", "l.window", F.lit(True).alias("repeated"), "r.ord", "r.nth")
+    # Numbers of a conversation follow each other within a range of the order only: new turns find theirs by their place.
     fresh = spans.select("conv", "window", F.lit(False).alias("repeated"), F.explode(F.sequence("window", F.col("stop") - 1)).alias("ord"))
-    held = written(fresh.unionByName(past), "chat-held")
-    held = held.alias("l").join(turns.alias("r"), _same("l", "r", "conv", "ord")).select("l.*", "r.role", "r.text")
+    fresh = fresh.alias("l").join(places.alias("r"), _same("l", "r", "conv", "ord")).select("l.*", "r.nth")
     heads = spans.where("window > 0").alias("l").join(systems.alias("r"), _same("l", "r", "conv"))
-    heads = heads.select("l.conv", "l.window", F.lit(True).alias("repeated"), F.lit(0).cast("long").alias("ord"), F.col("r.s_role").alias("role"), F.col("r.s_text").alias("text"))
+    heads = heads.select("l.conv", "l.window", F.lit(True).alias("repeated"), F.lit(0).cast("long").alias("ord"), "r.nth")
+    held = written(fresh.unionByName(past).unionByName(heads), "chat-held")
+    held = held.join(turns.select("nth", "role", "text"), "nth")
 
     head = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MID))
     body = escape(F.col("text"))
     piece = F.struct(
         F.col("ord").cast("long").alias("ord"), "repeated", head.alias("head"), body.alias("body"), (~F.col("repeated") & (F.col("role") == TARGET)).alias("target")
     )
-    whole = held.unionByName(heads).groupBy("conv", "window").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    whole = held.groupBy("conv", "window").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
     size = lambda p: F.length(p["head"]) + F.length(p["body"]) + len(CLOSE)
     none = F.array().cast("array<struct<start:int,length:int>>")
     spans_of = F.aggregate(

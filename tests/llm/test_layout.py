@@ -86,6 +86,16 @@ def test_stretches_and_history(spark):
     assert shape == [(0, "sab"), (3, "scde"), (6, "sdef")]
 
 
+def test_one_hot_conversation(spark):
+    """Rows without an id are one conversation, in order of turn, role and text, however their turns repeat."""
+    rows = [(None, k % 3 if k % 7 else None, ("user", "assistant")[k % 2], passage(k % 500, 1 + k % 20)) for k in range(6000)]
+    (got,) = chat.read_back(chat.format_windows(conversations(spark, rows).repartition(7))).collect()
+    rows.sort(key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
+    assert (got.conv_id, got.n_turns) == (None, 6000)
+    assert got.turns_text == "".join(f"{r}\n{x}\n" for _, _, r, x in rows)
+    assert got.learned == "".join(x for _, _, r, x in rows if r == "assistant")
+
+
 def test_no_conversations(spark):
     assert chat.format_windows(conversations(spark, [])).count() == 0
 
