@@ -18,6 +18,8 @@ from proofmill.config import PLACEHOLDERS
 
 #: Unicode white space; the \s of Java and of RE2 is ASCII.
 WS = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: The same characters as a list.
+WS_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Where a line ends.
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 #: Deleted: emoji and symbols, arrows and bullets, direction marks, soft hyphens, zero-width characters.

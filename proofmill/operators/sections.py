@@ -18,7 +18,7 @@ UNNAMED = "UNKNOWN"
 
 
 def stripped(line: Column) -> Column:
-    return F.regexp_replace(F.coalesce(line, F.lit("")), rf"^[{T.WS}]+|[{T.WS}]+$", "")
+    return F.btrim(F.coalesce(line, F.lit("")), F.lit(T.WS_CHARS))
 
 
 def header(line: Column) -> Column:
