@@ -38,6 +38,8 @@ MAX_STRATA = 100_000
 SHARED = 1024
 #: A miss of a last pass up to this share of it is near enough; above it, documents are exchanged.
 NEAR = 0.001
+#: Rounds over smaller documents go on while more than this share of a last pass is missing.
+FILLED = 0.0001
 
 
 def word_count(text: Column) -> Column:
@@ -185,25 +187,29 @@ def _filled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     long as the gap holds them. What is still missing is less than the next
     document: rounds follow over the documents that are left and below the
     power of two under the gap. Each either takes all of them or leaves a gap
-    below that power, so there are at most log2(gap) rounds. Of what is left
-    then, one document fits at most.
+    below that power, so there are at most log2(1 / FILLED) rounds; a source
+    whose gap is a FILLED part of its first one takes no part in them, so that
+    large sources need none.
     """
     names = ["k_id", "k_hash", "source", "block", "weight"]
     picked = written(_picked(docs), "mix-picked")
     missing = F.first("gap") - F.sum(F.when(F.col("last"), F.col("weight")).otherwise(0))
-    gaps = written(picked.groupBy("source").agg(missing.alias("gap")), "mix-gaps")
+    gaps = written(picked.groupBy("source").agg(missing.alias("gap"), (F.first("gap") * FILLED).alias("near")), "mix-gaps")
     first, more = picked.drop("gap"), []
     while True:
-        below = F.pow(F.lit(2.0), F.length(F.bin(F.floor("gap").cast("long"))) - 1)
-        left = _with_source(picked.where("not last and weight > 0").select(*names), gaps).where(F.col("weight") < below)
-        left = written(left, "mix-left")
-        if left.isEmpty():
+        open_gaps = gaps.where("gap >= 1 and gap > near").drop("near")
+        if open_gaps.isEmpty():
             break
+        below = F.pow(F.lit(2.0), F.length(F.bin(F.floor("gap").cast("long"))) - 1)
+        left = _with_source(picked.where("not last and weight > 0").select(*names), open_gaps).where(F.col("weight") < below)
         picked = written(_picked(left), "mix-round")
+        if picked.isEmpty():
+            break
         more.append(picked.where("last").select(*names))
         taken = picked.where("last").groupBy("source").agg(F.sum("weight").alias("taken"))
         both = gaps.alias("l").join(taken.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source")), "left")
-        gaps = written(both.select("l.source", (F.col("l.gap") - F.coalesce("r.taken", F.lit(0))).alias("gap")), "mix-gaps")
+        gaps = written(both.select("l.source", (F.col("l.gap") - F.coalesce("r.taken", F.lit(0))).alias("gap"), "l.near"), "mix-gaps")
+    gaps = gaps.drop("near")
     return written(_toggled(first, reduce(DataFrame.unionByName, more)), "mix-marked") if more else first, gaps
 
 
