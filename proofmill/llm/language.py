@@ -40,8 +40,8 @@ MAX_LANGUAGES = 512
 EVIDENCE = 4
 #: Expected number of documents that a language is learned from; all of them if it has fewer.
 TRAIN_DOCS = 5_000
-#: Below this score a text's language counts as unknown.
-MIN_SCORE = 0.5
+#: Below this score a text's language counts as unknown. Unseen letters score near 0; clean texts that mix learned languages don't.
+MIN_SCORE = 0.1
 UNKNOWN = "und"
 _SLICE = 1 << 18
 
