@@ -9,6 +9,9 @@ and a window's count is at most its representative's. Each partition sketches
 its representatives, once for each document, in DEPTH rows of counters; Spark
 sums the partitions' counters. A count-min estimate is never too low: windows
 whose representative is estimated below 2 can't repeat, and no other is lost.
+Counters grow with the text, eight for each representative. While a bitmap of
+those at 2 or more is small it is broadcast; beyond that the representatives'
+counters are joined with the repeated ones, both dealt out by counter.
 
 Pass 2 looks exactly at the windows that are left. Windows in a row with one
 representative are a segment. Equal segments (128-bit hashes) are grouped
@@ -37,8 +40,9 @@ from proofmill.llm.common import row_key, written
 WINDOW = 50
 GRAM = 25
 DEPTH = 2
-#: Counters of a sketch row: eight for each expected representative, between these powers of two. The broadcast bitmaps take DEPTH / 8 bytes for each, 64 MB at most; above that the sketch lets more windows through to the exact pass.
-MIN_BITS, MAX_BITS = 16, 28
+MIN_BITS = 16
+#: Up to 2**BROADCAST_BITS counters a sketch row, their bitmaps are broadcast: DEPTH / 8 bytes for each, 64 MB at most. Larger sketches stay on the executors.
+BROADCAST_BITS = 28
 BLOCK_BITS = 20
 #: Windows of a segment at most; longer ones are cut.
 SEGMENT = 1024
@@ -149,14 +153,45 @@ def segment_hashes(words: np.ndarray, starts: np.ndarray, stops: np.ndarray, fac
     return _mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64) * np.uint64(_FACTORS[0]))
 
 
-def candidate_segments(docs: DataFrame, bits: int) -> DataFrame:
+def repeated_cells(raw: DataFrame, bits: int) -> DataFrame:
+    """(k_id, k_text, maybe): of each document, the first counters of its representatives whose counters are all at 2 or more.
+
+    Representatives travel without text, by one counter after another; only those that pass one go on to the next.
+    """
+    names = [f"c{row}" for row in range(DEPTH)]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, words in _texts(batch, "raw"):
+                at = cells(np.unique(representatives(word_hashes(words))), bits)
+                ids = [batch.column(c).take(pa.array(np.full(len(at[0]), k, np.int32))) for c in ("k_id", "k_text")]
+                yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, at)], ["k_id", "k_text", *names])
+
+    high = written(sketch(raw, bits).where("n >= 2").select("cell"), "repeat-cells")
+    asked = raw.mapInArrow(ask, f"{_id_field(raw)}, k_text long, {', '.join(f'{c} long' for c in names)}")
+    for row, name in enumerate(names):
+        full = high.where(F.shiftright("cell", bits) == row).select((F.col("cell") - (row << bits)).alias(name))
+        asked = asked.join(full.hint("merge"), name, "left_semi")
+    return written(asked.groupBy("k_id", "k_text").agg(F.collect_set(names[0]).alias("maybe")), "repeat-maybe")
+
+
+def _id_field(raw: DataFrame) -> str:
+    fields = StructType([StructField("k_id", raw.schema["k_id"].dataType)]).simpleString()
+    return fields[len("struct<") : -1].replace(":", " ", 1)
+
+
+def candidate_segments(docs: DataFrame, bits: int, broadcast_bits: int = BROADCAST_BITS) -> DataFrame:
     """(k_id, k_text, start, n, anchor, s1, s2, windows): segments of n windows from word start that the sketch can't rule out."""
     raw = docs.select(*row_key(F.col("doc_id"), F.col("text")), F.col("text").cast("binary").alias("raw")).where("k_id is not null")
-    shared = docs.sparkSession.sparkContext.broadcast(repeated_bitmap(raw, bits))
-    id_type = raw.schema["k_id"].dataType
+    fields = _id_field(raw)
+    shared = None
+    if bits <= broadcast_bits:
+        shared = docs.sparkSession.sparkContext.broadcast(repeated_bitmap(raw, bits))
+    else:
+        raw = raw.join(repeated_cells(raw, bits).hint("merge"), ["k_id", "k_text"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
+        bitmap = shared.value if shared else None
         for batch in batches:
             for k, words in _texts(batch, "raw"):
                 hashes = word_hashes(words)
@@ -170,10 +205,13 @@ def candidate_segments(docs: DataFrame, bits: int) -> DataFrame:
                     first = np.flatnonzero(offset % SEGMENT == 0)
                     length = np.diff(np.r_[first, len(lows)])
                 anchors = lows[first]
-                maybe = np.ones(len(first), dtype=bool)
-                for row, cell in enumerate(cells(anchors, bits)):
-                    at = cell + (row << bits)
-                    maybe &= (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                if bitmap is None:
+                    maybe = np.isin(cells(anchors, bits)[0], batch.column("maybe")[k].values.to_numpy())
+                else:
+                    maybe = np.ones(len(first), dtype=bool)
+                    for row, cell in enumerate(cells(anchors, bits)):
+                        at = cell + (row << bits)
+                        maybe &= (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
                 first, length, anchors = first[maybe], length[maybe], anchors[maybe]
                 if not len(first):
                     continue
@@ -184,7 +222,6 @@ def candidate_segments(docs: DataFrame, bits: int) -> DataFrame:
                 parts = [pa.array(first.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(anchors.view(np.int64))]
                 yield pa.RecordBatch.from_arrays([*ids, *parts, *both, lists], ["k_id", "k_text", "start", "n", "anchor", "s1", "s2", "windows"])
 
-    fields = StructType([StructField("k_id", id_type)]).simpleString()[len("struct<") : -1].replace(":", " ", 1)
     return raw.mapInArrow(find, f"{fields}, k_text long, start int, n int, anchor long, s1 long, s2 long, windows array<long>")
 
 
@@ -209,7 +246,7 @@ def repeated_windows(segments: DataFrame) -> DataFrame:
     return whole.unionByName(one)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, broadcast_bits: int = BROADCAST_BITS) -> DataFrame:
     """(doc_id, n_words, n_removed, text), a row for each row of docs.
 
     text holds the words that stay, joined by one space. A null text has no
@@ -217,8 +254,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     null id neither take nor lose any. Windows are judged on the input.
     """
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(8 * volume / _BYTES_PER_ANCHOR + 1))))
-    gone = repeated_windows(written(candidate_segments(docs, bits), "repeat-segments"))
+    bits = max(MIN_BITS, math.ceil(math.log2(8 * volume / _BYTES_PER_ANCHOR + 1)))
+    gone = repeated_windows(written(candidate_segments(docs, bits, broadcast_bits), "repeat-segments"))
     gone = gone.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
     base = docs.select(*row_key(F.col("doc_id"), F.col("text")), F.col("text").cast("binary").alias("raw"))
     both = base.alias("d").join(gone.alias("x"), F.col("d.k_id").eqNullSafe(F.col("x.k_id")) & (F.col("d.k_text") == F.col("x.k_text")), "left")

@@ -49,12 +49,13 @@ def test_lines_empty_documents(make):
     assert {(r.n_lines, r.n_dropped, r.text) for r in got} == {(1, 1, "")}
 
 
-def test_substrings(make, odd_rows):
+@pytest.mark.parametrize("broadcast_bits", [substring_dedup.BROADCAST_BITS, 0])
+def test_substrings(make, odd_rows, broadcast_bits):
     shared = passage(7, 90)
     rng = random.Random(5)
     rows = [*odd_rows, *[(700 + k, passage(70 + k, 30) + " " + shared[rng.randint(0, 40) :] + "\n" + passage(170 + k, 30)) for k in range(30)]]
     rows += [(800, "spam " * 6000), (801, "spam " * 3000 + "eggs " + "spam " * 3000), (802, "spam " * 49)]
-    got = substring_dedup.remove_repeats(make(rows)).collect()
+    got = substring_dedup.remove_repeats(make(rows), broadcast_bits).collect()
     expected = brute.without_repeats([r[:2] for r in rows])
     assert sorted(key((r.doc_id, r.n_words, r.n_removed, r.text)) for r in got) == sorted(map(key, expected))
 
