@@ -41,7 +41,7 @@ WINDOW = 50
 GRAM = 25
 DEPTH = 2
 MIN_BITS = 16
-#: Up to 2**BROADCAST_BITS counters a sketch row, their bitmaps are broadcast: DEPTH / 8 bytes for each, 64 MB at most. Larger sketches stay on the executors.
+#: Up to 2**BROADCAST_BITS counters a sketch row, their bitmaps are broadcast: DEPTH / 8 bytes for each, 64 MB at most. Where that is less than two for each representative (above some 10 GB of text), larger sketches stay on the executors.
 BROADCAST_BITS = 28
 BLOCK_BITS = 20
 #: Windows of a segment at most; longer ones are cut.
@@ -255,6 +255,9 @@ def remove_repeats(docs: DataFrame, broadcast_bits: int = BROADCAST_BITS) -> Dat
     """
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(MIN_BITS, math.ceil(math.log2(8 * volume / _BYTES_PER_ANCHOR + 1)))
+    # Two counters for each representative still rule out four in five of the windows that don't repeat: that costs less than the joins.
+    if bits <= broadcast_bits + 2:
+        bits = min(bits, broadcast_bits)
     gone = repeated_windows(written(candidate_segments(docs, bits, broadcast_bits), "repeat-segments"))
     gone = gone.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
     base = docs.select(*row_key(F.col("doc_id"), F.col("text")), F.col("text").cast("binary").alias("raw"))
