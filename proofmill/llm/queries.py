@@ -91,10 +91,37 @@ def queries() -> dict:
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_TOKEN = r"'[^\x20\x09-\x0D]+'"
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_decontaminate": f"""
+with i as (select item_id, regexp_extract_all({_LOWER.format('text')}, {_WORD}) as w from benchmark),
+g as (select item_id, w, least(10, len(w)) as n from i where len(w) > 0),
+p as (select item_id, w, n, unnest(range(1, len(w) - n + 2)) as a from g),
+k as (select distinct item_id, n, array_to_string(w[a:a + n - 1], ' ') as win from p),
+d as (select doc_id, text, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_WORD}) as w from documents),
+s as (select distinct n from k),
+q as (select doc_id, text, w, n, unnest(range(1, len(w) - n + 2)) as a from d, s where len(w) >= n),
+x as (select doc_id, text, n, a, array_to_string(w[a:a + n - 1], ' ') as win from q),
+h as (select distinct x.doc_id, x.text, x.a, x.n, k.item_id from x join k on x.n = k.n and x.win = k.win),
+c as (select doc_id, text, count(distinct pos) as n_hit from (select doc_id, text, unnest(range(a, a + n)) as pos from h) group by all),
+t as (select doc_id, text, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from h group by all)
+select d.doc_id, len(d.w) as n_words, coalesce(c.n_hit, 0) as n_hit, coalesce(t.n_items, 0) as n_items, sha256(coalesce(t.ids, '')) as items_sha256, coalesce(c.n_hit, 0) > 0 as contaminated
+from d left join c on d.doc_id = c.doc_id and d.text = c.text left join t on d.doc_id = t.doc_id and d.text = t.text""",
+        "op4_substring_dedup": f"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), {_TOKEN}) as w from documents),
+p as (select doc_id, w, unnest(range(1, len(w) - 48)) as a from d where len(w) >= 50),
+x as (select doc_id, a, array_to_string(w[a:a + 49], ' ') as win from p),
+l as (select doc_id, a, min(doc_id) over (partition by win) as least from x),
+g as (select distinct doc_id, unnest(range(a, a + 50)) as pos from l where least < doc_id),
+f as (select d.doc_id, unnest(range(1, len(w) + 1)) as pos, unnest(w) as word from d),
+r as (select f.doc_id, count(*) as n_words, count(g.pos) as n_removed, string_agg(word, ' ' order by f.pos) filter (where g.pos is null) as kept
+      from f left join g on f.doc_id = g.doc_id and f.pos = g.pos group by f.doc_id)
+select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join r on d.doc_id = r.doc_id""",
         "op7_line_dedup": f"""
 with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
 l as (select doc_id, unnest(range(1, len(lines) + 1)) as pos, unnest(lines) as line from d),
