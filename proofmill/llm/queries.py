@@ -9,14 +9,18 @@ from proofmill.llm import (
     chat,
     decontaminate,
     exact_dedup,
+    infill,
     language,
     licenses,
     line_dedup,
     mixing,
+    multiset_hash,
     near_dedup,
+    periodic,
     sharding,
     substring_dedup,
 )
+from proofmill.functions.compare import once
 from proofmill.plans.views import table
 
 
@@ -85,8 +89,69 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): documents, a tenth of them, chosen by a hash of their id, with a period put in behind a place that the hash gives."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.floor(h / 10).alias("g"), (h % 10 == 0).alias("put"))
+    rows = once(rows, "w", F.when(F.col("put"), F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)))
+    n = F.size("w")
+    rows = rows.withColumn("n", n).withColumn("a", F.when(n > 0, F.col("g") % n).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    word = lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")))
+    put = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), word), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, put).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.periodic_runs(with_periods(table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    out = out.withColumn("best", periodic.strongest(F.col("runs")))
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        "n",
+        "form",
+        F.col("prefix_units").alias("prefix_chars"),
+        F.col("middle_units").alias("middle_chars"),
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = multiset_hash.edited_by_next(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        multiset_hash.as_string(F.col("vector")).alias("fingerprint"),
+        multiset_hash.as_string(F.col("edited_vector")).alias("edited_fingerprint"),
+        multiset_hash.likeness(F.col("vector"), F.col("edited_vector")).alias("near_edited"),
+        multiset_hash.likeness(F.col("vector"), F.col("next_vector")).alias("near_next"),
+    )
+
+
+_QUERIES = (
+    op1_language_id, op2_decontaminate, op3_simhash, op4_substring_dedup, op5_chat_format, op6_mix_sources, op7_line_dedup, op8_exact_dedup, op9_sharding, op10_license_scan,
+    op11_periodic_runs, op12_fill_in_middle, op13_fingerprints,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_simhash, op4_substring_dedup, op5_chat_format, op6_mix_sources, op7_line_dedup, op8_exact_dedup, op9_sharding, op10_license_scan)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -94,6 +159,14 @@ _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _TOKEN = r"'[^\x20\x09-\x0D]+'"
 
+#: CRC-32 of a text of ASCII characters: each is put in, then the register is shifted eight times.
+_CRC32 = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split({}, ''), lambda ch: [cast(ascii(ch) as bigint), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: case when x >= 0 then xor(c, x) else xor(c >> 1, 3988292384 * (c & 1)) end), 4294967295)"""
+_LIKENESS = (
+    "case when {0} = {1} then 1.0 else coalesce(least(greatest(2 * list_dot_product(cast({2} as double[]), cast({3} as double[])) "
+    "/ nullif(list_dot_product(cast({2} as double[]), cast({2} as double[])) + list_dot_product(cast({3} as double[]), cast({3} as double[])), 0.0), 0.0), 1.0), 0.0) end"
+)
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -136,4 +209,40 @@ with d as (select doc_id, {_LOWER.format("coalesce(text, '')")} as t from docume
 select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
        doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
 from d""",
+        "op11_periodic_runs": f"""
+with c as (select doc_id, regexp_extract_all(coalesce(text, ''), {_TOKEN}) as w, {_CRC32.format('cast(doc_id as varchar)')} as h from documents),
+d as (select doc_id, w, len(w) as n, h % 10 = 0 as put, h // 10 as g, (h // 10) % greatest(len(w), 1) as a from c),
+t as (select doc_id, n, i, w[1 + case when put and i >= a then a + (i - a) % (1 + (n - a) // (3 + g % 8)) else i end] as word from (select *, unnest(range(n)) as i from d)),
+e as (select x.doc_id, y.i - x.i as q, x.i as i from t x join t y on x.doc_id = y.doc_id and x.word = y.word and y.i > x.i and 3 * (y.i - x.i) <= x.n),
+s as (select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) as island from e),
+l as (select doc_id, q, min(i) as start, count(*) + q as length from s group by doc_id, q, island having count(*) + q >= greatest(24, 3 * q)),
+r as (select * from l where not exists (select 1 from l as o where o.doc_id = l.doc_id and o.q < l.q and l.q % o.q = 0 and o.start <= l.start and o.start + o.length >= l.start + l.length)),
+b as (select *, row_number() over (partition by doc_id order by length / cast(q as double) desc, start, q) as nth from r),
+m as (select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' order by start, q) as runs from r group by doc_id),
+g as (select distinct doc_id, unnest(range(start + q, start + length)) as i from r),
+k as (select t.doc_id, string_agg(word, ' ' order by t.i) as kept from t left join g on t.doc_id = g.doc_id and t.i = g.i where g.i is null group by t.doc_id)
+select d.doc_id, coalesce(n_runs, 0) as n_runs, b.start, b.length, b.q as period, cast(1000 * b.length // b.q as bigint) as exponent_milli, sha256(coalesce(runs, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256
+from d left join b on d.doc_id = b.doc_id and b.nth = 1 left join m on d.doc_id = m.doc_id left join k on d.doc_id = k.doc_id""",
+        "op12_fill_in_middle": f"""
+with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || doc_id) as x from documents),
+h as (select *, {', '.join(f"cast('0x' || x[{8 * k + 1}:{8 * k + 8}] as bigint) as h{k + 1}" for k in range(4))} from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+             case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from h),
+p as (select *, substr(t, 1, a) as pre, substr(t, a + 1, b - a) as mid, substr(t, b + 1) as suf from c)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(t) as restored_sha256
+from p""",
+        "op13_fingerprints": f"""
+with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n from documents),
+x as (select *, coalesce(lead(t) over (order by doc_id), first_value(t) over (order by doc_id)) as nx, coalesce(lead(doc_id) over (order by doc_id), first_value(doc_id) over (order by doc_id)) as nid from d),
+e as (select *, substr(t, 1, n - n // 2) || substr(nx, 1, n // 2) as ed from x),
+u as (select doc_id, 0 as k, unnest(string_split(t, chr(10))) as p from e union all select doc_id, 1, unnest(string_split(ed, chr(10))) from e),
+g as (select doc_id, k, sha256('0:' || p) || sha256('1:' || p) as h from u),
+j as (select doc_id, k, h, unnest(range(1, 129)) as j from g),
+s as (select doc_id, k, j, cast(sum(2 * instr('0123456789abcdef', h[j]) - 17) as bigint) as v from j group by all),
+m as (select doc_id, k, j, (v % 1048576 + 1048576) % 1048576 as v from s),
+f as (select doc_id, k, string_agg(printf('%05x', v), '' order by j) as fp, list(case when v > 524287 then v - 1048576 else v end order by j) as l from m group by doc_id, k),
+o as (select e.doc_id, e.n, e.ed, f.fp, f.l, g.fp as efp, g.l as el, h.fp as nfp, h.l as nl from e join f on f.doc_id = e.doc_id and f.k = 0 join f g on g.doc_id = e.doc_id and g.k = 1 join f h on h.doc_id = e.nid and h.k = 0)
+select doc_id, n as n_chars, sha256(ed) as edited_sha256, fp as fingerprint, efp as edited_fingerprint, {_LIKENESS.format('fp', 'efp', 'l', 'el')} as near_edited, {_LIKENESS.format('fp', 'nfp', 'l', 'nl')} as near_next
+from o""",
     }

@@ -153,3 +153,26 @@ def languages(docs, floor=0.01, evidence=4):
         weight = min(1.0, evidence / len(found))
         tempered = {k: log[k] * weight + prior[k] for k in names}
         yield best, 1 / sum(math.exp(min(tempered[k] - tempered[best], 700.0)) for k in names) * sum(one in seen for one, _, _ in found) / len(found)
+
+
+def runs(words):
+    """(start, length, period) of every run, by start, then period."""
+    n, found = len(words), []
+    for q in range(1, n // 3 + 1):
+        at = 0
+        while at < n - q:
+            if words[at] != words[at + q]:
+                at += 1
+                continue
+            start = at
+            while at < n - q and words[at] == words[at + q]:
+                at += 1
+            length = at - start + q
+            if length >= max(24, 3 * q) and not any(q % p == 0 and s <= start and s + size >= start + length for s, size, p in found):
+                found.append((start, length, q))
+    return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+def collapsed(words, found):
+    gone = {i for start, length, period in found for i in range(start + period, start + length)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
