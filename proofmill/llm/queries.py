@@ -238,10 +238,12 @@ x as (select *, coalesce(lead(t) over (order by doc_id), first_value(t) over (or
 e as (select *, substr(t, 1, n - n // 2) || substr(nx, 1, n // 2) as ed from x),
 u as (select doc_id, 0 as k, unnest(string_split(t, chr(10))) as p from e union all select doc_id, 1, unnest(string_split(ed, chr(10))) from e),
 g as (select doc_id, k, sha256('0:' || p) || sha256('1:' || p) as h from u),
-j as (select doc_id, k, h, unnest(range(1, 129)) as j from g),
-s as (select doc_id, k, j, cast(sum(2 * instr('0123456789abcdef', h[j]) - 17) as bigint) as v from j group by all),
-m as (select doc_id, k, j, (v % 1048576 + 1048576) % 1048576 as v from s),
-f as (select doc_id, k, string_agg(printf('%05x', v), '' order by j) as fp, list(case when v > 524287 then v - 1048576 else v end order by j) as l from m group by doc_id, k),
+j as (select doc_id, k, h, unnest(range(40)) as j from g),
+c as (select doc_id, k, h, j, 64 * (j // 20) + 15 * (j // 5 % 4) + 5 - j % 5 as z from j),
+s as (select doc_id, k, j, sum(cast(2 * instr('0123456789abcdef', h[z]) - 17 as hugeint) * 1099511627776 + (2 * instr('0123456789abcdef', h[z + 5]) - 17) * 1048576 + 2 * instr('0123456789abcdef', h[z + 10]) - 17) as v from c group by all),
+m as (select doc_id, k, j, cast((v % 1152921504606846976 + 1152921504606846976) % 1152921504606846976 as bigint) as v from s),
+q as (select *, (v + 524288) >> 20 as v1, (((v + 524288) >> 20) + 524288) >> 20 as v2 from m),
+f as (select doc_id, k, string_agg(printf('%015x', v), '' order by j) as fp, flatten(list([((v + 524288) & 1048575) - 524288, ((v1 + 524288) & 1048575) - 524288, ((v2 + 524288) & 1048575) - 524288])) as l from (select * from q order by doc_id, k, j) group by doc_id, k),
 o as (select e.doc_id, e.n, e.ed, f.fp, f.l, g.fp as efp, g.l as el, h.fp as nfp, h.l as nl from e join f on f.doc_id = e.doc_id and f.k = 0 join f g on g.doc_id = e.doc_id and g.k = 1 join f h on h.doc_id = e.nid and h.k = 0)
 select doc_id, n as n_chars, sha256(ed) as edited_sha256, fp as fingerprint, efp as edited_fingerprint, {_LIKENESS.format('fp', 'efp', 'l', 'el')} as near_edited, {_LIKENESS.format('fp', 'nfp', 'l', 'nl')} as near_next
 from o""",
