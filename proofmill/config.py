@@ -62,6 +62,8 @@ class Config:
     batch_size: int = 16
     max_crop_ratio: float = 0.95
     vector_threshold: float = 0.7
+    vector_scales: tuple[float, ...] = (0.6, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.4)
+    vector_least: int = 8
     expiry_days: int = 7
     min_width: int = 1024
     min_height: int = 768

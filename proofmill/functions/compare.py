@@ -148,35 +148,3 @@ def grey_zone(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     f = F.col("g_f")
     rows = once(rows.where(~f["ok"]), "similarity", F.when(near_enough(f["a"], f["b"], config), edit_similarity(f["a"], f["b"], config)))
     return rows.where(in_grey_zone(f["ok"], F.col("similarity"), config)).drop("g_f")
-
-
-def centred_scores(crops: DataFrame, templates: DataFrame, config: Config = DEFAULT, threshold: str | None = None) -> DataFrame:
-    """(vec_id, score, status): each crop's best correlation with the templates of its label.
-
-    A template fits if it isn't longer than the crop. No template for the
-    label, none that fits, below the threshold: each has its reason. threshold
-    names a column of crops that overrides the configured one where not null.
-    """
-
-    def centred(name: str) -> Column:
-        v = F.col(name)
-        mean = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x) / F.size(v)
-        return F.transform(v, lambda x: x - mean)
-
-    def norm(v: Column) -> Column:
-        return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-
-    limit = F.coalesce(F.col(threshold), F.lit(config.vector_threshold)) if threshold else F.lit(config.vector_threshold)
-    t = templates.select("label", F.size("embedding").alias("t_size"), centred("embedding").alias("t"))
-    c = crops.select("vec_id", "label", limit.alias("limit"), F.size("embedding").alias("size"), centred("embedding").alias("c"))
-    both = c.join(t, "label", "left")
-    dot = F.aggregate(F.zip_with("c", "t", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    fits = F.col("t_size") <= F.col("size")
-    score = F.when(fits, F.coalesce(dot / F.nullif(norm(F.col("c")) * norm(F.col("t")), F.lit(0.0)), F.lit(0.0)))
-    best = both.groupBy("vec_id", "limit").agg(F.max(score).alias("score"), F.count("t_size").alias("n"))
-    status = (
-        F.when(F.col("n") == 0, "logo_template_missing").when(F.col("score").isNull(), "logo_template_larger_than_zone")
-        .when(F.col("score") >= F.col("limit"), "OK").otherwise("logo_mismatch")
-    )
-    return best.select("vec_id", F.round("score", 4).alias("score"), status.alias("status"))
-

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proofmill.config import DEFAULT
 from proofmill.functions import compare as C
 from proofmill.functions import text as T
+from proofmill.operators import matching as X
 from proofmill.operators import sections as S
 from proofmill.operators import vote as V
 from proofmill.plans import duck as D
@@ -208,7 +210,25 @@ select vec_id, round(s, 4) as score, case when s is null then 'logo_template_mis
 def cmp_vectors(spark, sf_dir):
     rows = view(spark, sf_dir, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
     even = F.col("vec_id") % 2 == 0
-    return C.centred_scores(rows.where(~even), rows.where(even & (F.col("label") != 7)))
+    return X.match_scores(rows.where(~even), rows.where(even & (F.col("label") != 7)))
+
+
+@query("""
+with c as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from @v_crops),
+t as (select vec_id as tid, label, list_transform(embedding, lambda x: cast(x as double)) as v, len(embedding) as n from @v_templates),
+s as (select *, unnest([0.6::double, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.4]) as f from t),
+m as (select *, cast(greatest(round_even(n * f, 0), 1) as int) as m, list_concat([0.0], list_transform(range(1, n + 1), lambda k: list_sum(v[1:k])), [0.0]) as p from s where round_even(n * f, 0) >= 8),
+e as (select tid, label, m, n, v, p, list_transform(range(0, m + 1), lambda j: cast(j * n as double) / m) as x from m),
+a as (select tid, label, m, n, list_transform(x, lambda y: p[cast(floor(y) as int) + 1] + (y - floor(y)) * coalesce(v[cast(floor(y) as int) + 1], 0.0)) as q from e),
+z as (select tid, label, m, list_transform(range(1, m + 1), lambda j: (q[j + 1] - q[j]) * m / n) as r from a),
+w as (select c.vec_id, z.m, z.r, c.v, unnest(range(0, len(c.v) - z.m + 1)) as o from c join z on c.label = z.label and z.m <= len(c.v)),
+k as (select vec_id, m, r, v[o + 1:o + m] as u from w),
+g as (select vec_id, (list_dot_product(u, r) - list_sum(u) * list_sum(r) / m) / sqrt((list_dot_product(u, u) - list_sum(u) * list_sum(u) / m) * (list_dot_product(r, r) - list_sum(r) * list_sum(r) / m)) as score from k),
+b as (select vec_id, max(score) as score from g group by 1)
+select c.vec_id, round(b.score, 4) as score, case when c.label not in (select label from t) then 'logo_template_missing' when b.score is null then 'logo_template_larger_than_zone' when b.score >= 0.7 then 'OK' else 'logo_mismatch' end as status
+from c left join b on c.vec_id = b.vec_id""")
+def cmp_vector_matches(spark, sf_dir):
+    return X.match_scores(view(spark, sf_dir, "v_crops"), view(spark, sf_dir, "v_templates"), DEFAULT.vector_scales)
 
 
 _GROUPED = f"""

@@ -2,7 +2,7 @@
 
 Marks in the SQL: @name is a table or another view; @each(a, b) makes a row of
 each value; @lines(x) an array of lines; @flip(a) reverses an array, @join(a)
-joins it by line ends, @at(a, i) is its i-th element from 1.
+joins it by line ends, @cut(a; i; n) is its n elements from the i-th on.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("documents", "benchmark", "pages", "conversations", "labels", "events", "embeddings", "part")
 
 _MACROS = {
-    "spark": {"each": "explode(array({}))", "lines": "split({}, chr(10))", "flip": "reverse({})", "join": "array_join({}, chr(10))", "str": "cast({} as string)", "list": "array({})"},
-    "duckdb": {"each": "unnest([{}])", "lines": "string_split({}, chr(10))", "flip": "list_reverse({})", "join": "array_to_string({}, chr(10))", "str": "cast({} as varchar)", "list": "[{}]"},
+    "spark": {"each": "explode(array({}))", "lines": "split({}, chr(10))", "flip": "reverse({})", "join": "array_join({}, chr(10))", "str": "cast({} as string)", "list": "array({})", "cut": "slice({0}, {1}, {2})"},
+    "duckdb": {"each": "unnest([{}])", "lines": "string_split({}, chr(10))", "flip": "list_reverse({})", "join": "array_to_string({}, chr(10))", "str": "cast({} as varchar)", "list": "[{}]", "cut": "list_slice({0}, {1}, {1} + {2} - 1)"},
 }
 
 _LANGS = "case {} % 9 when 0 then 'en' when 1 then 'de' when 2 then 'zh-hans' when 3 then 'kr' when 4 then 'EN' when 5 then 'pt-pt' when 6 then 'fr' when 7 then 'xx' else 'ua' end"
@@ -89,6 +89,12 @@ select d.doc_id as id, cast(d.doc_id % 23 as bigint) as session_id, 'img_' || @s
   case d.doc_id % 4 when 0 then 'strict_equal' when 1 then 'no_match' when 2 then 'missing_bbox' else 'ambiguous_delta' end as reason,
   case when l.toxic = 1 then 'error' when l.quality = 1 then 'ok' end as decision, cast(d.doc_id % 101 as double) / 100 as confidence, d.doc_id % 6 = 0 as disagree
 from @documents d left join @labels l on d.doc_id = l.doc_id""",
+    # Crops of several lengths, and templates cut from vectors of their kind; some are longer than the crops.
+    "v_crops": """
+select vec_id, label, @cut(embedding; 1; cast(64 - 4 * (vec_id % 6) as int)) as embedding from @embeddings where vec_id % 2 = 1""",
+    "v_templates": """
+select vec_id, label, case when label = 5 then @cut(embedding; 1; 64) else @cut(embedding; cast(vec_id % 9 + 1 as int); cast(10 + 4 * (vec_id % 11) as int)) end as embedding
+from @embeddings where vec_id % 2 = 0 and label <> 7 and (label <> 5 or vec_id % 5 = 0)""",
     # Engine attempts.
     "v_attempts": """
 select conv_id as request_id, turn + 1 as attempt, role, case when turn % 2 = 0 and conv_id % 3 = 0 then '' else text end as text from @conversations""",
@@ -111,7 +117,7 @@ def sql_of(text: str, dialect: str, tables: dict[str, str] | None = None) -> str
             while depth:
                 depth += {"(": 1, ")": -1}.get(text[end], 0)
                 end += 1
-            text = text[:at] + pattern.format(text[start : end - 1]) + text[end:]
+            text = text[:at] + pattern.format(*text[start : end - 1].split(";")) + text[end:]
     return re.sub(r"@(\w+)", one, text)
 
 
