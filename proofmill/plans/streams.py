@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofmill.config import ENGINES
 from proofmill.plans.registry import ORACLES, query
 from proofmill.streaming import jobs as J
-from proofmill.streaming.run import appended, file_stream, updated
+from proofmill.plans.views import table
+from proofmill.streaming.run import appended, counted, counting, file_stream, new_home, updated
 
 
-def _events(spark, sf_dir) -> DataFrame:
+def _events(spark, sf_dir, *more: str) -> DataFrame:
     status = F.when(F.col("event_type").isin("click", "view"), "PASS").when(F.col("event_type") == "error", "MANUAL").otherwise("pending")
-    return file_stream(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), status.alias("status"), "event_type")
+    return file_stream(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), status.alias("status"), "event_type", *more)
 
 
 _STATUS = "(select user_id as session_id, ts, event_id as seq, event_type, case when event_type in ('click', 'view') then 'PASS' when event_type = 'error' then 'MANUAL' else 'pending' end as status from @events)"
@@ -42,6 +45,41 @@ def str_expired_days(spark, sf_dir):
     return appended(J.expired_days(_events(spark, sf_dir)), "expired").withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
+@query("""
+with u as (select cast(user_id as varchar) as key, cast(event_id as varchar) as id, ts, lead(ts) over (partition by user_id order by ts, cast(event_id as varchar)) as newer from @events where event_type = 'purchase'),
+w as (select date_trunc('millisecond', max(ts)) - interval 10 minutes as mark from @events where event_type = 'purchase')
+select key, id, ts as created, ts + interval 7 days as expired from u, w where newer > ts + interval 7 days or (newer is null and ts + interval 7 days <= mark)""")
+def str_expired_uploads(spark, sf_dir):
+    """Uploads, one for each purchase of a user, that no newer one replaced within their time."""
+    uploads = _events(spark, sf_dir, "event_id").where("event_type = 'purchase'").select(F.col("session_id").alias("key"), "ts", F.col("event_id").alias("id"))
+    found = appended(J.expired_entries(uploads), "uploads")
+    return found.select("key", "id", F.col("created").cast("timestamp_ntz").alias("created"), F.col("expired").cast("timestamp_ntz").alias("expired"))
+
+
+#: Deliveries of the events: a quarter of the month each, every tenth event with the next one, and events 3 modulo 50 without a time.
+_DELIVERY = "cast(least(floor((day(ts) - 1) / 8) + case when event_id % 10 = 0 then 1 else 0 end, 3) as bigint)"
+
+
+@query(f"""
+with e as (select {_DELIVERY} as delivery, case when event_id % 50 <> 3 then ts end as ts from @events),
+m as (select delivery, count(*) as rows, count(*) - count(ts) as untimed, max(ts) as newest from e group by 1),
+w as (select *, date_trunc('millisecond', max(newest) over (order by delivery rows between unbounded preceding and 1 preceding)) - interval 1 day as mark from m)
+select w.delivery, w.rows, w.untimed, count(e.ts) as late from w left join e on w.delivery = e.delivery and e.ts <= w.mark group by all""")
+def str_late_rows(spark, sf_dir):
+    """Rows that come behind the watermark, of four deliveries; the stream stops after each and goes on from its checkpoint."""
+    events = table(spark, sf_dir, "events").withColumn("delivery", F.expr(_DELIVERY))
+    status = F.when(F.col("event_type").isin("click", "view"), "PASS").otherwise("pending")
+    rows = events.select("delivery", F.col("user_id").alias("session_id"), F.when(F.col("event_id") % 50 != 3, F.col("ts")).cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), status.alias("status"))
+    home = new_home(spark, "late")
+    found = []
+    for k in range(4):
+        rows.where(F.col("delivery") == k).drop("delivery").write.mode("append").parquet(f"{home}/in")
+        with counting(spark) as counts:
+            updated(J.progress(counted(file_stream(spark, f"{home}/in")), "1 day"), ["session_id"], "late", home=home)
+            found.append(counts.table(spark).groupBy().agg(F.lit(k).cast("long").alias("delivery"), *(F.sum(c).alias(c) for c in ("rows", "untimed", "late"))))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 @query("select distinct user_id as session_id, event_type from @events")
 def str_consume_once(spark, sf_dir):
     return appended(J.consume_once(_events(spark, sf_dir), ["session_id", "event_type"]).select("session_id", "event_type"), "once")

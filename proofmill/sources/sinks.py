@@ -1,22 +1,73 @@
-"""Sinks: appended verdicts, upserts, event rows."""
+"""Sinks: appended verdicts, merges by key, event rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmill.functions import geometry as G
 from proofmill.operators.reports import latest
 
+#: Partitions of a store of `merge`, and the beginning of their column's name.
+BUCKETS = 16
+_BUCKET = "bucket_of_"
+
 
 def append_verdicts(rows: DataFrame, path: str) -> None:
     """Appends result rows, a folder for each session, so that a session's scan prunes to its own."""
     rows.write.mode("append").partitionBy("session_id").parquet(path)
 
 
-def upsert(stored: DataFrame, new: DataFrame, keys: list[str], path: str, ts: str = "ts") -> None:
-    """Writes to `path` what remains of stored and new: the last row of each key. path isn't one that stored reads."""
-    latest(stored.unionByName(new), keys, ts).write.mode("overwrite").parquet(path)
+def _bucket(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def merge(new: DataFrame, path: str, keys: list[str], ts: str = "ts", batch: int | None = None, buckets: int = BUCKETS) -> bool:
+    """Merges rows into the store at `path`: the last row of each key by ts stays. Whether it did anything.
+
+    Keys are hashed to `buckets` partitions; only those that hold a key of new
+    are read and written again, by dynamic partition overwrite, so that the
+    bytes written follow what a batch touches. A batch number is recorded once
+    its rows are stored: a batch that is delivered again is skipped, and one
+    that failed half-way is merged again, which gives the same rows. Equal times
+    are settled by a hash of the row. One writer at a time. A store keeps the
+    number of buckets that it began with: choose it so that a partition of the
+    full store is a few hundred MB.
+    """
+    spark = new.sparkSession
+    log = f"{path}.batches"
+    if batch is not None and _exists(spark, log) and not spark.read.parquet(log).where(F.col("batch") == batch).isEmpty():
+        return False
+    if not _exists(spark, f"{path}.schema"):
+        new.limit(0).write.mode("overwrite").parquet(f"{path}.schema")
+    name = f"{_BUCKET}{buckets}"
+    rows = latest(new, keys, ts).withColumn(name, _bucket(keys, buckets)).persist()
+    touched = [r[0] for r in rows.select(name).distinct().collect()]
+    if touched:
+        both = rows
+        if _exists(spark, path):
+            stored = spark.read.parquet(path)
+            if name not in stored.columns:
+                raise ValueError(f"{path} has another number of buckets than {buckets}")
+            both = stored.where(F.col(name).isin(touched)).unionByName(rows)
+        # A bucket is written by one task; the rows of a key are in one bucket.
+        merged_rows = latest(both, keys, ts).repartition(min(buckets, len(touched)), name)
+        merged_rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path)
+    rows.unpersist()
+    if batch is not None:
+        spark.range(1).select(F.lit(batch).cast("long").alias("batch")).write.mode("append").parquet(log)
+    return bool(touched)
+
+
+def merged(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a store of `merge`."""
+    none = spark.read.parquet(f"{path}.schema")
+    return spark.read.schema(none.schema).parquet(path).select(none.columns) if _exists(spark, path) else none
 
 
 def event_rows(rows: DataFrame, event: str, ts: str, *fields: str, keys: tuple[str, ...] = ()) -> DataFrame:

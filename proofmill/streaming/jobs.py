@@ -1,16 +1,23 @@
 """Streaming forms of the vote, the progress, the counters and the stores.
 
-Late rows, older than the watermark when they come, are dropped.
+Stateful jobs are processors of transformWithState: value and map state in
+RocksDB, ended by event-time timers, so that state doesn't grow with sessions,
+uploads or zones that are over. Rows older than the watermark when they come are
+dropped; `run.counted` says how many.
+
+No null stops a stream: rows without a time, or without the key of their state,
+are left out unless a job says otherwise.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from proofmill.config import DEFAULT, ENGINES, Config
 from proofmill.functions import geometry as G
@@ -18,43 +25,134 @@ from proofmill.functions import text as T
 from proofmill.operators import manifest as M
 from proofmill.operators import reports as O
 
+_DAY_MS = 86_400_000
+
+
+def _micros(ts: Column) -> Column:
+    return F.unix_micros(ts)
+
+
+class _Timed(StatefulProcessor):
+    """A processor with one event-time timer for each key, whose time is the last field of its value state."""
+
+    #: Fields of the value state before the timer.
+    fields = ""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", f"{self.fields}, timer long")
+
+    def held(self) -> tuple | None:
+        return self.state.get()
+
+    def due(self, old: tuple | None, timerValues: Any) -> bool:
+        """Whether the key's timer has run out, though new rows came before it was called; it isn't called any more then."""
+        if old is None or old[-1] > timerValues.getCurrentWatermarkInMs():
+            return False
+        self.handle.deleteTimer(old[-1])
+        return True
+
+    def keep(self, values: tuple, old: tuple | None, timer: int) -> None:
+        """Stores values; the key's timer is moved if its time changed."""
+        if old is None or old[-1] != timer:
+            if old is not None:
+                self.handle.deleteTimer(old[-1])
+            self.handle.registerTimer(timer)
+        self.state.update((*values, timer))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        self.state.clear()
+        return iter(())
 
-_PROGRESS = "session_id long, done long, passed long, manual long, last_status string"
-_HELD = "done long, passed long, manual long, at long, seq long, last_status string"
+    def close(self) -> None:
+        pass
+
+
+#: Before all times and numbers.
+_FIRST = -(1 << 63)
+
+
+class _Progress(_Timed):
+    fields = "done long, passed long, manual long, seen long, at long, seq long, last string"
+
+    def __init__(self, idle_ms: int) -> None:
+        self.idle_ms = idle_ms
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        old = self.held()
+        if self.due(old, timerValues):
+            old = None
+        done, passed, manual, seen, *last = old[:-1] if old else (0, 0, 0, _FIRST, _FIRST, _FIRST, "")
+        newest = tuple(last)
+        for r in rows:
+            done, passed, manual, seen = done + 1, passed + (r.status == "PASS"), manual + (r.status == "MANUAL"), max(seen, r.at)
+            if r.status is not None:
+                newest = max(newest, (r.at, _FIRST if r.seq is None else r.seq, r.status))
+        self.keep((done, passed, manual, seen, *newest), old, max(seen // 1000, timerValues.getCurrentWatermarkInMs()) + self.idle_ms)
+        yield Row(session_id=key[0], done=done, passed=passed, manual=manual, last_status=newest[2] if newest[0] > _FIRST else None)
 
 
 def progress(events: DataFrame, delay: str = "10 minutes", config: Config = DEFAULT) -> DataFrame:
     """(session_id, done, passed, manual, last_status) of (session_id, ts, seq, status), for update mode.
 
-    The state of a session is dropped once config.expiry_days of event time
-    have passed without an event of it. Events without a time are left out.
+    last_status is that of the last event by (ts, seq). A null seq comes before
+    others of its time; an event with a null status counts, but leaves the last
+    status as it is; of events alike in time and number the greater status
+    counts. A null session is a session; events without a time are left out. The
+    state of a session ends once config.expiry_days of event time have passed
+    without an event of it.
     """
-    idle = config.expiry_days * 86_400_000
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        done, passed, manual, at, seq, last = state.get if state.exists else (0, 0, 0, -(1 << 62), 0, None)
-        for frame in frames:
-            done, passed, manual = done + len(frame), passed + int((frame["status"] == "PASS").sum()), manual + int((frame["status"] == "MANUAL").sum())
-            newest = frame.sort_values(["ts", "seq"]).iloc[-1]
-            when = round(newest["ts"].timestamp() * 1_000_000)
-            if (when, int(newest["seq"])) >= (at, seq):
-                at, seq, last = when, int(newest["seq"]), newest["status"]
-        state.update((done, passed, manual, at, seq, last))
-        state.setTimeoutTimestamp(max(at // 1000, state.getCurrentWatermarkMs()) + idle)
-        yield pd.DataFrame([(key[0], done, passed, manual, last)], columns=[c.split()[0] for c in _PROGRESS.split(", ")])
-
-    rows = events.select("session_id", "ts", "seq", "status").where("ts is not null").withWatermark("ts", delay)
-    return rows.groupBy("session_id").applyInPandasWithState(update, _PROGRESS, _HELD, "update", GroupStateTimeout.EventTimeTimeout)
+    rows = events.where("ts is not null").withWatermark("ts", delay).select("session_id", "ts", F.col("seq").cast("long").alias("seq"), "status", _micros(F.col("ts")).alias("at"))
+    out = f"session_id {events.schema['session_id'].dataType.simpleString()}, done long, passed long, manual long, last_status string"
+    return rows.groupBy("session_id").transformWithState(_Progress(config.expiry_days * _DAY_MS), out, "Update", "EventTime")
 
 
 def session_state(events: DataFrame, delay: str = "10 minutes", config: Config = DEFAULT) -> DataFrame:
-    """(session_id, status): the last state that a session was in, for update mode. States expire as those of progress do."""
+    """(session_id, status): the last state that a session was in, for update mode. States expire, and nulls count, as in progress."""
     return progress(events, delay, config).select("session_id", F.col("last_status").alias("status"))
 
 
+class _Expiring(_Timed):
+    fields = "at long, id string"
+
+    def __init__(self, ttl_ms: int) -> None:
+        self.ttl_ms = ttl_ms
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        old = self.held()
+        versions = sorted({(r.at, r.id or "") for r in rows} | ({old[:2]} if old else set()))
+        for (at, name), (then, _) in zip(versions, versions[1:]):
+            if then - at > self.ttl_ms * 1000:
+                yield self.expired(key, at, name)
+        at, name = versions[-1]
+        # Micro-seconds are rounded up: an entry isn't over before its time.
+        self.keep((at, name), old, -(-at // 1000) + self.ttl_ms)
+
+    def expired(self, key: Any, at: int, name: str) -> Row:
+        return Row(key=key[0], created=at, id=name)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        at, name, _ = self.held()
+        self.state.clear()
+        yield self.expired(key, at, name)
+
+
+def expired_entries(entries: DataFrame, delay: str = "10 minutes", config: Config = DEFAULT) -> DataFrame:
+    """(key, id, created, expired): entries of a store (key, ts, id) whose time is over, each emitted once, for append mode.
+
+    An upload or a template is stored under its key; a newer one takes its
+    place. One that config.expiry_days have passed without another is expired
+    and its state ends. Entries without a key or a time are left out; a null id is
+    empty.
+    """
+    ttl = config.expiry_days * _DAY_MS
+    rows = entries.where("ts is not null and key is not null").withWatermark("ts", delay)
+    rows = rows.select(F.col("key").cast("string").alias("key"), "ts", F.col("id").cast("string").alias("id"), _micros(F.col("ts")).alias("at"))
+    found = rows.groupBy("key").transformWithState(_Expiring(ttl), "key string, created long, id string", "Append", "EventTime")
+    created = F.timestamp_micros("created")
+    return found.select("key", "id", created.alias("created"), (created + F.expr(f"interval {config.expiry_days} days")).alias("expired"))
+
+
 def engine_counters(events: DataFrame) -> DataFrame:
     """(month, engine, calls): counters grow with each call of a known engine, for update mode. A calendar month is no window of fixed length, so its name is the key."""
     known = events.where(F.col("engine").isin(*ENGINES) & (F.col("delta") > 0))
@@ -83,9 +181,6 @@ def request_batches(batch: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 VOTE = "zone_id long, engine string, text string, rule string, status string, reason string, n_readings long, n_valid long"
-_STATE = "engines array<string>, texts array<string>, norms array<string>, failed array<boolean>, decided boolean"
-
-
 def decide(readings: list[tuple[str, str, str, bool]]) -> tuple:
     """(engine, text, rule, status, reason) of readings (engine, text, normalised text, failed), as the vote over tables decides."""
     valid = [r for r in readings if not r[3]]
@@ -102,35 +197,76 @@ def decide(readings: list[tuple[str, str, str, bool]]) -> tuple:
     return engine, text, "no_confidence_fallback", "MANUAL", "no_consensus"
 
 
+class _Vote(_Timed):
+    """Map state: the reading of each engine; value state: whether the zone is decided."""
+
+    fields = "decided boolean"
+
+    def __init__(self, expected: int, wait_ms: int) -> None:
+        self.expected, self.wait_ms = expected, wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.readings = handle.getMapState("readings", "engine string", "text string, norm string, failed boolean")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        old = self.held()
+        if self.due(old, timerValues):
+            yield from self.handleExpiredTimer(key, timerValues, None)
+            old = self.held()
+        newest = timerValues.getCurrentWatermarkInMs()
+        decided = bool(old and old[0])
+        held = {} if decided else self.all()
+        for r in rows:
+            newest = max(newest, r.at // 1000 if r.at is not None else newest)
+            new = (r.engine, r.text, r.norm, r.failed)
+            known = held.get(r.engine)
+            # A reading takes the place of a failure; of two readings the lesser text counts, in whatever order they come.
+            if known is None or (known[3], known[1]) > (new[3], new[1]):
+                held[r.engine] = new
+        due = not decided and len(held) >= self.expected
+        if due:
+            self.readings.clear()
+        elif not decided:
+            for engine, *rest in held.values():
+                self.readings.updateValue((engine,), tuple(rest))
+        self.keep((due or decided,), old, newest + self.wait_ms)
+        if due:
+            yield self.row(key, held)
+
+    def all(self) -> dict[str, tuple]:
+        return {k[0]: (k[0], *v) for k, v in self.readings.iterator()} if self.readings.exists() else {}
+
+    def row(self, key: Any, held: dict[str, tuple]) -> Row:
+        votes = list(held.values())
+        return Row(**dict(zip(VOTE_FIELDS, (key[0], *decide(votes), len(votes), sum(not r[3] for r in votes)), strict=True)))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        decided, timer = self.held()
+        held = self.all()
+        self.readings.clear()
+        if decided:
+            self.state.clear()
+        else:
+            self.keep((True,), None, max(timer, timerValues.getCurrentWatermarkInMs()) + self.wait_ms)
+            yield self.row(key, held)
+
+
+VOTE_FIELDS = [field.split()[0] for field in VOTE.split(", ")]
+
+
 def streaming_vote(readings: DataFrame, expected: int = len(ENGINES), delay: str = "10 minutes") -> DataFrame:
     """The vote of each zone of (zone_id, engine, text, error, ts), once `expected` engines have read it, or failed to, or the zone has waited `delay` of event time.
 
     An engine counts once, however often its reading is delivered; a reading
-    takes the place of the engine's failure. A decided zone is remembered for
-    another `delay`, in which further readings change nothing.
+    takes the place of the engine's failure, and of two readings the lesser text
+    stays. A decided zone is remembered for another `delay`, in which further
+    readings change nothing. Rows without a zone or an engine are left out; a
+    reading without a time counts as of now, and a null text is empty.
     """
-    rows = readings.select("zone_id", "engine", F.coalesce("text", F.lit("")).alias("text"), T.normalize("text", "consensus").alias("norm"), F.col("error").isNotNull().alias("failed"), "ts")
+    rows = readings.where("zone_id is not null and engine is not null").withWatermark("ts", delay)
+    rows = rows.select(
+        "zone_id", "engine", "ts", F.coalesce("text", F.lit("")).alias("text"), T.normalize("text", "consensus").alias("norm"), F.col("error").isNotNull().alias("failed"), _micros(F.col("ts")).alias("at")
+    )
     wait = int(pd.Timedelta(delay).total_seconds() * 1000)
-
-    def vote(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        *lists, decided = state.get if state.exists else ([], [], [], [], False)
-        if state.hasTimedOut and decided:
-            state.remove()
-            return
-        held = {r[0]: r for r in zip(*lists, strict=True)}
-        newest = state.getCurrentWatermarkMs()
-        if not state.hasTimedOut:
-            for frame in frames:
-                for r in zip(frame["engine"], frame["text"], frame["norm"], (bool(f) for f in frame["failed"]), strict=True):
-                    if r[0] not in held or (held[r[0]][3] and not r[3]):
-                        held[r[0]] = r
-                newest = max(newest, int(frame["ts"].max().timestamp() * 1000))
-        due = not decided and (state.hasTimedOut or len(held) >= expected)
-        kept = [] if due or decided else list(held.values())
-        state.update((*([r[k] for r in kept] for k in range(4)), due or decided))
-        state.setTimeoutTimestamp(newest + wait)
-        if due:
-            votes = list(held.values())
-            yield pd.DataFrame([(key[0], *decide(votes), len(votes), sum(not r[3] for r in votes))], columns=[c.split()[0] for c in VOTE.split(", ")])
-
-    return rows.withWatermark("ts", delay).groupBy("zone_id").applyInPandasWithState(vote, VOTE, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("zone_id").transformWithState(_Vote(expected, wait), VOTE, "Append", "EventTime")

@@ -194,11 +194,7 @@ def test_judge_reply(spark):
     assert [r[0] and r[0]["verdict"] for r in rows.select(R.judge_reply(F.col("b"))).collect()] == ["pass", "fail", "pass", None, None]
 
 
-def test_upsert_and_append(spark, tmp_path):
-    old = spark.createDataFrame([("a", 1, "old"), ("b", 1, "b")], "k string, ts long, v string")
-    new = spark.createDataFrame([("a", 2, "new")], "k string, ts long, v string")
-    sinks.upsert(old, new, ["k"], str(tmp_path / "u"))
-    assert sorted((r.k, r.v) for r in spark.read.parquet(str(tmp_path / "u")).collect()) == [("a", "new"), ("b", "b")]
+def test_append(spark, tmp_path):
     rows = spark.createDataFrame([("s1", 1, "PASS"), ("s2", 2, "MANUAL")], "session_id string, id long, status string")
     for _ in range(2):
         sinks.append_verdicts(rows, str(tmp_path / "v"))
