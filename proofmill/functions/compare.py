@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from proofmill.config import DEFAULT, ENGINES, Config
 from proofmill.functions import text as T
@@ -108,6 +110,104 @@ def token_differences(pairs: DataFrame) -> DataFrame:
     )
 
 
+def _prefix_lcs(a: list[int], b: list[int]) -> np.ndarray:
+    """The LCS length of b and each prefix of a: zeros of the bit row that b leaves."""
+    masks: dict[int, int] = {}
+    for k, token in enumerate(a):
+        masks[token] = masks.get(token, 0) | 1 << k
+    full = row = (1 << len(a)) - 1
+    for token in b:
+        if hit := row & masks.get(token, 0):
+            row = ((row + hit) | (row - hit)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(a) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(a)]
+    return np.r_[0, np.cumsum(1 - bits.astype(np.int64))]
+
+
+def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places (in a, in b) of a longest common subsequence, in order.
+
+    The shorter halves are found by Hirschberg's division, on bit rows: time is
+    the product of the lengths over the width of a machine word, memory linear.
+    """
+    found = []
+    stack = [(0, len(a), 0, len(b))]
+    while stack:
+        i, j, k, m = stack.pop()
+        while i < j and k < m and a[i] == b[k]:
+            found.append((i, k))
+            i, k = i + 1, k + 1
+        while i < j and k < m and a[j - 1] == b[m - 1]:
+            j, m = j - 1, m - 1
+            found.append((j, m))
+        if i == j or k == m:
+            continue
+        if m - k == 1:
+            if b[k] in a[i:j]:
+                found.append((a.index(b[k], i, j), k))
+            continue
+        half = (k + m) // 2
+        ahead = _prefix_lcs(a[i:j], b[k:half])
+        behind = _prefix_lcs(a[i:j][::-1], b[half:m][::-1])[::-1]
+        cut = i + int((ahead + behind).argmax())
+        stack += [(i, cut, k, half), (cut, j, half, m)]
+    return sorted(found)
+
+
+_OPS = ArrayType(StructType([StructField("op", StringType()), StructField("position", IntegerType())]))
+
+
+@F.arrow_udf(_OPS)
+def _ops(a: pa.Array, b: pa.Array) -> pa.Array:
+    rows = []
+    for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
+        if x is None or y is None:
+            rows.append(None)
+            continue
+        kept = aligned(x, y)
+        in_a, in_b = {i for i, _ in kept}, {k for _, k in kept}
+        gone = [{"op": "del", "position": i} for i in range(len(x)) if i not in in_a]
+        rows.append(gone + [{"op": "add", "position": k} for k in range(len(y)) if k not in in_b])
+    return pa.array(rows, pa.list_(pa.struct([("op", pa.string()), ("position", pa.int32())])))
+
+
+def ordered_differences(pairs: DataFrame) -> DataFrame:
+    """(zone_id, tokens, ops) for (zone_id, text, ref) whose tokens differ: the reading's tokens and the fewest steps to the reference's, in order.
+
+    A step is (op, position, token): `del` takes the token at a place of the
+    reading out, `add` puts one at a place of the reference. Text that was moved
+    is taken out in one place and put in at another. Texts are compared whole, on
+    hashes of their tokens; only differing ones reach Python. Null texts are empty.
+    """
+    tokens = lambda name: T.words(F.lower(T.collapse(T.table_view(name))))
+    rows = once(pairs.select("zone_id", "text", "ref"), "t", F.struct(tokens("text").alias("a"), tokens("ref").alias("b"))).where(~F.col("t.a").eqNullSafe(F.col("t.b")))
+    hashes = lambda x: F.transform(x, lambda w: F.xxhash64(w))
+    rows = rows.select("zone_id", F.col("t.a").alias("tokens"), F.col("t.b").alias("b"), _ops(hashes(F.col("t.a")), hashes(F.col("t.b"))).alias("steps"))
+    token = lambda x: F.when(x["op"] == "del", F.get("tokens", x["position"])).otherwise(F.get("b", x["position"]))
+    step = lambda x: F.struct(x["op"].alias("op"), x["position"].alias("position"), token(x).alias("token"))
+    return rows.select("zone_id", "tokens", F.transform("steps", step).alias("ops"))
+
+
+def patched(tokens: Column, ops: Column) -> Column:
+    """The reference's tokens, from the reading's and the steps between them."""
+    gone = F.transform(F.filter(ops, lambda x: x["op"] == "del"), lambda x: x["position"])
+    put = F.transform(F.filter(ops, lambda x: x["op"] == "add"), lambda x: F.struct(x["position"].alias("at"), x["token"].alias("token")))
+    kept = _without(tokens, gone)
+    free = _without(F.sequence(F.lit(1), F.size(kept) + F.size(put)), F.transform(put, lambda x: x["at"]))
+    stay = F.zip_with(free, kept, lambda at, token: F.struct((at - 1).alias("at"), token.alias("token")))
+    return F.when(F.size(kept) + F.size(put) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.array_sort(F.concat(stay, put)), lambda x: x["token"]))
+
+
+def _without(values: Column, positions: Column) -> Column:
+    """values but those at the sorted positions from 0: the stretches between them. Both are made once, in the one element of an outer array."""
+    ends = F.concat(F.array(F.lit(-1)), positions, F.array(F.size(values)))
+
+    def stretches(x: Column) -> Column:
+        stretch = lambda k: F.slice(x["v"], F.get(x["e"], k) + 2, F.get(x["e"], k + 1) - F.get(x["e"], k) - 1)
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(x["e"]) - 2), stretch))
+
+    return F.flatten(F.transform(F.array(F.struct(values.alias("v"), ends.alias("e"))), stretches))
+
+
 def numbers(text: Column | str) -> Column:
     """Numbers in order of appearance, separators off."""
     found = F.regexp_extract_all(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(r"(\p{Nd}+(?:[.,]\p{Nd}+)*)"), 1)

@@ -99,7 +99,7 @@ def _pre_clean(text: Column | str, lang: Column | None) -> Column:
 
 def remove_brand(text: Column, brand: str | None) -> Column:
     """Deletes a site's own name, in any case, where it stands as a word."""
-    return text if not brand else F.regexp_replace(text, rf"(?i)\b{brand}\b", "")
+    return text if not brand else F.regexp_replace(text, rf"(?i)(?<!\w)\Q{brand}\E(?!\w)" if not brand.isalnum() else rf"(?i)\b{brand}\b", "")
 
 
 def remove_placeholders(text: Column | str) -> Column:
@@ -108,6 +108,30 @@ def remove_placeholders(text: Column | str) -> Column:
     return F.when(t.rlike(r"[%\[<]"), F.regexp_replace(t, PLACEHOLDER, " ")).otherwise(t)
 
 
+def _unless_known(pair: Column) -> Column:
+    """A pair of marks and what is between; a space if that is a known name."""
+    name = F.lower(F.btrim(F.substr(pair, F.lit(2), F.length(pair) - 2), F.lit(WS_CHARS)))
+    return F.when(name.isin(*PLACEHOLDERS), " ").otherwise(pair)
+
+
+def _without_known(text: Column, pair: str) -> Column:
+    """text with a space for each pair of marks around a known name; the text is made once, as the one element of an array."""
+
+    def one(t: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(t, F.lit(f"({pair})"), 1), _unless_known)
+        return F.array_join(F.zip_with(F.split(t, pair, -1), found, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+
+    return F.get(F.transform(F.array(text), one), F.lit(0))
+
+
+def remove_paired_placeholders(text: Column | str) -> Column:
+    """As remove_placeholders, but marks pair from the left, %..% first, then [..] and <..>: a pair around an unknown name takes its marks along, so that in `50% x %skin%` no name stands between marks of its own."""
+    t = _text(text)
+    for a, b in (("%", "%"), (r"\[", r"\]"), ("<", ">")):
+        t = _without_known(t, f"{a}[^{b}]+{b}")
+    return F.when(_text(text).rlike(r"[%\[<]"), t).otherwise(_text(text))
+
+
 def has_placeholder(text: Column | str) -> Column:
     return _text(text).rlike(PLACEHOLDER)
 

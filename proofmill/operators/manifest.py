@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from proofmill.config import DEFAULT, ENGINES, Config
 from proofmill.functions import geometry as G
 from proofmill.functions import paths as P
+from proofmill.operators.ranks import with_ranks
 
 
 def entries(files: DataFrame) -> DataFrame:
@@ -94,9 +95,9 @@ def coverage(images: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def batches(rows: DataFrame, keys: tuple[str, ...], *order: Column, config: Config = DEFAULT) -> DataFrame:
-    """rows with chunk: every config.batch_size rows of a key in order share one."""
-    by = W.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("chunk", F.floor((F.row_number().over(by) - 1) / config.batch_size))
+    """rows with chunk: every config.batch_size rows of a key in order share one. A key that holds most rows is ranked in many tasks."""
+    ranked = with_ranks(rows, keys, list(order), "chunk")
+    return ranked.withColumn("chunk", F.floor(F.col("chunk") / config.batch_size))
 
 
 def lookup(requests: DataFrame, stored: DataFrame) -> DataFrame:

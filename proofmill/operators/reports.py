@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from proofmill.config import ENGINES
+from proofmill.operators.ranks import with_ranks
 
 
 def joined_text(rows: DataFrame, keys: list[str], text: str = "text", order: str = "ord") -> DataFrame:
@@ -141,11 +142,17 @@ def rejected_payloads(rows: DataFrame, payloads: DataFrame) -> DataFrame:
 
 
 def progress(events: DataFrame) -> DataFrame:
-    """(session_id, idx, done, percent) for (session_id, idx, total), in order of idx."""
-    by = W.partitionBy("session_id").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
-    done = F.least(F.count("*").over(by), F.col("total"))
+    """(session_id, idx, done, percent) for (session_id, idx, total), in order of idx. A session that holds most rows is counted in many tasks."""
+    ranked = with_ranks(events.select("session_id", "idx", "total"), ("session_id",), [F.col("idx")], "done")
+    done = F.least(F.col("done") + 1, F.col("total"))
     percent = F.when(F.col("total") > 0, F.round(100 * done / F.col("total"))).otherwise(0)
-    return events.select("session_id", "idx", done.alias("done"), percent.cast("long").alias("percent"))
+    return ranked.select("session_id", "idx", done.alias("done"), percent.cast("long").alias("percent"))
+
+
+def places(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with place, from 1 within a session, English rows first and then in order."""
+    ranked = with_ranks(rows, ("session_id",), [english_first(F.col("lang")), *order], "place")
+    return ranked.withColumn("place", F.col("place") + 1)
 
 
 def latest(rows: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:

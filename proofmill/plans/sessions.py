@@ -251,10 +251,7 @@ def lim_page(spark, sf_dir):
 
 @query("select id, lang, row_number() over (partition by session_id order by case when lower(lang) like 'en%' then 0 else 1 end, id) as place, session_id from @v_results")
 def lim_english_first(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    by = W.partitionBy("session_id").orderBy(O.english_first(F.col("lang")), "id")
-    return _results(spark, sf_dir).select("id", "lang", F.row_number().over(by).cast("long").alias("place"), "session_id")
+    return O.places(_results(spark, sf_dir).select("id", "lang", "session_id"), F.col("id"))
 
 
 @query("with l as (select distinct session_id, lang from @v_results) select session_id, lang from (select *, row_number() over (partition by session_id order by lang) as r from l) where r <= 2")

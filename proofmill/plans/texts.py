@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofmill.config import DEFAULT
+from proofmill.config import DEFAULT, PLACEHOLDERS
 from proofmill.functions import compare as C
 from proofmill.functions import text as T
 from proofmill.operators import matching as X
@@ -48,6 +48,26 @@ def nrm_placeholders(spark, sf_dir):
     return _form(spark, sf_dir, lambda t, _: T.remove_placeholders(t))
 
 
+_MARKED = "select doc_id, case doc_id % 4 when 0 then '50% x %skin% 7%' when 1 then '%% skin%%date% [a [skin] < Username ><b>' when 2 then '[first_name]%bonus_amount%%x<y>%skin%' else '' end || text as text from @v_dirty"
+
+
+def _pairs(x: str, a: str, b: str) -> str:
+    """DuckDB SQL: x with the pairs of marks around known names replaced by a space, from the left."""
+    pattern = D.q(f"{a}[^{b}]+{b}")
+    names = ", ".join(D.q(n) for n in PLACEHOLDERS)
+    return (
+        f"list_reduce(list_concat([''], list_transform(list_zip(string_split_regex({x}, {pattern}), regexp_extract_all({x}, {pattern})), lambda z: z[1] || "
+        f"coalesce(case when lower(trim(substr(z[2], 2, length(z[2]) - 2), {D.q(T.WS_CHARS)})) in ({names}) then ' ' else z[2] end, ''))), lambda p, q: p || q)"
+    )
+
+
+@query(f"with m as ({_MARKED}), a as (select doc_id, {_pairs('text', '%', '%')} as t from m), b as (select doc_id, {_pairs('t', chr(92) + '[', chr(92) + ']')} as t from a) select doc_id, md5({_pairs('t', '<', '>')}) as digest from b")
+def nrm_placeholder_pairs(spark, sf_dir):
+    head = F.expr("case doc_id % 4 when 0 then '50% x %skin% 7%' when 1 then '%% skin%%date% [a [skin] < Username ><b>' when 2 then '[first_name]%bonus_amount%%x<y>%skin%' else '' end")
+    rows = view(spark, sf_dir, "v_dirty").select("doc_id", F.concat(head, "text").alias("text"))
+    return rows.select("doc_id", F.md5(T.remove_paired_placeholders("text").cast("binary")).alias("digest"))
+
+
 @query(f"select doc_id, regexp_matches(text, {D.q(T.PLACEHOLDER)}) as has_placeholder, regexp_matches(text, '[\\p{{L}}\\p{{N}}]') as readable from @v_dirty")
 def nrm_flags(spark, sf_dir):
     return view(spark, sf_dir, "v_dirty").select("doc_id", T.has_placeholder("text").alias("has_placeholder"), T.has_letter_or_digit("text").alias("readable"))
@@ -145,6 +165,18 @@ def cmp_token_diff(spark, sf_dir):
     return C.token_differences(view(spark, sf_dir, "v_refs"))
 
 
+@query(f"""
+with t as (select zone_id, list_filter(string_split(lower({D.collapse(D.table_view('text'))}), ' '), lambda x: x <> '') as a, list_filter(string_split(lower({D.collapse(D.table_view('ref'))}), ' '), lambda x: x <> '') as b from @v_refs)
+select zone_id, cast(len(b) - len(a) as bigint) as grown, md5(array_to_string(b, ' ')) as patched from t where a <> b""")
+def cmp_ordered_diff(spark, sf_dir):
+    """Readings that their ordered differences turn into the references."""
+    changed = C.ordered_differences(view(spark, sf_dir, "v_refs"))
+    grown = F.count_if(F.col("op") == "add") - F.count_if(F.col("op") == "del")
+    counts = changed.select("zone_id", F.explode("ops").alias("o")).select("zone_id", "o.op").groupBy("zone_id").agg(grown.alias("grown"))
+    patched = changed.select("zone_id", F.md5(F.array_join(C.patched(F.col("tokens"), F.col("ops")), " ").cast("binary")).alias("patched"))
+    return counts.join(patched, "zone_id")
+
+
 @query(_COMPARED + """select zone_id, e is not null and l <> '' as applied, case when l = '' then 'lang_missing' when e is null then 'expected_text_missing' end as skip_reason,
 case when e is not null and l <> '' then round(s, 4) end as similarity, case when e is not null and l <> '' then mode <> 'none' end as match_pass,
 case when e is not null and l <> '' then mode end as match_mode, case when e is not null and l <> '' then s < 0.85 end as below, case when e is not null and l <> '' then printf('%.2f%%', round(s, 4) * 100) end as shown
