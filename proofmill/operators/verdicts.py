@@ -87,9 +87,9 @@ def apply_replies(rows: DataFrame, replies: DataFrame) -> DataFrame:
 
 
 def review_decisions(decisions: DataFrame, results: DataFrame) -> DataFrame:
-    """(result_id, decision): the last ok or error for each known result."""
+    """(result_id, decision): the last ok or error for each known result; of two at the same time, `ok` stands, and one without a time comes before all others."""
     valid = decisions.where(F.col("decision").isin("ok", "error")).join(results.select("result_id"), "result_id", "left_semi")
-    return valid.groupBy("result_id").agg(F.max_by("decision", "ts").alias("decision"))
+    return valid.groupBy("result_id").agg(F.max(F.struct("ts", "decision")).alias("last")).select("result_id", "last.decision")
 
 
 def updated_verdicts(results: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from proofmill.plans.registry import query
 from proofmill.plans.views import view
 from proofmill.sources import catalog as C
 from proofmill.sources import sinks as K
+from proofmill.sources.shared import shared_dir
 
 _PROTECTED = ", ".join(D.q(r) for r in PROTECTED_REASONS)
 
@@ -114,7 +117,7 @@ def ver_apply_replies(spark, sf_dir):
 _DECISIONS = "select event_id % 1500 as result_id, ts, case event_type when 'click' then 'ok' when 'error' then 'error' else 'maybe' end as decision from @events"
 
 
-@query(f"with d as ({_DECISIONS}) select result_id, arg_max(decision, ts) as decision from d where decision in ('ok', 'error') and result_id in (select doc_id from @documents) group by 1")
+@query(f"with d as ({_DECISIONS}) select result_id, arg_max(decision, (ts, decision)) as decision from d where decision in ('ok', 'error') and result_id in (select doc_id from @documents) group by 1")
 def ver_review_decisions(spark, sf_dir):
     kind = F.col("event_type")
     decisions = view(spark, sf_dir, "events").select(
@@ -244,11 +247,22 @@ def agg_session_meta(spark, sf_dir):
     return O.session_meta(rows, _calls(spark, sf_dir), locked, details)
 
 
-@query("select *, (select count(*) from @v_results where status <> 'PASS') as total_rows, cast((select greatest(1, ceil(count(*) / 20.0)) from @v_results where status <> 'PASS') as bigint) as total_pages from (select id, reason, status from @v_results where status <> 'PASS' order by id limit 20 offset 20)")
+_PAGE = "select *, (select count(*) from @v_results where status <> 'PASS') as total_rows, cast((select greatest(1, ceil(count(*) / 20.0)) from @v_results where status <> 'PASS') as bigint) as total_pages from (select id, reason, status from @v_results where status <> 'PASS' order by id limit 20 offset 20)"
+
+
+@query(_PAGE)
 def lim_page(spark, sf_dir):
     return O.page(_results(spark, sf_dir).where("status <> 'PASS'").select("id", "reason", "status"), 2)
 
 
+@query(_PAGE)
+def lim_page_indexed(spark, sf_dir):
+    """The page of a table that was written in order once: it reads that page's ranges, and counts nothing."""
+    path = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    K.write_pages(_results(spark, sf_dir).where("status <> 'PASS'").select("id", "reason", "status"), path)
+    return K.read_page(spark, path, 2)
+
+
 @query("select id, lang, row_number() over (partition by session_id order by case when lower(lang) like 'en%' then 0 else 1 end, id) as place, session_id from @v_results")
 def lim_english_first(spark, sf_dir):
     return O.places(_results(spark, sf_dir).select("id", "lang", "session_id"), F.col("id"))
@@ -270,7 +284,10 @@ def snk_rejected_paths(spark, sf_dir):
     return O.rejected_paths(_results(spark, sf_dir))
 
 
-@query("with r as (select distinct session_id, image_name from @v_results where decision = 'error'), p as (select session_id, image_name, md5(string_agg(ref_text, '' order by id)) as payload from @v_results group by 1, 2) select r.session_id, r.image_name, payload from r join p using (session_id, image_name)")
+_PAYLOADS = "with r as (select distinct session_id, image_name from @v_results where decision = 'error'), p as (select session_id, image_name, md5(string_agg(ref_text, '' order by id)) as payload from @v_results group by 1, 2) select r.session_id, r.image_name, payload from r join p using (session_id, image_name)"
+
+
+@query(_PAYLOADS)
 def join_rejected_payloads(spark, sf_dir):
     rows = _results(spark, sf_dir)
     text = F.array_join(F.array_sort(F.collect_list(F.struct("id", "ref_text")))["ref_text"], "")
@@ -278,6 +295,46 @@ def join_rejected_payloads(spark, sf_dir):
     return O.rejected_payloads(rows, payloads)
 
 
+def _bucketed(rows: DataFrame, name: str) -> DataFrame:
+    return K.save_bucketed(rows, f"{name}_{uuid.uuid4().hex}")
+
+
+@query(_PAYLOADS)
+def join_bucketed_payloads(spark, sf_dir):
+    """As join_rejected_payloads, from tables whose rows of a session are stored together."""
+    rows = _bucketed(_results(spark, sf_dir), "results")
+    text = F.array_join(F.array_sort(F.collect_list(F.struct("id", "ref_text")))["ref_text"], "")
+    payloads = rows.groupBy("session_id", "image_name").agg(F.md5(text.cast("binary")).alias("payload"))
+    return O.rejected_payloads(rows, _bucketed(payloads, "payloads"))
+
+
+@query(_TOTALS)
+def agg_bucketed_totals(spark, sf_dir):
+    return O.session_totals(_bucketed(_results(spark, sf_dir), "results"))
+
+
+_MERGED = "select session_id, image_name, max(id) as id, arg_max(status, id) as status from @v_results group by 1, 2"
+
+
+@query(_MERGED)
+def snk_merge(spark, sf_dir):
+    """The last result of each image, merged from three deliveries of which one comes twice."""
+    path = f"{shared_dir(spark)}/merge-{uuid.uuid4().hex}"
+    rows = _results(spark, sf_dir).select("session_id", "image_name", "id", "status")
+    for number in (2, 0, 1, 0):
+        K.merge(rows.where(F.col("id") % 3 == number), path, ["session_id", "image_name"], "id", number)
+    return K.merged(spark, path)
+
+
+@query("select session_id, id, status from @v_results")
+def snk_append_verdicts(spark, sf_dir):
+    """What is read back from a table to which results were appended, a folder for each session."""
+    path = f"{shared_dir(spark)}/verdicts-{uuid.uuid4().hex}"
+    for passed in ("status = 'PASS'", "status <> 'PASS'"):
+        K.append_verdicts(_results(spark, sf_dir).where(passed).select("session_id", "id", "status"), path)
+    return spark.read.parquet(path).select(F.col("session_id").cast("long").alias("session_id"), "id", "status")
+
+
 @query("""select id, '{"id":' || id || ',"image_name":"' || image_name || '","status":"' || status || '","reason":"' || reason || '","reference":{"confidence":' || confidence || ',"score_top1":null,"score_top2":2.5,"margin":0.0}}' as document from @v_results""")
 def snk_documents(spark, sf_dir):
     rows = _results(spark, sf_dir).withColumns({"score_top1": F.lit(None).cast("double"), "score_top2": F.lit(2.5), "margin": F.lit(0.0)})
