@@ -7,8 +7,10 @@ Counts per language are summed by Spark. A bucket's probability in a language is
 its share of the language's n-grams, mixed with a floor that is the same for all
 languages: the matrix holds log-probabilities relative to that floor, so that an
 n-gram no language was seen with is 0 everywhere and speaks for none of them.
-The matrix is broadcast, and batches of whole texts are scored in numpy by
-gathering the rows of their n-grams.
+The matrix is broadcast in blocks of BLOCK languages, and batches of whole texts
+are scored in numpy by gathering the rows of their n-grams, one block after
+another: driver and workers hold one block at a time, however many languages
+there are.
 
 The score is no posterior of the whole text, which is 1 for all but the shortest
 texts: it is the posterior that EVIDENCE letters of the text's average evidence
@@ -23,10 +25,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import inline
+from proofmill.llm.common import written
 
 #: Buckets of unigrams, and of bigrams and trigrams.
 LETTER_BUCKETS = 1 << 14
@@ -34,8 +37,8 @@ PAIR_BUCKETS = 1 << 16
 BUCKETS = LETTER_BUCKETS + PAIR_BUCKETS
 #: The part of a language's probability that is spread over all buckets alike.
 FLOOR = 0.01
-#: Languages that are learned at most, those of the most labelled rows: a bound of the sample, which keeps the matrix at 168 MB.
-MAX_LANGUAGES = 512
+#: Languages of a block of the matrix, 42 MB.
+BLOCK = 128
 #: Letters whose evidence the score weighs.
 EVIDENCE = 4
 #: Expected number of documents that a language is learned from; all of them if it has fewer.
@@ -44,6 +47,10 @@ TRAIN_DOCS = 5_000
 MIN_SCORE = 0.1
 UNKNOWN = "und"
 _SLICE = 1 << 18
+#: Log-probabilities that are gathered at once.
+_CELLS = 1 << 22
+#: Texts that are scored at once.
+_TEXTS = 10_000
 
 
 @cache
@@ -106,92 +113,144 @@ def grams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 @dataclass(frozen=True)
 class Model:
-    """Languages in code-point order, their log priors and the (buckets, languages) log-probabilities relative to the floor."""
+    """Languages in code-point order, their log priors, whether some language was seen with the letters of a bucket, and broadcast blocks of (buckets, languages) log-probabilities relative to the floor."""
 
     languages: tuple[str, ...]
     priors: np.ndarray
-    matrix: np.ndarray
+    seen: np.ndarray
+    blocks: tuple[Broadcast, ...]
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(language number, score) of each text; number -1 without a letter or a language."""
-        total = np.zeros((len(texts), len(self.languages)))
         letters, known = np.zeros(len(texts)), np.zeros(len(texts))
-        seen = self.matrix[:LETTER_BUCKETS].any(axis=1)
         for buckets, owner in grams(texts):
-            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            ids = owner[first]
+            first, ids = _stretches(owner)
             letters[ids] += np.diff(np.r_[first, len(owner)])
-            known[ids] += np.add.reduceat(seen[buckets[0]], first, dtype=np.int64)
-            if self.languages:
-                for order in buckets:
-                    total[ids] += np.add.reduceat(self.matrix[order], first, axis=0, dtype=np.float64)
-        if not self.languages:
+            known[ids] += np.add.reduceat(self.seen[buckets[0]], first, dtype=np.int64)
+        if not self.blocks:
             return np.full(len(texts), -1), np.zeros(len(texts))
-        rows = np.arange(len(texts))
-        best = (total + self.priors).argmax(axis=1)
         weight = np.minimum(1.0, EVIDENCE / np.maximum(letters, 1.0))
-        tempered = total * weight[:, None] + self.priors
-        tempered -= tempered[rows, best][:, None]
-        posterior = 1.0 / np.exp(np.minimum(tempered, 700.0)).sum(axis=1)
+        best, top, tempered_top = np.full(len(texts), -1), np.full(len(texts), -np.inf), np.zeros(len(texts))
+        # The tempered evidence of all languages, as exp(high) * mass.
+        high, mass = np.full(len(texts), -np.inf), np.zeros(len(texts))
+        start = 0
+        for block in self.blocks:
+            matrix = block.value
+            total = evidence(matrix, texts)
+            if len(self.blocks) > 1:
+                # A worker keeps one block; the others are read again from the executor's disk.
+                vars(block).pop("_value", None)
+            priors = self.priors[start : start + matrix.shape[1]]
+            whole, tempered = total + priors, total * weight[:, None] + priors
+            at = whole.argmax(axis=1)
+            rows = np.arange(len(texts))
+            better = whole[rows, at] > top
+            best, tempered_top = np.where(better, at + start, best), np.where(better, tempered[rows, at], tempered_top)
+            top = np.where(better, whole[rows, at], top)
+            peak = np.maximum(high, tempered.max(axis=1))
+            mass = mass * np.exp(high - peak) + np.exp(tempered - peak[:, None]).sum(axis=1)
+            high = peak
+            start += matrix.shape[1]
+        posterior = np.exp(np.maximum(tempered_top - high, -700.0)) / mass
         return np.where(letters > 0, best, -1), posterior * known / np.maximum(letters, 1.0)
 
 
+def _stretches(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first letter, text number) of each stretch of letters of one text."""
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    return first, owner[first]
+
+
+def evidence(matrix: np.ndarray, texts: list[str | None]) -> np.ndarray:
+    """The summed log-probabilities of each text in each language of a block; letters are gathered in parts whose size follows from the languages."""
+    total = np.zeros((len(texts), matrix.shape[1]))
+    step = max(256, _CELLS // max(matrix.shape[1], 1))
+    for buckets, owner in grams(texts):
+        for at in range(0, len(owner), step):
+            first, ids = _stretches(owner[at : at + step])
+            for order in buckets[:, at : at + step]:
+                total[ids] += np.add.reduceat(matrix[order], first, axis=0, dtype=np.float64)
+    return total
+
+
 def log_ratios(counts: np.ndarray) -> np.ndarray:
-    """Log-probabilities relative to the floor from (buckets, languages) counts; every language has one at least."""
-    share = counts / counts.sum(axis=0)
-    return np.log1p(share * ((1 - FLOOR) * BUCKETS / FLOOR)).astype(np.float32)
+    """Log-probabilities relative to the floor from one language's counts of buckets, of which one at least isn't 0."""
+    return np.log1p(counts / counts.sum() * ((1 - FLOOR) * BUCKETS / FLOOR)).astype(np.float32)
 
 
-def train(labelled: DataFrame, max_docs: int = TRAIN_DOCS, max_languages: int = MAX_LANGUAGES) -> Model:
+def train(labelled: DataFrame, max_docs: int = TRAIN_DOCS, block: int = BLOCK) -> Model:
     """A model from (lang, key, text).
 
     Languages with more than max_docs rows learn from a sample that holds about
-    max_docs of them, seeded by key. Of more than max_languages, those with the
-    most rows are learned. Rows without a language or text teach nothing, and a
-    language whose sample has no letter isn't learned. Priors are the languages'
-    shares of the rows that have a text.
+    max_docs of them, seeded by key. All languages are learned but those whose
+    sample has no letter. Priors are the languages' shares of the rows that have
+    a text. A language's counts become its column of the matrix on an executor;
+    the driver puts `block` columns together at a time.
     """
+    spark = labelled.sparkSession
     rows = labelled.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "key", "text")
-    totals = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    if not totals:
-        return Model((), np.zeros(0), np.zeros((BUCKETS, 0), dtype=np.float32))
-    sizes = {r["lang"]: r["n"] for r in totals}
-    share = inline(rows.sparkSession, [(lang, min(1.0, max_docs / n)) for lang, n in sizes.items()], "lang string, share double")
-    sample = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64(F.lit(11), "key"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    totals = written(rows.groupBy("lang").agg(F.count("*").alias("total")), "language-totals")
+    share = totals.select("lang", F.least(F.lit(1.0), F.lit(float(max_docs)) / F.col("total")).alias("share"))
+    sample = rows.join(share, "lang").where(F.pmod(F.xxhash64(F.lit(11), "key"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, held in sums.items():
+                at = np.flatnonzero(held)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(held[at])], ["lang", "bucket", "n"])
+            sums.clear()
+
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lang in sorted(set(langs)):
+            by_lang: dict[str, list[str]] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                by_lang.setdefault(lang, []).append(text)
+            for lang, texts in by_lang.items():
                 held = sums.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
-                for buckets, _ in grams([t for t, of in zip(texts, langs, strict=True) if of == lang]):
+                for buckets, _ in grams(texts):
                     held += np.bincount(buckets.ravel(), minlength=BUCKETS)
-        for lang, held in sums.items():
-            at = np.flatnonzero(held)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(held[at])], ["lang", "bucket", "n"])
-
-    counts = sample.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long")
-    table = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    names = table["lang"].combine_chunks().dictionary_encode()
-    learned = names.dictionary.to_pylist()
-    matrix = np.zeros((BUCKETS, len(learned)))
-    matrix[table["bucket"].to_numpy(), names.indices.to_numpy()] = table["n"].to_numpy()
-    order = sorted(range(len(learned)), key=lambda k: learned[k])
-    languages = tuple(learned[k] for k in order)
-    known = np.array([sizes[lang] for lang in languages], dtype=float)
-    return Model(languages, np.log(known / known.sum()), log_ratios(matrix[:, order]))
+                if len(sums) > block:
+                    yield from flush()
+        yield from flush()
+
+    def column(counts: pa.Table) -> pa.Table:
+        held = np.zeros(BUCKETS)
+        held[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
+        return pa.table({"lang": counts["lang"][:1], "total": counts["total"][:1], "ratios": pa.array([log_ratios(held).tobytes()], pa.binary())})
+
+    counts = sample.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    # A language's group has a row for each bucket, BUCKETS at most.
+    columns = written(counts.join(totals, "lang").groupBy("lang").applyInArrow(column, "lang string, total long, ratios binary"), "language-columns")
+    known = sorted((r["lang"], r["total"]) for r in columns.select("lang", "total").collect())
+    seen, blocks = np.zeros(LETTER_BUCKETS, dtype=bool), []
+    for at in range(0, len(known), block):
+        names = [lang for lang, _ in known[at : at + block]]
+        part = columns.where(F.col("lang").between(names[0], names[-1])).select("lang", "ratios").toArrow()
+        place = {lang: k for k, lang in enumerate(names)}
+        matrix = np.empty((BUCKETS, len(names)), dtype=np.float32)
+        for lang, ratios in zip(part["lang"].to_pylist(), part["ratios"], strict=True):
+            matrix[:, place[lang]] = np.frombuffer(ratios.as_buffer(), dtype=np.float32)
+        seen |= matrix[:LETTER_BUCKETS].any(axis=1)
+        blocks.append(spark.sparkContext.broadcast(matrix))
+        # The driver's own copy isn't needed any more.
+        vars(blocks[-1]).pop("_value", None)
+    sizes = np.array([n for _, n in known], dtype=float)
+    return Model(tuple(lang for lang, _ in known), np.log(sizes / sizes.sum()) if known else sizes, seen, tuple(blocks))
 
 
 def predict(spark, model: Model, text: Column) -> Column:
     """struct(lang_pred, score) of a text; `und` and 0 for null texts and those without a letter."""
-    shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("lang_pred string, score double")
     def scored(texts: pa.Array) -> pa.Array:
-        best, score = shared.value.score(texts.to_pylist())
-        names = (*shared.value.languages, UNKNOWN)
-        return pa.StructArray.from_arrays([pa.array([names[k] for k in best.tolist()], pa.string()), pa.array(score)], ["lang_pred", "score"])
+        names = (*model.languages, UNKNOWN)
+        found, scores = [], []
+        for at in range(0, len(texts), _TEXTS):
+            best, score = model.score(texts[at : at + _TEXTS].to_pylist())
+            found += [names[k] for k in best.tolist()]
+            scores.append(score)
+        return pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(np.concatenate([*scores, np.zeros(0)]))], ["lang_pred", "score"])
 
     return scored(text)
 

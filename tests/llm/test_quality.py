@@ -112,10 +112,39 @@ def test_language_against_plain_counts(make, odd_rows):
     assert 102 in kept
 
 
-def test_rare_languages_are_left_out(make):
+def test_rare_languages_are_learned(make):
     rows = [(k, "some text", "en" if k % 2 else f"l{k}") for k in range(60)]
     docs = make(rows).select("lang", F.col("doc_id").alias("key"), "text")
-    assert language.train(docs, max_languages=3).languages == ("en", "l0", "l10")
+    assert language.train(docs).languages == ("en", *sorted(f"l{k}" for k in range(0, 60, 2)))
+
+
+@pytest.mark.parametrize("block", [128, 3])
+def test_blocks_of_languages_change_nothing(make, odd_rows, monkeypatch, block):
+    rows = [(100 + k, passage(k % 9, 4), f"x{k % 9}", "a") for k in range(90)] + list(odd_rows)
+    docs = make(rows)
+    monkeypatch.setattr(language, "_CELLS", 900)
+    model = language.train(docs.select("lang", F.col("doc_id").alias("key"), "text"), block=block)
+    assert len(model.blocks) == -(-len(model.languages) // block)
+    texts = [r[1] for r in rows]
+    whole = language.train(docs.select("lang", F.col("doc_id").alias("key"), "text"), block=1000)
+    (a, x), (b, y) = model.score(texts), whole.score(texts)
+    assert a.tolist() == b.tolist()
+    assert x == pytest.approx(y, abs=1e-9)
+    found = docs.select("text", language.predict(docs.sparkSession, model, F.col("text")).alias("p")).collect()
+    names = (*whole.languages, "und")
+    assert sorted(str((r.text, r.p.lang_pred)) for r in found) == sorted(str((t, names[k])) for t, k in zip(texts, b, strict=True))
+
+
+def test_two_thousand_languages(make):
+    """Each is learned and predicted; a language has letters of its own."""
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 12_000)]
+    rows = [(2000 * c + k, "".join(letters[6 * k : 6 * k + 6]) * 2, f"l{k:04}") for k in range(2000) for c in range(2)]
+    docs = make(rows, clash=False)
+    model = language.train(docs.select("lang", F.col("doc_id").alias("key"), "text"))
+    assert len(model.languages) == 2000
+    assert all("_value" not in vars(b) for b in model.blocks)
+    got = docs.select("lang", language.predict(docs.sparkSession, model, F.col("text")).alias("p")).collect()
+    assert sum(r.lang == r.p.lang_pred for r in got) > 0.99 * len(got)
 
 
 def test_language_without_labels(make):
