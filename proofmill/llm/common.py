@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +70,16 @@ def schema_of(schema: str) -> str:
     return ",".join("{}:{}".format(*part.split()) for part in schema.split(","))
 
 
+def parts_of(batch: pa.RecordBatch, name: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about `most` bytes in column `name`, so that a task holds what it makes of one part; a longer text is a part of its own."""
+    sizes = np.array([len(x) if (x := raw.as_buffer()) is not None else 0 for raw in batch.column(name)], dtype=np.int64)
+    part = (np.cumsum(sizes) - sizes) // most
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z only. ASCII texts take the built-in lower, which is faster."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from proofmill.llm.common import parts_of
+
 #: Marks before the prefix, the suffix and the middle.
 MARKS = ("<P>", "<S>", "<M>")
 SEED = 1
@@ -152,8 +154,8 @@ def fill_in_middle(
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in parts_of(whole, "raw"):
                 drawn = [batch.column(f"h{k + 1}").to_numpy() for k in range(4)]
                 made = _transformed(batch.column("raw"), drawn, rate, suffix_first, unit, marks)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], ["doc_id", "n", "form", "prefix_units", "middle_units", "raw"])

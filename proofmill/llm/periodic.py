@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from proofmill.llm.common import parts_of
+
 #: Words and periods that a run has at least.
 MIN_WORDS = 24
 MIN_PERIODS = 3
@@ -223,7 +225,7 @@ def periodic_runs(docs: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _pieces(whole):
+            for batch in parts_of(whole, "raw"):
                 texts = [raw.as_py().split() if raw.is_valid else [] for raw in batch.column("raw")]
                 runs = _runs_of(texts)
                 flat = [np.array([r[k] for of in runs for r in of], dtype=np.int64) for k in range(3)]
@@ -238,16 +240,6 @@ def periodic_runs(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "runs", F.col("raw").cast("string").alias("text"))
 
 
-def _pieces(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of about `most` bytes of text, so that a task holds the words of one part."""
-    sizes = np.array([len(x) if (x := raw.as_buffer()) is not None else 0 for raw in batch.column("raw")], dtype=np.int64)
-    part = (np.cumsum(sizes) - sizes) // most
-    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
-    for a, b in zip(edges, edges[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def strongest(runs: Column) -> Column:
     """The run with the greatest length / period, compared exactly; of equal ones the first by start, then period. Null without runs."""
     better = lambda best, r: F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
