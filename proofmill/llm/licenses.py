@@ -97,6 +97,8 @@ class Automaton:
                 last = self._extend(last, word)
                 self.states[last].ends.setdefault(number, []).append(place)
         self._close()
+        #: Templates of too few words for a match: they are looked for as they stand.
+        self.short = [(k, np.array(ids) + 1) for k, ids in enumerate(self.sequences) if k >= len(phrases) and 0 < len(ids) < MIN_MATCH]
         #: Pairs of words that follow each other in a template, as sorted numbers; word 0 is one of no template.
         width = np.int64(len(self.vocabulary) + 1)
         self._pairs = np.unique(np.array([(a + 1) * width + b + 1 for ids in self.sequences for a, b in zip(ids, ids[1:])], dtype=np.int64))
@@ -158,7 +160,7 @@ class Automaton:
     def scan(self, raw: bytes | None) -> tuple[int, dict[int, list[int]], dict[int, float]]:
         """(words, starts of each phrase, best cover of each template that a span covers)."""
         words = words_of(raw) if raw else []
-        if len(words) < 2:
+        if len(words) < 2 and not (words and self.short):
             return len(words), {}, {}
         get = self.vocabulary.get
         ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words)) + 1
@@ -169,6 +171,10 @@ class Automaton:
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
             self._walk((ids[a : b + 1] - 1).tolist(), a, found, matches)
         covers = {number: self._chain(runs) / self.sizes[number] for number, runs in matches.items()}
+        for number, wanted in self.short:
+            starts = len(ids) - len(wanted) + 1
+            if starts > 0 and np.all([ids[k : k + starts] == word for k, word in enumerate(wanted)], axis=0).any():
+                covers[number] = 1.0
         return len(words), found, {number: share for number, share in covers.items() if share >= MIN_COVER}
 
     def _walk(self, ids: list[int], start: int, found: dict[int, list[int]], matches: dict[int, list[tuple[int, int, list[int]]]]) -> None:

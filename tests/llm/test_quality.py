@@ -235,6 +235,13 @@ def test_a_table_of_templates(spark, make):
     assert {r.labels for r in licenses.scan_licenses(docs, templates.limit(0)).collect()} == {""}
 
 
+def test_templates_of_one_or_two_words(spark, make):
+    templates = spark.createDataFrame([("own", "Proprietary"), ("two", "public domain"), ("none", "!")], "label string, text string")
+    docs = make([(1, "this is proprietary code"), (2, "PROPRIETARY"), (3, "in the public, domain"), (4, "public the domain"), (5, "proprietary public domain"), (6, None), (7, "public")])
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(docs, templates).collect()}
+    assert got == {1: "own", 2: "own", 3: "two", 4: "", 5: "own,two", 6: "", 7: ""}
+
+
 def test_a_very_long_text_is_scanned(make):
     text = passage(83, 300_000) + " " + licenses.TEMPLATES[2][1]
     start = time.monotonic()
