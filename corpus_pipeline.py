@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from proofmill.llm import decontaminate, language, mixing, near_dedup, sharding
-from proofmill.llm.common import written
+from proofmill.llm.common import forget, written
 
 SHARDS = 16
 
@@ -52,8 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written before the next reads it."""
+    """The stages applied to documents, each written before the next reads it; a stage's table is deleted once the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        done = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if k:
+            forget(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
