@@ -10,6 +10,8 @@ from proofmill.config import AVOIDED_NAMES, CJK, DEFAULT, PREFERRED_NAMES, Confi
 from proofmill.functions import compare as C
 from proofmill.functions import geometry as G
 from proofmill.functions import text as T
+from proofmill.operators import section_index as index
+from proofmill.sources.shared import written
 
 #: Full stops of several scripts that may follow a section number.
 STOPS = r".\x{2024}\x{589}\x{6D4}\x{FF0E}"
@@ -132,6 +134,12 @@ def _equal(level: str) -> Column:
     return (F.col(f"r_{level}") == F.col(f"s_{level}")) | ((F.size(lines) > 0) & (lines == F.col(f"s_{level}_lines")))
 
 
+def section_bases(config: Config = DEFAULT) -> tuple[Column, Column]:
+    """What a section's score is made of besides the match: for readings in languages with spaces, and without."""
+    plain = name_score(F.col("name")) * F.when(F.col("has_placeholder"), 0.5).otherwise(1.0)
+    return plain - F.when(F.col("s_n_words") > config.long_text_tokens, 0.3).otherwise(0.0), plain
+
+
 def score_sections(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """pairs of readings (forms r_) and sections (name and facts) with score, strict_equal, soft_equal, has_placeholder, warnings."""
     spaced = ~F.coalesce(F.col("lang"), F.lit("")).isin(*CJK)
@@ -166,33 +174,56 @@ def picked() -> Column:
     return (_fits("number") | ~F.col("by_number")) & (_fits("name") | ~F.col("by_name"))
 
 
-def select_sections(readings: DataFrame, sections: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def _scores(pairs: DataFrame, config: Config, *more: str) -> DataFrame:
+    """Scored pairs without their texts and forms, which needn't travel any further."""
+    scored = score_sections(pairs, config).withColumn("usable", (F.col("s_soft") != "") & ~F.col("has_placeholder"))
+    return scored.select("zone_id", "ord", "section_no", "name", "hint_number", "hint_name", "score", "strict_equal", "soft_equal", "has_placeholder", "usable", *more)
+
+
+def _scored_pairs(asked: DataFrame, sections: DataFrame, config: Config) -> DataFrame:
+    """Every reading with every section of its pack that its hints leave."""
+    # Hints need numbers and names only: they pick the candidates before any text is compared.
+    flags = hint_flags(asked.select("zone_id", "pack_id", "hint_number", "hint_name").join(sections.select("pack_id", "section_no", "name"), "pack_id"))
+    pairs = with_forms(asked.join(flags, "zone_id"), "reading", "r").join(with_section_facts(sections).drop("content"), "pack_id").where(picked())
+    return _scores(pairs, config)
+
+
+def _scored_by_index(asked: DataFrame, sections: DataFrame, config: Config) -> DataFrame:
+    """Every reading with the sections among which its two best are, and what the hints left of its pack."""
+    readings = written(with_forms(asked, "reading", "r"), "section-readings")
+    facts = written(with_section_facts(sections).drop("content"), "section-facts")
+    scoped, scopes = index.with_scopes(readings, facts, hint_flags)
+    members = written(index.members(scopes, facts, picked(), section_bases(config)), "section-members")
+    found = index.candidates(scoped.withColumn("spaced", ~F.coalesce(F.col("lang"), F.lit("")).isin(*CJK)), members)
+    left = members.groupBy("scope").agg(F.min("has_placeholder").alias("only_placeholders"), F.count("*").alias("left"))
+    pairs = found.join(left, "scope").drop("scope").join(readings, "zone_id").join(facts, ["pack_id", "ord"])
+    return _scores(pairs, config, "only_placeholders", "left")
+
+
+def select_sections(readings: DataFrame, sections: DataFrame, config: Config = DEFAULT, indexed: bool = False) -> DataFrame:
     """A row for each reading (zone_id, pack_id, lang, reading, hint_number, hint_name): the section that it matches best.
 
-    sections has (pack_id, ord, section_no, name, content). Returns zone_id,
-    section_no, name, status, reason, manual_required, delta, score_top1,
-    score_top2, confidence, margin.
+    sections has (pack_id, ord, section_no, name, content), ord unique in a
+    pack. Returns zone_id, section_no, name, status, reason, manual_required,
+    delta, score_top1, score_top2, confidence, margin.
+
+    Readings are scored against all sections of their pack or, with indexed,
+    against those that an index of words can't rule out of the two best: the
+    same rows, for packs of thousands of sections.
     """
     short = F.length(stripped(F.col("reading"))) < 3
     known = sections.select("pack_id").distinct().withColumn("has_sections", F.lit(True))
     if "lang" in sections.columns:
         sections = sections.drop("lang")
-    # Hints need numbers and names only: they pick the candidates before any text is compared.
     asked = readings.where(~short)
-    flags = hint_flags(asked.select("zone_id", "pack_id", "hint_number", "hint_name").join(sections.select("pack_id", "section_no", "name"), "pack_id"))
-    pairs = with_forms(asked.join(flags, "zone_id"), "reading", "r").join(with_section_facts(sections).drop("content"), "pack_id").where(picked())
-    # Pairs are scored as the join makes them; texts and their forms don't travel through the windows that follow.
-    scored = score_sections(pairs, config).withColumn("usable", (F.col("s_soft") != "") & ~F.col("has_placeholder"))
-    scored = scored.select("zone_id", "ord", "section_no", "name", "hint_number", "hint_name", "score", "strict_equal", "soft_equal", "has_placeholder", "usable")
+    if indexed:
+        scored = _scored_by_index(asked, sections, config)
+    else:
+        all_ = W.partitionBy("zone_id")
+        scored = _scored_pairs(asked, sections, config)
+        scored = scored.withColumn("only_placeholders", F.min("has_placeholder").over(all_)).withColumn("left", F.count("*").over(all_))
     ranked = W.partitionBy("zone_id").orderBy(F.desc("score"), "ord")
-    all_ = W.partitionBy("zone_id")
-    scored = (
-        scored.withColumn("rank", F.row_number().over(ranked))
-        .withColumn("second", F.lead("score").over(ranked))
-        .withColumn("only_placeholders", F.min("has_placeholder").over(all_))
-        .withColumn("left", F.count("*").over(all_))
-        .where("rank = 1")
-    )
+    scored = scored.withColumn("rank", F.row_number().over(ranked)).withColumn("second", F.lead("score").over(ranked)).where("rank = 1")
     delta = F.coalesce(F.col("score") - F.col("second"), F.lit(config.single_delta))
     c = G.reference_confidence(F.col("score"), F.col("second"), F.col("usable"), config)
     stuck = F.col("only_placeholders") & ~(F.col("hint_number").isNotNull() & (F.col("left") == 1))

@@ -134,18 +134,29 @@ q as (select z.zone_id, c.section_no, c.name, case when length({_strip('z.readin
 """
 
 
-def _selected(source: str = "@v_zone_readings") -> str:
-    return "with " + _SELECTED.replace("READINGS", source)
+def _selected(source: str = "@v_zone_readings", packs: str = "@v_packs") -> str:
+    return "with " + _SELECTED.replace("READINGS", source).replace("@v_packs", packs)
 
 
-@query(_selected() + """select zone_id, section_no, name, case when reason = 'strict_equal' then 'PASS' else 'MANUAL' end as status, reason, reason not in ('strict_equal', 'no_match') as manual_required,
-round(delta, 6) as delta, round(score_top1, 6) as score_top1, round(score_top2, 6) as score_top2, round(confidence, 6) as confidence, round(margin, 6) as margin from q""")
-def sel_sections(spark, sf_dir):
-    out = S.select_sections(view(spark, sf_dir, "v_zone_readings"), view(spark, sf_dir, "v_packs"))
+_CHOSEN = """select zone_id, section_no, name, case when reason = 'strict_equal' then 'PASS' else 'MANUAL' end as status, reason, reason not in ('strict_equal', 'no_match') as manual_required,
+round(delta, 6) as delta, round(score_top1, 6) as score_top1, round(score_top2, 6) as score_top2, round(confidence, 6) as confidence, round(margin, 6) as margin from q"""
+
+
+def _chosen(out: DataFrame) -> DataFrame:
     rounded = [F.round(c, 6).alias(c) for c in ("delta", "score_top1", "score_top2", "confidence", "margin")]
     return out.select("zone_id", "section_no", "name", "status", "reason", "manual_required", *rounded)
 
 
+@query(_selected() + _CHOSEN)
+def sel_sections(spark, sf_dir):
+    return _chosen(S.select_sections(view(spark, sf_dir, "v_zone_readings"), view(spark, sf_dir, "v_packs")))
+
+
+@query(_selected("@v_wide_readings", "@v_wide_packs") + _CHOSEN)
+def sel_indexed_sections(spark, sf_dir):
+    return _chosen(S.select_sections(view(spark, sf_dir, "v_wide_readings"), view(spark, sf_dir, "v_wide_packs"), indexed=True))
+
+
 _ENGLISH = "(select * from @v_zone_readings where lang = 'en')"
 _NAMED = f"n as (select z.zone_id, arg_min(s.section_no, s.ord) as by_name from {_ENGLISH} z join @v_packs s on z.pack_id = s.pack_id where z.hint_number is null and z.hint_name <> '' and contains(lower(s.name), lower(z.hint_name)) group by 1)"
 _LOCKED = _selected(f"(select * from {_ENGLISH} where hint_number is null)") + f", {_NAMED}, k as (select z.zone_id, z.pack_id, z.lang, coalesce(z.hint_number, n.by_name, q.section_no) as section_no from {_ENGLISH} z left join n using (zone_id) left join q using (zone_id))"

@@ -58,6 +58,11 @@ select doc_id as zone_id, cast(floor(doc_id / 10) as bigint) as pack_id, lang,
   case when doc_id % 4 = 0 then cast(doc_id % 10 + 1 as int) when doc_id % 4 = 1 then 99 end as hint_number,
   case when doc_id % 3 = 0 then 'pic' end as hint_name
 from @documents""",
+    # Twenty-five packs as one, with a few hundred sections.
+    "v_wide_packs": """
+select cast(floor(pack_id / 25) as bigint) as pack_id, pack_id * 1000 + ord as ord, section_no, lang, name, content from @v_packs""",
+    "v_wide_readings": """
+select zone_id, cast(floor(pack_id / 25) as bigint) as pack_id, lang, reading, hint_number, case when hint_number is null and zone_id % 4 = 0 then hint_name end as hint_name from @v_zone_readings""",
     # English and localised texts with numbers.
     "v_facts": """
 select doc_id as zone_id, lang, text || ' Win 5,000 tokens until June ' || @str(doc_id % 28 + 1) as en_text,
