@@ -98,6 +98,32 @@ def str_request_batches(spark, sf_dir):
     return updated(requests, [], "chunks", J.request_batches, "append").groupBy("session_id", "mode", "batch", "chunk").agg(F.count("*").alias("n")).drop("batch")
 
 
+#: Two deliveries of the events: those of the first half of the month, and the others.
+_HALF = "case when day(ts) <= 15 then 0 else 1 end"
+
+
+@query(f"""
+with e as (select user_id as session_id, event_type as mode, cast(event_id % 2 as int) as lane, {_HALF} as half, ts from @events),
+w as (select date_trunc('millisecond', max(ts) filter (where half = 0)) - interval 10 minutes as first, date_trunc('millisecond', max(ts)) - interval 10 minutes as last from e),
+k as (select session_id, mode, lane, count(*) filter (where half = 0) as a, count(*) filter (where half = 1) as b,
+  date_trunc('millisecond', max(ts) filter (where half = 0)) + interval 3 days as a_until, date_trunc('millisecond', max(ts)) + interval 3 days as until from e group by all),
+p as (select k.*, coalesce(a_until <= w.first, false) as cut, until <= w.last as ended from k, w),
+c as (select session_id, mode, lane, case when cut then a // 16 + b // 16 else (a + b) // 16 end as full_chunks,
+  case when cut and a % 16 > 0 then a % 16 else 0 end as cut_rest, case when ended then (case when cut then b else a + b end) % 16 else 0 end as end_rest from p)
+select session_id, mode, lane, cast(full_chunks as bigint) as full_chunks, cast((cut_rest > 0)::int + (end_rest > 0)::int as bigint) as short_chunks, cast(full_chunks * 16 + cut_rest + end_rest as bigint) as requests
+from c where full_chunks > 0 or cut_rest > 0 or end_rest > 0""")
+def str_carried_batches(spark, sf_dir):
+    """Chunks that fill up over two deliveries; the stream stops after the first and goes on from its checkpoint."""
+    events = table(spark, sf_dir, "events").withColumn("half", F.expr(_HALF))
+    rows = events.select("half", F.col("user_id").alias("session_id"), F.col("event_type").alias("mode"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
+    home = new_home(spark, "carried")
+    for k in range(2):
+        rows.where(F.col("half") == k).drop("half").write.mode("append").parquet(f"{home}/in")
+        chunks = appended(J.carried_batches(file_stream(spark, f"{home}/in"), "3 days", lanes=2), "carried", home)
+    n = F.size("requests")
+    return chunks.groupBy("session_id", "mode", "lane").agg(F.count_if(n == 16).alias("full_chunks"), F.count_if(n < 16).alias("short_chunks"), F.sum(n).alias("requests"))
+
+
 @query()
 def str_vote(spark, sf_dir):
     """The vote over readings as they come; all three readings of a zone do, so it equals agg_majority_vote."""

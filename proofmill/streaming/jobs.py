@@ -180,6 +180,63 @@ def request_batches(batch: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return M.batches(batch, ("session_id", "mode"), F.col("seq"), config=config)
 
 
+class _Carried(_Timed):
+    """Value state: the requests that wait for their chunk to be full, fewer than a chunk, and when the first of them came."""
+
+    fields = "opened long, seen long, chunk long, held array<long>"
+
+    def __init__(self, size: int, wait_ms: int) -> None:
+        self.size, self.wait_ms = size, wait_ms
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        old = self.held()
+        if self.due(old, timerValues):
+            yield from self.rest(key, old)
+            old = None
+        opened, seen, chunk, held = (*old[:3], list(old[3])) if old else (None, _FIRST, 0, [])
+        for r in rows:
+            opened, seen = r.at if opened is None else min(opened, r.at), max(seen, r.at)
+            held.append(r.seq)
+            if len(held) == self.size:
+                yield self.row(key, opened, chunk, held)
+                opened, chunk, held = None, chunk + 1, []
+        self.keep((opened, seen, chunk, held), old, max(seen // 1000, timerValues.getCurrentWatermarkInMs()) + self.wait_ms)
+
+    def row(self, key: Any, opened: int, chunk: int, held: list) -> Row:
+        return Row(session_id=key[0], mode=key[1], lane=key[2], opened=opened, chunk=chunk, requests=held)
+
+    def rest(self, key: Any, old: tuple) -> Iterator[Row]:
+        if old[3]:
+            yield self.row(key, old[0], old[2], list(old[3]))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        old = self.held()
+        self.state.clear()
+        yield from self.rest(key, old)
+
+
+def carried_batches(requests: DataFrame, wait: str = "10 minutes", delay: str = "10 minutes", lanes: int = 8, config: Config = DEFAULT) -> DataFrame:
+    """(session_id, mode, lane, opened, chunk, requests): requests (session_id, mode, seq, ts) in full chunks, for append mode.
+
+    Requests wait in the state, over micro-batches and restarts, until
+    config.batch_size of a session and mode are there; what is left once the
+    watermark is `wait` past the last of them goes out as a short chunk, and the
+    state ends. Each session and mode has `lanes` lanes, taken by turns of seq, so
+    that a hot one is no single task's; a lane's chunks are numbered from 0 until
+    it ends, opened is the time of a chunk's earliest request. Which requests
+    share a chunk follows from when they come. A null session or mode is one of
+    its own, a null seq is in lane 0; requests without a time are left out.
+    """
+    lane = F.coalesce(F.pmod(F.col("seq"), F.lit(lanes)), F.lit(0)).cast("int")
+    rows = requests.where("ts is not null").withWatermark("ts", delay)
+    rows = rows.select("session_id", "mode", lane.alias("lane"), F.col("seq").cast("long").alias("seq"), "ts", _micros(F.col("ts")).alias("at"))
+    kinds = [f"{c} {requests.schema[c].dataType.simpleString()}" for c in ("session_id", "mode")]
+    out = ", ".join([*kinds, "lane int, opened long, chunk long, requests array<long>"])
+    wait_ms = int(pd.Timedelta(wait).total_seconds() * 1000)
+    found = rows.groupBy("session_id", "mode", "lane").transformWithState(_Carried(config.batch_size, wait_ms), out, "Append", "EventTime")
+    return found.withColumn("opened", F.timestamp_micros("opened"))
+
+
 VOTE = "zone_id long, engine string, text string, rule string, status string, reason string, n_readings long, n_valid long"
 def decide(readings: list[tuple[str, str, str, bool]]) -> tuple:
     """(engine, text, rule, status, reason) of readings (engine, text, normalised text, failed), as the vote over tables decides."""

@@ -149,3 +149,27 @@ def test_merge_again_changes_nothing(spark, tmp_path):
 def test_an_empty_store(spark, tmp_path):
     sinks.merge(spark.createDataFrame([], "k long, ts int"), str(tmp_path / "store"), ["k"], batch=0)
     assert sinks.merged(spark, str(tmp_path / "store")).count() == 0
+
+
+def test_chunks_fill_up_over_deliveries(spark, tmp_path):
+    """16 requests are one chunk, however they were delivered; what is left goes out once its time is over, each request once."""
+    schema = "session_id long, mode string, seq long"
+    home = new_home(spark, "chunks")
+    parts = [
+        [(1, "a", n, DAY + n) for n in range(10)] + [(1, None, 5, DAY), (None, "a", None, DAY), (2, "b", 1, None)],
+        [(1, "a", n, DAY + n) for n in range(10, 30)],
+        [(9, "z", 0, 3 * DAY)],
+        [(1, "a", 99, 3 * DAY)],
+        [(9, "z", 1, 9 * DAY)],
+    ]
+    sizes = []
+    for part in parts:
+        deliver(spark, str(tmp_path / "in"), part, schema)
+        stream = jobs.carried_batches(file_stream(spark, str(tmp_path / "in")), "1 hour", lanes=1)
+        got = appended(stream, "chunks", home).collect()
+        sizes.append(sorted(len(r.requests) for r in got if r.session_id == 1 and r.mode == "a"))
+        time.sleep(1.1)
+    assert sizes == [[], [16], [14, 16], [14, 16], [1, 14, 16]]
+    assert sorted(n for r in got if r.session_id == 1 and r.mode == "a" for n in r.requests) == [*range(30), 99]
+    assert {(r.session_id, r.mode, r.chunk, *r.requests) for r in got if r.session_id != 1 or r.mode is None} == {(1, None, 0, 5), (None, "a", 0, None)}  # 9's second request came before the watermark passed its time
+    assert sorted(r.chunk for r in got if r.session_id == 1 and r.mode == "a") == [0, 0, 1]
