@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -62,6 +64,50 @@ def near_enough(a: Column, b: Column, config: Config = DEFAULT) -> Column:
     return (d >= 0) & (d <= (1 - config.grey_low) * F.greatest(F.length(a), F.length(b)))
 
 
+def within_distance(a: str, b: str, most: int) -> int | None:
+    """The edit distance of two texts, or None if it is over most. Columns of the table of distances are the bits of two Python integers, so a text of 100,000 characters takes seconds."""
+    if len(a) < len(b):
+        a, b = b, a
+    head = len(os.path.commonprefix([a, b]))
+    tail = len(os.path.commonprefix([a[head:][::-1], b[head:][::-1]]))
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    distance, left = len(a), len(b)
+    if distance - left > most:
+        return None
+    codes = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), "<u4")
+    masks = {chr(c): int.from_bytes(np.packbits(codes == c, bitorder="little").tobytes(), "little") for c in set(map(ord, b)).intersection(np.unique(codes).tolist())}
+    full, last = (1 << len(a)) - 1, len(a) - 1
+    # A row is one greater than the row above where `more` has a bit, one less where `less` has one.
+    more, less = full, 0
+    for ch in b if a else "":
+        same = masks.get(ch, 0)
+        either = same | less
+        level = (((same & more) + more) ^ more) | same
+        right, drop = less | (full & ~(level | more)), more & level
+        distance, left = distance + (right >> last) - (drop >> last), left - 1
+        if distance - left > most:
+            return None
+        right, drop = (right << 1 | 1) & full, (drop << 1) & full
+        more, less = drop | (full & ~(either | right)), right & either
+    return distance if distance <= most else None
+
+
+@F.pandas_udf(IntegerType())
+def _within(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
+    return pd.Series([within_distance(x, y, m) for x, y, m in zip(a, b, most, strict=True)], dtype="Int32")
+
+
+def whole_similarity(a: Column, b: Column, least: float = 0.0) -> Column:
+    """1 - edit distance / longer length over whole texts, as edit_similarity has it for their beginnings. Null if a text is, or below least: the distance stops there."""
+    longer = F.greatest(F.length(a), F.length(b))
+    asked = (a != b) & (a != "") & (b != "")
+    # Rows that need no distance go to Python as empty texts.
+    sent = lambda t: F.when(asked, t).otherwise("")
+    distance = _within(sent(a), sent(b), F.floor(F.round((1 - least) * longer, 6)).cast("int"))
+    some = F.when(a == b, 1.0).when(asked, 1.0 - distance / longer).when(a.isNotNull() & b.isNotNull(), 0.0)
+    return F.when(some >= least, some)
+
+
 def lcs_length(a: str, b: str) -> int:
     """Length of the longest common subsequence, on the bits of a Python integer."""
     masks: dict[str, int] = {}
@@ -241,10 +287,13 @@ def as_percent(similarity: Column, places: int = 2) -> Column:
     return F.format_string(f"%.{places}f%%", similarity * 100)
 
 
-def grey_zone(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """pairs (text, ref) that differ but are similar enough to be judged, with their similarity. Forms are made once; the distance gives up on far pairs."""
+def grey_zone(pairs: DataFrame, config: Config = DEFAULT, whole: bool = False) -> DataFrame:
+    """pairs (text, ref) that differ but are similar enough to be judged, with their similarity: of their beginnings, or of whole texts. Forms are made once; the distance gives up on far pairs."""
     a, b = T.normalize("text", "soft"), T.normalize("ref", "soft")
     rows = once(pairs, "g_f", F.struct(a.alias("a"), b.alias("b"), compare_lines(F.col("text"), F.col("ref"), similarity=False)["pass"].alias("ok")))
-    f = F.col("g_f")
-    rows = once(rows.where(~f["ok"]), "similarity", F.when(near_enough(f["a"], f["b"], config), edit_similarity(f["a"], f["b"], config)))
+    rows, f = rows.where(~F.col("g_f.ok")), F.col("g_f")
+    if whole:
+        rows = rows.withColumn("similarity", whole_similarity(f["a"], f["b"], config.grey_low))
+    else:
+        rows = once(rows, "similarity", F.when(near_enough(f["a"], f["b"], config), edit_similarity(f["a"], f["b"], config)))
     return rows.where(in_grey_zone(f["ok"], F.col("similarity"), config)).drop("g_f")

@@ -59,6 +59,11 @@ def table_view(x: str) -> str:
 WIDE = "\u00e9\u00df\u00f6\u00ed\u00ea\u00fc\u00f1\u00e8\u00f3\u00e7\u00e4"
 
 
+def whole_similarity(a: str, b: str) -> str:
+    x, y = (f"translate({t}, {q(WIDE)}, 'ABCDEFGHIJK')" for t in (a, b))
+    return f"1.0 - cast(levenshtein({x}, {y}) as double) / greatest(length({x}), length({y}))"
+
+
 def similarity(a: str, b: str) -> str:
     x, y = (f"translate(substr({t}, 1, 2000), {q(WIDE)}, 'ABCDEFGHIJK')" for t in (a, b))
     return (

@@ -234,6 +234,17 @@ def cmp_grey_zone(spark, sf_dir):
     return C.grey_zone(view(spark, sf_dir, "v_refs")).select("zone_id", F.round("similarity", 4).alias("similarity"))
 
 
+# Texts of lengths that rule the zone out have no distance.
+@query(f"""
+with n as (select zone_id, {D.soft('text')} as a, {D.soft('ref')} as b, {D.lines('text', D.soft)} as la, {D.lines('ref', D.soft)} as lb from @v_refs),
+m as (select zone_id, a, b from n where a <> b and not (len(la) > 0 and list_sort(la) = list_sort(lb)) and least(length(a), length(b)) >= 0.75 * greatest(length(a), length(b))),
+s as (select zone_id, {D.whole_similarity('a', 'b')} as s from m)
+select zone_id, round(s, 4) as similarity from s where s >= 0.75 and s <= 0.99""")
+def cmp_grey_zone_whole(spark, sf_dir):
+    out = C.grey_zone(view(spark, sf_dir, "v_refs"), whole=True)
+    return out.select("zone_id", F.round("similarity", 4).alias("similarity"))
+
+
 @query("""
 with v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from @embeddings where not (vec_id % 2 = 0 and label = 7)),
 c as (select vec_id, label, list_transform(v, lambda x: x - list_avg(v)) as v from v),

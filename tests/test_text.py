@@ -93,3 +93,32 @@ def test_empty_and_null_rows(spark):
     assert C.grey_zone(rows.limit(0)).count() == 0
     out = C.validation(rows.select("zone_id", "text", F.col("ref").alias("expected_text"), F.lit(None).cast("string").alias("lang"))).first()
     assert out["validation"]["skip_reason"] == "lang_missing"
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abé😀", max_size=90), st.text("abé😀", max_size=90), st.integers(0, 90))
+def test_whole_distance(a, b, most):
+    d = edits(a, b)
+    assert C.within_distance(a, b, most) == (d if d <= most else None)
+
+
+def test_whole_similarity_reads_whole_texts(spark):
+    long = "ab cd " * 5_000
+    rows = [("x" + long, long + "y"), (long + "q" * 40_000, long + "r" * 40_000), (long, long), ("", ""), ("", "a"), (None, "a"), (None, None), ("abcd", "abce"), ("ab", "cd")]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id int, a string, b string")
+    a, b = F.col("a"), F.col("b")
+    got = [(r.all, r.near) for r in df.select("id", C.whole_similarity(a, b).alias("all"), C.whole_similarity(a, b, 0.75).alias("near")).orderBy("id").collect()]
+    assert got[0][0] == got[0][1] == pytest.approx(1 - 2 / 30_001)
+    assert got[1][0] == pytest.approx(1 - 40 / 70) and got[1][1] is None
+    assert got[2:] == [(1.0, 1.0), (1.0, 1.0), (0.0, None), (None, None), (None, None), (0.75, 0.75), (0.0, None)]
+    assert df.limit(0).select(C.whole_similarity(a, b).alias("s")).count() == 0
