@@ -24,10 +24,10 @@ def stripped(line: Column) -> Column:
 
 
 def header(line: Column) -> Column:
-    """struct(number, name) of a header-shaped line, else null."""
+    """struct(number, name) of a header-shaped line, else null. A number beyond an int, as of a card at a line's start, is null; the header stays one."""
     s = stripped(line)
     name = stripped(F.regexp_replace(F.regexp_extract(s, HEADER, 2), rf"^[{T.WS}{STOPS}]+", ""))
-    return F.when(s.rlike(HEADER), F.struct(F.regexp_extract(s, HEADER, 1).cast("int").alias("number"), name.alias("name")))
+    return F.when(s.rlike(HEADER), F.struct(F.regexp_extract(s, HEADER, 1).try_cast("int").alias("number"), name.alias("name")))
 
 
 def likely_name(name: Column) -> Column:
