@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from proofmill.config import ENGINES
 from proofmill.plans.registry import ORACLES, query
 from proofmill.streaming import jobs as J
-from proofmill.plans.views import table
+from proofmill.plans.views import sql_of, table
 from proofmill.streaming.run import appended, counted, counting, file_stream, new_home, updated
 
 
@@ -130,7 +130,7 @@ def str_vote(spark, sf_dir):
     docs = file_stream(spark, f"{sf_dir}/documents.parquet")
     n, text = F.col("doc_id"), F.col("text")
     azure = (
-        F.when(n % 5 == 0, F.concat(F.lit("## "), text)).when(n % 5 == 1, text).when(n % 5 == 2, F.when(F.col("lang") != "de", F.upper(text)).otherwise(text))
+        F.when(n % 5 == 0, F.concat(F.lit("## "), text)).when(n % 5 == 1, text).when(n % 5 == 2, F.when(F.col("lang") != "de", F.expr(sql_of("@upper(text)", "spark"))).otherwise(text))
         .when(n % 5 == 3, F.expr("substr(text, 1, cast(floor(length(text) / 2.0) as int))")).otherwise(F.concat(text, F.lit(" extra")))
     )
     space = F.when(n % 3 == 0, F.concat(text, F.lit("!"))).when(n % 3 == 1, text).otherwise("")
