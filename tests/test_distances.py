@@ -38,3 +38,24 @@ def test_compared_gives_what_compare_lines_gives(spark):
     rows = C.compared(pairs, "c", C.F.col("text"), C.F.col("ref"), asked=C.F.col("zone_id") != 5)
     rows = rows.select("zone_id", "c", C.compare_lines(C.F.col("text"), C.F.col("ref")).alias("d")).collect()
     assert all((r.c is None) if r.zone_id == 5 else (r.c == r.d) for r in rows) and len(rows) == 6
+
+
+def test_insertions_and_deletions():
+    r = random.Random(6)
+    for k in range(600):
+        a = "".join(r.choice("abcß") for _ in range(r.randint(0, 60)))
+        b = "".join(r.choice("abcß") for _ in range(r.randint(0, 60))) if k % 2 else a[r.randint(0, 3) : 50] + "xa"
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b, 1):
+                new.append(row[j - 1] + 1 if x == y else max(row[j], new[-1]))
+            row = new
+        assert C.lcs_length(a, b) == row[-1]
+        assert C.insertions_and_deletions(a, b) == len(a) + len(b) - 2 * row[-1]
+
+
+def test_padded_texts_cost_no_bit_rows(monkeypatch):
+    text = "word " * 20_000
+    monkeypatch.setattr(C.np, "packbits", None)
+    assert C.insertions_and_deletions(text, f" x{text}y") == 3
