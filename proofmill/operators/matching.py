@@ -3,9 +3,9 @@
 Crops and templates of one label meet in groups of bounded size: a label's
 templates are dealt out to blocks, its crops to parts, by the number of values
 they hold, and each pair of block and part is one task's group. So a hot label
-is a grid of tasks. In a group, crops and templates of one length are matrices;
-a window's mean and energy come from prefix sums, its products with all
-templates of a length from one multiplication.
+is a grid of tasks. In a group, windows of one length, and templates, are
+matrices of rows of length 1 without their mean: a multiplication of two gives
+their scores.
 """
 
 from __future__ import annotations
@@ -21,9 +21,12 @@ from pyspark.sql import functions as F
 from proofmill.config import DEFAULT, Config
 
 #: Values that the crops, and the templates, of a group hold, roughly.
-GROUP_VALUES = 1 << 20
-#: Values of a matrix of windows or scores.
-_CELLS = 1 << 22
+GROUP_VALUES = 1 << 17
+#: Values of a matrix of windows or scores, and templates in one: small enough for a core's cache.
+_CELLS = 1 << 19
+_WIDE = 512
+#: More than single precision is wrong by.
+_ROOM = 2e-5
 #: Energy of a window, as a part of that of its values, below which it counts as flat.
 _FLAT = 1e-12
 _FOUND = "vec_id {}, score double, template_id {}, scale double, at int"
@@ -40,19 +43,12 @@ def resized(values: np.ndarray, size: int) -> np.ndarray:
     return np.diff(up_to) * size / len(values)
 
 
-def correlations(crops: np.ndarray, templates: np.ndarray) -> np.ndarray:
-    """The scores, of shape (crops, offsets, templates), of crops (crops, n) and templates (templates, m), m <= n. Flat windows and templates have 0."""
-    m = templates.shape[1]
-    t = templates - templates.mean(axis=1, keepdims=True)
-    power = (t * t).sum(axis=1)
-    first = np.cumsum(np.pad(crops, ((0, 0), (1, 0))), axis=1)
-    second = np.cumsum(np.pad(crops * crops, ((0, 0), (1, 0))), axis=1)
-    mean, energy = (first[:, m:] - first[:, :-m]) / m, second[:, m:] - second[:, :-m]
-    spread = energy - m * mean * mean
-    product = sliding_window_view(crops, m, axis=1) @ t.T
-    flat = (spread <= _FLAT * energy)[:, :, None] | (power <= _FLAT * (templates * templates).sum(axis=1))
-    root = np.sqrt(np.maximum(spread, 0.0))[:, :, None] * np.sqrt(power)
-    return np.where(flat, 0.0, product / np.where(flat, 1.0, root))
+def normed(rows: np.ndarray) -> np.ndarray:
+    """Rows less their mean, of length 1; flat ones are 0."""
+    centred = rows - rows.mean(axis=1, keepdims=True)
+    power = np.einsum("ij,ij->i", centred, centred)
+    flat = power <= _FLAT * np.einsum("ij,ij->i", rows, rows)
+    return centred * np.where(flat, 0.0, 1.0 / np.sqrt(np.where(flat, 1.0, power)))[:, None]
 
 
 def _by_length(vectors: list[np.ndarray]) -> dict[int, list[int]]:
@@ -63,31 +59,41 @@ def _by_length(vectors: list[np.ndarray]) -> dict[int, list[int]]:
 
 
 def best_in_group(crops: list[np.ndarray], templates: list[np.ndarray], scales: tuple[float, ...], least: int) -> list[tuple[float, int, float, int] | None]:
-    """(score, template, scale, offset) of the best match of each crop; None if nothing fits. Of equal scores the first scale, template and offset counts."""
+    """(score, template, scale, offset) of the best match of each crop; None if nothing fits. Of equal scores the first scale, template and offset counts.
+
+    All scores are made in single precision, those that may be a crop's best again in double.
+    """
     best: list[tuple[float, int, float, int] | None] = [None] * len(crops)
+    top = np.full(len(crops), -2.0)
     of_crops = _by_length(crops)
     for scale in scales:
         sizes = [max(1, int(np.rint(len(t) * scale))) for t in templates]
-        scaled = [resized(t, m) if m >= least else None for t, m in zip(templates, sizes, strict=True)]
         of_templates: dict[int, list[int]] = defaultdict(list)
-        for k, t in enumerate(scaled):
-            if t is not None:
-                of_templates[len(t)].append(k)
-        for n, rows in of_crops.items():
-            for m, cols in of_templates.items():
+        for k, m in enumerate(sizes):
+            if m >= least:
+                of_templates[m].append(k)
+        for m, cols in of_templates.items():
+            shapes = normed(np.stack([resized(templates[k], m) for k in cols]))
+            rough = shapes.astype(np.float32).T.copy()
+            for n, rows in of_crops.items():
                 if m > n:
                     continue
-                held = max(1, _CELLS // ((n - m + 1) * m))
-                wide = max(1, _CELLS // ((n - m + 1) * min(held, len(rows))))
+                at = n - m + 1
+                held = max(1, _CELLS // (at * max(m, min(len(cols), _WIDE))))
                 for i in range(0, len(rows), held):
-                    some = rows[i : i + held]
-                    for j in range(0, len(cols), wide):
-                        part = cols[j : j + wide]
-                        scores = correlations(np.stack([crops[k] for k in some]), np.stack([scaled[k] for k in part]))
-                        flat = scores.transpose(0, 2, 1).reshape(len(some), -1)
-                        for k, at, score in zip(some, flat.argmax(axis=1).tolist(), flat.max(axis=1).tolist(), strict=True):
-                            if best[k] is None or score > best[k][0]:
-                                best[k] = (score, part[at // (n - m + 1)], scale, at % (n - m + 1))
+                    some = np.array(rows[i : i + held])
+                    windows = normed(sliding_window_view(np.stack([crops[k] for k in some]), m, axis=1).reshape(-1, m))
+                    near = windows.astype(np.float32)
+                    for j in range(0, len(cols), _WIDE):
+                        most = (near @ rough[:, j : j + _WIDE]).max(axis=1).reshape(len(some), at)
+                        asked = most >= np.maximum(top[some], most.max(axis=1) - _ROOM)[:, None] - _ROOM
+                        places = np.flatnonzero(asked)
+                        for part in np.array_split(places, -(-len(places) * _WIDE // _CELLS)) if len(places) else ():
+                            scores = windows[part] @ shapes[j : j + _WIDE].T
+                            for p, col, score in zip(part.tolist(), scores.argmax(axis=1).tolist(), scores.max(axis=1).tolist(), strict=True):
+                                k, found = int(some[p // at]), (score, cols[j + col], scale, p % at)
+                                if best[k] is None or score > best[k][0] or (score == best[k][0] and scale == best[k][2] and found[1::2] < best[k][1::2]):
+                                    best[k], top[k] = found, score
     return best
 
 
