@@ -1,61 +1,39 @@
-"""The two best sections of a reading without scoring every section of its pack.
-
-A section's score is its base (name, placeholder, length) and its match: 5 or
-3 for equal texts, else twice the Jaccard similarity of the words.
-
-* Of sections that match a reading alike (equal texts, equal lines, equal
-  word sets, no common word) only the two with the best base, first in order,
-  can be among its two best. These are its seeds, found by equality.
-* Words are indexed for one such pair of each word set. A reading's rarest
-  words, a third of them, give sections with at least as many common words;
-  with the seeds they bound its second best score from below.
-* A section that reaches the bound needs a number of common words, so it has
-  one of the reading's other words, rarest first, without the last few: only
-  these are looked up. The hits raise the bound; they and the sizes bound the
-  Jaccard similarity from above, and sections below the bound go.
-
-Texts, lines and words are compared as 64-bit hashes here; the sections left
-are scored from their texts.
+"""The two best sections of a reading, by an index of the words of its pack's sections.
+
+A scope is a pack, or what a hint leaves of one. Its sections are dealt out to
+blocks, its readings to parts, by the length of their texts, and each pair of
+block and part is one task's group: a hot pack is a grid of tasks. A group's
+index lists the sections of each word. A reading's words give the number of
+words that it has in common with each section, and with the digests of texts and
+lines all scores; the two best of each block go on.
+
+Texts and lines are compared by their digests, words as 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
-
-from proofmill.sources.shared import written
-
-#: What a match of each kind is worth at least.
-SEEDS = {"all": 0.0, "strict": 5.0, "strict_lines": 5.0, "soft": 3.0, "soft_lines": 3.0, "words": 2.0}
 
-#: One in so many of a reading's words, its rarest ones, is looked up for the bound.
-FIRST_SHARE = 3
+#: Characters of the sections, and of the readings, of a group, roughly.
+GROUP_CHARS = 1 << 22
+#: What makes a scope.
+SCOPE = ("scope", "pack_id", "by_number", "hint_number", "by_name", "hint_name")
+_KINDS = ("strict", "strict_lines", "soft", "soft_lines")
 
-#: Bounds are compared with some room, since sums of floating-point numbers round.
-ROOM = 1e-9
 
-
-def _keys(prefix: str, *more: Column) -> Column:
-    """The kinds of match that a row takes part in, each with what has to be equal."""
-
-    def key(kind: str) -> Column:
-        value = F.col(f"{prefix}_{kind}")
-        if kind == "words":
-            value = F.array_sort(value)
-        asked = value.isNotNull() if kind in ("strict", "soft") else F.size(value) > 0
-        return F.when(asked, F.xxhash64(value))
-
-    one = lambda kind: F.struct(F.lit(kind).alias("kind"), (F.lit(0).cast("long") if kind == "all" else key(kind)).alias("key"), *more)
-    return F.explode(F.filter(F.array(*map(one, SEEDS)), lambda k: k["key"].isNotNull()))
+def hint_key() -> Column:
+    """A number for a pack and the hints given in it."""
+    return F.xxhash64("pack_id", F.coalesce("hint_number", F.lit(0)), F.col("hint_number").isNull(), F.coalesce("hint_name", F.lit("")))
 
 
 def with_scopes(readings: DataFrame, sections: DataFrame, hint_flags: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """readings with their scope, and the scopes: packs, or what a hint leaves of one. Hints are tried once, however many readings give them."""
-    hint = F.xxhash64("pack_id", F.coalesce("hint_number", F.lit(0)), F.col("hint_number").isNull(), F.coalesce("hint_name", F.lit("")))
-    rows = readings.select("zone_id", "pack_id", "lang", "r_words", "r_strict", "r_soft", "r_strict_lines", "r_soft_lines", "hint_number", "hint_name", hint.alias("hint"))
+    rows = readings.withColumn("hint", hint_key())
     hints = rows.where("hint_number is not null or hint_name <> ''").select(F.col("hint").alias("zone_id"), "pack_id", "hint_number", "hint_name").distinct()
     flags = hint_flags(hints.join(sections.select("pack_id", "section_no", "name"), "pack_id")).withColumnRenamed("zone_id", "hint")
     rows = rows.join(flags, "hint", "left")
@@ -63,72 +41,97 @@ def with_scopes(readings: DataFrame, sections: DataFrame, hint_flags: Callable[[
         rows = rows.withColumn(flag, F.coalesce(flag, F.lit(False))).withColumn(column, F.when(F.col(flag), F.col(column)))
     scope = F.xxhash64("pack_id", "by_number", F.coalesce("hint_number", F.lit(0)), "by_name", F.coalesce("hint_name", F.lit("")))
     rows = rows.withColumn("scope", scope)
-    return rows, rows.select("scope", "pack_id", "by_number", "hint_number", "by_name", "hint_name").distinct()
+    return rows, rows.select(*SCOPE).distinct()
 
 
-def members(scopes: DataFrame, sections: DataFrame, picked: Column, bases: tuple[Column, Column]) -> DataFrame:
+def members(scopes: DataFrame, sections: DataFrame, picked: Column, bases: tuple[Column, Column], *more: str) -> DataFrame:
     """The sections of each scope, with their bases in languages with spaces and without."""
     rows = scopes.join(sections, "pack_id").where(picked)
-    return rows.select("scope", "ord", "has_placeholder", "s_strict", "s_soft", "s_strict_lines", "s_soft_lines", "s_words", bases[0].alias("spaced_base"), bases[1].alias("plain_base"))
-
-
-def _best(rows: DataFrame) -> DataFrame:
-    """Of the sections of each scope that match alike, the two with the best base, first in order."""
-    spaced = F.explode(F.array(F.struct(F.lit(True).alias("spaced"), F.col("spaced_base").alias("base")), F.struct(F.lit(False).alias("spaced"), F.col("plain_base").alias("base"))))
-    # Word sets go with the rows of their own kind only.
-    rows = rows.select("scope", "ord", "s_words", "spaced_base", "plain_base", _keys("s").alias("k"))
-    rows = rows.select("scope", "ord", "k.*", F.when(F.col("k.kind") == "words", F.col("s_words")).alias("words"), spaced.alias("b")).select("*", "b.*").drop("b")
-    order = W.partitionBy("scope", "spaced", "kind", "key").orderBy(F.desc("base"), "ord")
-    return rows.withColumn("place", F.row_number().over(order)).where("place <= 2")
-
-
-def _similar(common: Column) -> Column:
-    """The match of two word sets with so many common words."""
-    return 2.0 * common / (F.col("n") + F.col("size") - common)
-
-
-def _second(bounds: DataFrame) -> DataFrame:
-    """(zone_id, least): a bound that the second best score reaches, from bounds of single sections."""
-    rows = bounds.groupBy("zone_id", "ord").agg(F.max("reached").alias("reached"))
-    rows = rows.withColumn("place", F.row_number().over(W.partitionBy("zone_id").orderBy(F.desc("reached")))).where("place <= 2")
-    # A scope of one section has no second best: nothing is ruled out.
-    return rows.groupBy("zone_id").agg(F.when(F.count("*") == 2, F.min("reached")).otherwise(-10.0).alias("least"))
+    return rows.select("scope", "ord", "has_placeholder", "s_strict", "s_soft", "s_strict_lines", "s_soft_lines", "s_words", bases[0].alias("spaced_base"), bases[1].alias("plain_base"), *more)
+
+
+def grid(readings: DataFrame, sections: DataFrame) -> DataFrame:
+    """(scope, blocks, parts) for rows (scope, weight) of both sides."""
+    groups = lambda rows, name: rows.groupBy("scope").agg(F.greatest(F.lit(1), F.ceil(F.sum("weight") / GROUP_CHARS)).cast("int").alias(name))
+    return groups(sections, "blocks").join(groups(readings, "parts"), "scope")
+
+
+def _codes(left: pa.Table, right: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers that are equal where the digests of a reading and a section are; nulls equal nothing."""
+    both = pa.chunked_array([*left[f"r_{kind}"].chunks, *right[f"s_{kind}"].chunks], pa.string()).combine_chunks().dictionary_encode().indices
+    known = both.fill_null(-1).to_numpy(zero_copy_only=False)
+    return known[: len(left)], np.where(known[len(left) :] < 0, -2, known[len(left) :])
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists, and where each begins and ends."""
+    whole = column.combine_chunks()
+    return whole.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(whole.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))].astype(np.int64)
+
+
+def _scored(left: pa.Table, right: pa.Table):
+    """For each reading its scores with all sections, and which are equal, strictly or softly."""
+    equal = {kind: _codes(left, right, kind) for kind in _KINDS}
+    words, ends = _lists(right["s_words"])
+    sizes = np.diff(ends)
+    terms, term = np.unique(words, return_inverse=True)
+    # The sections of each word, one word after another.
+    listed = np.repeat(np.arange(len(right)), sizes)[np.argsort(term, kind="stable")]
+    at = np.r_[0, np.cumsum(np.bincount(term, minlength=len(terms)))].tolist()
+    asked, asked_ends = _lists(left["r_words"])
+    place = np.searchsorted(terms, asked)
+    known = np.flatnonzero(np.append(terms, 0)[place] == asked) if len(terms) else np.zeros(0, np.int64)
+    known = known[place[known] < len(terms)]
+    hits, cuts = place[known].tolist(), np.searchsorted(known, asked_ends).tolist()
+    bases = [right[c].to_numpy() for c in ("plain_base", "spaced_base")]
+    for k, spaced in enumerate(left["spaced"].to_pylist()):
+        found = [listed[at[t] : at[t + 1]] for t in hits[cuts[k] : cuts[k + 1]]]
+        common = np.bincount(np.concatenate(found), minlength=len(right)) if found else np.zeros(len(right), np.int64)
+        union = asked_ends[k + 1] - asked_ends[k] + sizes - common
+        strict, soft = ((equal[a][1] == equal[a][0][k]) | (equal[b][1] == equal[b][0][k]) for a, b in (_KINDS[:2], _KINDS[2:]))
+        match = np.where(strict, 5.0, np.where(soft, 3.0, 2.0 * (common / np.maximum(union, 1))))
+        yield bases[bool(spaced)] + match, strict, soft
+
+
+def best_two(readings: DataFrame, members: DataFrame, *more: str) -> DataFrame:
+    """Of the sections of each scope and block the two best of each reading, the first in order if scores are equal, with score, strict_equal and soft_equal.
+
+    readings (zone_id, scope, spaced, forms r_) and members have blocks and parts,
+    as of grid; `more` are columns of readings. only says whether all sections of the block are
+    placeholders, sections on a reading's first row of a block how many there are.
+    """
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keys = ("scope", "block", "part")
+    # A name of its own: both tables may come from one.
+    scope = F.col("scope").alias("scope")
+    r = readings.select(scope, every("blocks").alias("block"), own("zone_id", "parts").alias("part"), "zone_id", "spaced", *(f"r_{c}" for c in (*_KINDS, "words")), *more)
+    kept = [c for c in ("ord", "section_no", "name", "has_placeholder", "usable") if c in members.columns]
+    s = members.select(scope, own("ord", "blocks").alias("block"), every("parts").alias("part"), *kept, "spaced_base", "plain_base", *(f"s_{c}" for c in (*_KINDS, "words")))
+    kinds = [f"{c} {t[c].dataType.simpleString()}" for t, names in ((r.schema, ("zone_id", "scope", *more)), (s.schema, kept)) for c in names]
+    schema = ", ".join([*kinds, "score double, strict_equal boolean, soft_equal boolean, only boolean, sections long"])
+
+    def match(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("ord")
+        only = bool(len(right)) and all(right["has_placeholder"].to_pylist())
+        rows: list[tuple] = []
+        for k, (score, strict, soft) in enumerate(_scored(left, right) if len(right) else ()):
+            score = score.copy()
+            for place in range(min(2, len(right))):
+                best = int(score.argmax())
+                rows.append((k, best, float(score[best]), bool(strict[best]), bool(soft[best]), only, 0 if place else len(right)))
+                score[best] = -np.inf
+        a, b, *facts = zip(*rows, strict=True) if rows else [()] * 7
+        picked = [t.take(pa.array(x, pa.int64())).select(names) for t, x, names in ((left, a, ["zone_id", "scope", *more]), (right, b, kept))]
+        types = (pa.float64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64())
+        columns = {c: t[c] for t in picked for c in t.column_names} | {c: pa.array(x, t) for c, x, t in zip(("score", "strict_equal", "soft_equal", "only", "sections"), facts, types, strict=True)}
+        return pa.table(columns)
+
+    return r.groupBy(*keys).cogroup(s.groupBy(*keys)).applyInArrow(match, schema)
 
 
 def candidates(readings: DataFrame, sections: DataFrame) -> DataFrame:
-    """(zone_id, scope, ord): sections among which are the two best of each reading of a scope.
-
-    readings has zone_id, scope, spaced and the forms r_; sections are members.
-    Without words in common a reading has its seeds only. Ties stay in.
-    """
-    best = written(_best(sections), "section-best")
-    asked = readings.select("zone_id", "scope", "spaced", _keys("r").alias("k")).select("zone_id", "scope", "spaced", "k.*")
-    worth = F.element_at(F.create_map(*[F.lit(x) for pair in SEEDS.items() for x in pair]), F.col("kind"))
-    seeds = written(asked.join(best.drop("words", "place"), ["scope", "spaced", "kind", "key"]).select("zone_id", "scope", "ord", "kind", "base", (F.col("base") + worth).alias("reached")), "section-seeds")
-    top = seeds.where("kind = 'all'").groupBy("zone_id").agg(F.max("base").alias("top_base"))
-
-    postings = best.where("kind = 'words'").select("scope", "spaced", "ord", "base", F.size("words").alias("size"), F.explode("words").alias("word"))
-    postings = written(postings, "section-postings")
-    frequency = postings.groupBy("scope", "spaced", "word").agg(F.count("*").alias("sections"))
-    words = readings.select("zone_id", "scope", "spaced", F.size("r_words").alias("n"), F.explode("r_words").alias("word")).join(frequency, ["scope", "spaced", "word"])
-    words = words.withColumn("rank", F.row_number().over(W.partitionBy("zone_id").orderBy("sections", "word")))
-    words = written(words.withColumn("known", F.count("*").over(W.partitionBy("zone_id"))).withColumn("first", F.ceil(F.col("known") / FIRST_SHARE)), "section-words")
-
-    by_word = ["scope", "spaced", "word"]
-    rare = words.where("rank <= first").join(postings, by_word).groupBy("zone_id", "ord", "n", "size", "base").agg(F.count("*").alias("hits"))
-    least = _second(seeds.select("zone_id", "ord", "reached").unionByName(rare.select("zone_id", "ord", (F.col("base") + _similar(F.col("hits"))).alias("reached"))))
-
-    bound = written(least.join(top, "zone_id"), "section-bounds")
-    needed = F.greatest(F.lit(1), F.ceil((F.col("least") - F.col("top_base")) / 2 * F.col("n") - ROOM))
-    looked_up = F.greatest("first", F.col("known") - needed + 1)
-    rows = words.join(bound, "zone_id").withColumn("looked_up", looked_up).where("rank <= looked_up").drop("rank", "sections", "top_base", "first")
-    room_of = lambda match: F.col("base") + match >= F.col("least") - ROOM
-    rows = rows.join(postings, by_word).where(room_of(2.0 * F.least("n", "size") / F.greatest("n", "size")))
-    rows = rows.groupBy("zone_id", "scope", "ord", "n", "size", "base", "least", "known", "looked_up").agg(F.count("*").alias("hits"))
-    rows = written(rows, "section-hits")
-    # Nearly all words are looked up by now, so the hits bound the second best score closely.
-    hits = rows.select("zone_id", "ord", (F.col("base") + _similar(F.col("hits"))).alias("reached"))
-    rows = rows.drop("least").join(_second(seeds.select("zone_id", "ord", "reached").unionByName(hits)), "zone_id")
-    most = F.least(F.col("hits") + F.col("known") - F.col("looked_up"), F.col("size"))
-    rows = rows.where(room_of(_similar(most)))
-    return rows.select("zone_id", "scope", "ord").unionByName(seeds.select("zone_id", "scope", "ord")).distinct()
+    """(zone_id, scope, ord, ..): sections among which are the two best of each reading of a scope, by best_two. Weights are taken from the words."""
+    weighed = lambda rows, words: rows.select("scope", (F.size(words) * 8).alias("weight"))
+    of_scope = grid(weighed(readings, "r_words"), weighed(sections, "s_words"))
+    return best_two(readings.join(of_scope, "scope"), sections.join(of_scope, "scope"))

@@ -111,27 +111,32 @@ def token_count(text: Column, lang: Column) -> Column:
 
 
 def with_forms(rows: DataFrame, text: str, prefix: str) -> DataFrame:
-    """rows with the strict and soft forms of a text, each as a whole and as sorted lines: made once for a row, before any join."""
-    rows = C.once(rows, "forms", F.struct(T.normalize(text, "strict").alias("strict"), T.normalize(text, "soft").alias("soft")))
-    sorted_ = lambda level: F.array_sort(T.normalized_lines(text, level))
-    more = F.struct(sorted_("strict").alias("strict_lines"), sorted_("soft").alias("soft_lines"), C.word_set(F.col("forms.soft")).alias("words"))
+    """rows with what its text is compared by: digests of the strict and soft forms, as wholes and as sorted lines (null without lines), the soft words and their number. Texts and forms needn't travel."""
+    soft = F.when(T.may_hold_placeholder(text), F.struct(T.normalize(text, "soft").alias("whole"), T.normalized_lines(text, "soft").alias("lines")))
+    rows = C.once(rows, "forms", F.struct(T.strict_lines(text).alias("lines"), soft.alias("soft")))
+    whole = lambda lines: F.array_join(lines, " ")
+    digest = lambda x: F.md5(x.cast("binary"))
+    of_lines = lambda lines: F.when(F.size(lines) > 0, digest(F.array_join(F.array_sort(lines), "\n")))
+    lines, other = F.col("forms.lines"), F.col("forms.soft")
+    own = F.struct(digest(whole(lines)).alias("strict"), of_lines(lines).alias("strict_lines"), F.coalesce(other["whole"], whole(lines)).alias("text"), other.alias("other"))
+    rows = C.once(rows.select(*[c for c in rows.columns if c != "forms"], "forms"), "own", own).drop("forms")
+    own, other = F.col("own"), F.col("own.other")
+    more = F.struct(
+        own["strict"].alias("strict"), own["strict_lines"].alias("strict_lines"), F.when(other.isNull(), own["strict"]).otherwise(digest(other["whole"])).alias("soft"),
+        F.when(other.isNull(), own["strict_lines"]).otherwise(of_lines(other["lines"])).alias("soft_lines"), C.word_set(own["text"]).alias("words"), F.size(T.words(own["text"])).alias("n_words"),
+    )
     rows = C.once(rows, "more", more)
-    named = [F.col(f"{g}.{c}").alias(f"{prefix}_{c}") for g, c in (("forms", "strict"), ("forms", "soft"), ("more", "strict_lines"), ("more", "soft_lines"), ("more", "words"))]
-    return rows.select("*", *named).drop("forms", "more")
+    named = [F.col(f"more.{c}").alias(f"{prefix}_{c}") for c in ("strict", "soft", "strict_lines", "soft_lines", "words", "n_words")]
+    return rows.select("*", *named).drop("own", "more")
 
 
 def with_section_facts(sections: DataFrame) -> DataFrame:
-    """sections with their forms (s_), has_placeholder, and the words of their soft form. Only languages with spaces are asked for a length."""
-    rows = with_forms(sections, "content", "s")
-    facts = F.struct(
-        T.has_placeholder("content").alias("has_placeholder"), F.size(T.words(F.col("s_soft"))).alias("s_n_words")
-    )
-    return C.once(rows, "facts", facts).select("*", "facts.*").drop("facts")
+    """sections with their forms (s_) and has_placeholder. Only languages with spaces are asked for a length."""
+    return with_forms(C.once(sections, "has_placeholder", T.has_placeholder("content")), "content", "s")
 
 
 def _equal(level: str) -> Column:
-    lines = F.col(f"r_{level}_lines")
-    return (F.col(f"r_{level}") == F.col(f"s_{level}")) | ((F.size(lines) > 0) & (lines == F.col(f"s_{level}_lines")))
+    return (F.col(f"r_{level}") == F.col(f"s_{level}")) | F.coalesce(F.col(f"r_{level}_lines") == F.col(f"s_{level}_lines"), F.lit(False))
 
 
 def section_bases(config: Config = DEFAULT) -> tuple[Column, Column]:
@@ -174,30 +179,38 @@ def picked() -> Column:
     return (_fits("number") | ~F.col("by_number")) & (_fits("name") | ~F.col("by_name"))
 
 
-def _scores(pairs: DataFrame, config: Config, *more: str) -> DataFrame:
-    """Scored pairs without their texts and forms, which needn't travel any further."""
-    scored = score_sections(pairs, config).withColumn("usable", (F.col("s_soft") != "") & ~F.col("has_placeholder"))
-    return scored.select("zone_id", "ord", "section_no", "name", "hint_number", "hint_name", "score", "strict_equal", "soft_equal", "has_placeholder", "usable", *more)
+def usable() -> Column:
+    """Whether a section has words and no placeholder."""
+    return (F.col("s_n_words") > 0) & ~F.col("has_placeholder")
 
 
 def _scored_pairs(asked: DataFrame, sections: DataFrame, config: Config) -> DataFrame:
-    """Every reading with every section of its pack that its hints leave."""
+    """Every reading with every section of its pack that its hints leave; forms are made where texts are read, and texts stay there."""
     # Hints need numbers and names only: they pick the candidates before any text is compared.
     flags = hint_flags(asked.select("zone_id", "pack_id", "hint_number", "hint_name").join(sections.select("pack_id", "section_no", "name"), "pack_id"))
-    pairs = with_forms(asked.join(flags, "zone_id"), "reading", "r").join(with_section_facts(sections).drop("content"), "pack_id").where(picked())
-    return _scores(pairs, config)
+    readings, facts = with_forms(asked, "reading", "r").drop("reading", "r_n_words"), with_section_facts(sections).drop("content")
+    scored = score_sections(readings.join(flags, "zone_id").join(facts, "pack_id").where(picked()), config).withColumn("usable", usable())
+    scored = scored.select("zone_id", "ord", "section_no", "name", F.col("hint_number").isNotNull().alias("numbered"), "score", "strict_equal", "soft_equal", "has_placeholder", "usable")
+    all_ = W.partitionBy("zone_id")
+    return scored.withColumn("only_placeholders", F.min("has_placeholder").over(all_)).withColumn("left", F.count("*").over(all_))
 
 
 def _scored_by_index(asked: DataFrame, sections: DataFrame, config: Config) -> DataFrame:
     """Every reading with the sections among which its two best are, and what the hints left of its pack."""
-    readings = written(with_forms(asked, "reading", "r"), "section-readings")
-    facts = written(with_section_facts(sections).drop("content"), "section-facts")
-    scoped, scopes = index.with_scopes(readings, facts, hint_flags)
-    members = written(index.members(scopes, facts, picked(), section_bases(config)), "section-members")
-    found = index.candidates(scoped.withColumn("spaced", ~F.coalesce(F.col("lang"), F.lit("")).isin(*CJK)), members)
-    left = members.groupBy("scope").agg(F.min("has_placeholder").alias("only_placeholders"), F.count("*").alias("left"))
-    pairs = found.join(left, "scope").drop("scope").join(readings, "zone_id").join(facts, ["pack_id", "ord"])
-    return _scores(pairs, config, "only_placeholders", "left")
+    hinted = asked.groupBy("pack_id", "hint_number", F.coalesce("hint_name", F.lit("")).alias("hint_name")).agg(F.sum(F.length("reading")).alias("weight"))
+    hints = written(index.with_scopes(hinted, sections, hint_flags)[0], "section-scopes")
+    scopes = hints.select(*index.SCOPE).distinct()
+    of_sections = scopes.join(sections.select("pack_id", "section_no", "name", F.length("content").alias("weight")), "pack_id").where(picked())
+    grid = written(index.grid(hints, of_sections), "section-grid")
+    spaced = ~F.coalesce(F.col("lang"), F.lit("")).isin(*CJK)
+    readings = asked.select("zone_id", spaced.alias("spaced"), F.col("hint_number").isNotNull().alias("numbered"), index.hint_key().alias("hint"), "reading")
+    readings = with_forms(readings.join(hints.select("hint", "scope").join(grid, "scope"), "hint").drop("hint"), "reading", "r").drop("reading")
+    facts = with_section_facts(sections).drop("content").withColumn("usable", usable())
+    members = index.members(scopes.join(grid, "scope"), facts, picked(), section_bases(config), "section_no", "name", "usable", "blocks", "parts")
+    found = index.best_two(readings, members, "numbered")
+    # Each reading has met each block of its scope once, and a block's first row has its sections.
+    all_ = W.partitionBy("zone_id")
+    return found.withColumn("only_placeholders", F.min("only").over(all_)).withColumn("left", F.sum("sections").over(all_))
 
 
 def select_sections(readings: DataFrame, sections: DataFrame, config: Config = DEFAULT, indexed: bool = False) -> DataFrame:
@@ -208,25 +221,19 @@ def select_sections(readings: DataFrame, sections: DataFrame, config: Config = D
     delta, score_top1, score_top2, confidence, margin.
 
     Readings are scored against all sections of their pack or, with indexed,
-    against those that an index of words can't rule out of the two best: the
-    same rows, for packs of thousands of sections.
+    by an index of words of each block of a pack's sections: the same rows, for
+    packs of thousands of sections.
     """
     short = F.length(stripped(F.col("reading"))) < 3
     known = sections.select("pack_id").distinct().withColumn("has_sections", F.lit(True))
     if "lang" in sections.columns:
         sections = sections.drop("lang")
-    asked = readings.where(~short)
-    if indexed:
-        scored = _scored_by_index(asked, sections, config)
-    else:
-        all_ = W.partitionBy("zone_id")
-        scored = _scored_pairs(asked, sections, config)
-        scored = scored.withColumn("only_placeholders", F.min("has_placeholder").over(all_)).withColumn("left", F.count("*").over(all_))
+    scored = (_scored_by_index if indexed else _scored_pairs)(readings.where(~short), sections, config)
     ranked = W.partitionBy("zone_id").orderBy(F.desc("score"), "ord")
     scored = scored.withColumn("rank", F.row_number().over(ranked)).withColumn("second", F.lead("score").over(ranked)).where("rank = 1")
     delta = F.coalesce(F.col("score") - F.col("second"), F.lit(config.single_delta))
     c = G.reference_confidence(F.col("score"), F.col("second"), F.col("usable"), config)
-    stuck = F.col("only_placeholders") & ~(F.col("hint_number").isNotNull() & (F.col("left") == 1))
+    stuck = F.col("only_placeholders") & ~(F.col("numbered") & (F.col("left") == 1))
     reason = (
         F.when(stuck, "all_placeholders").when((delta < config.ambiguous_delta) & ~F.col("strict_equal"), "ambiguous_delta")
         .when(F.col("strict_equal"), "strict_equal").when(F.col("soft_equal"), "soft_equal_only").otherwise("no_match")
@@ -235,8 +242,8 @@ def select_sections(readings: DataFrame, sections: DataFrame, config: Config = D
         "zone_id", "section_no", "name", delta.alias("delta"), F.col("score").alias("score_top1"), F.col("second").alias("score_top2"),
         F.when(stuck, 0.0).otherwise(c["confidence"]).alias("confidence"), c["margin"].alias("margin"), reason.alias("reason"), F.lit(True).alias("found"),
     )
-    rows = readings.join(known, "pack_id", "left").join(best, "zone_id", "left")
-    reason = F.when(F.col("has_sections").isNull(), "no_sections").when(short, "ocr_too_short").otherwise(F.col("reason"))
+    rows = readings.select("zone_id", "pack_id", F.coalesce(short, F.lit(False)).alias("short")).join(known, "pack_id", "left").join(best, "zone_id", "left")
+    reason = F.when(F.col("has_sections").isNull(), "no_sections").when(F.col("short"), "ocr_too_short").otherwise(F.col("reason"))
     rows = rows.withColumn("reason", reason)
     return rows.select(
         "zone_id", "section_no", "name", F.when(F.col("reason") == "strict_equal", "PASS").otherwise("MANUAL").alias("status"), "reason",
