@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Characters of the sections, and of the readings, of a group, roughly.
 GROUP_CHARS = 1 << 22
+#: Different hints of packs, some 100 bytes each, that are broadcast.
+BROADCAST_HINTS = 100_000
 #: What makes a scope.
 SCOPE = ("scope", "pack_id", "by_number", "hint_number", "by_name", "hint_name")
 _KINDS = ("strict", "strict_lines", "soft", "soft_lines")

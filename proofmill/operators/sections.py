@@ -202,11 +202,13 @@ def _scored_by_index(asked: DataFrame, sections: DataFrame, config: Config) -> D
     scopes = hints.select(*index.SCOPE).distinct()
     of_sections = scopes.join(sections.select("pack_id", "section_no", "name", F.length("content").alias("weight")), "pack_id").where(picked())
     grid = written(index.grid(hints, of_sections), "section-grid")
+    # Up to a number of hints, counted first, neither texts nor forms are shuffled to meet them.
+    dealt = F.broadcast if hints.count() <= index.BROADCAST_HINTS else lambda rows: rows
     spaced = ~F.coalesce(F.col("lang"), F.lit("")).isin(*CJK)
     readings = asked.select("zone_id", spaced.alias("spaced"), F.col("hint_number").isNotNull().alias("numbered"), index.hint_key().alias("hint"), "reading")
-    readings = with_forms(readings.join(hints.select("hint", "scope").join(grid, "scope"), "hint").drop("hint"), "reading", "r").drop("reading")
+    readings = with_forms(readings.join(dealt(hints.select("hint", "scope").join(grid, "scope")), "hint").drop("hint"), "reading", "r").drop("reading")
     facts = with_section_facts(sections).drop("content").withColumn("usable", usable())
-    members = index.members(scopes.join(grid, "scope"), facts, picked(), section_bases(config), "section_no", "name", "usable", "blocks", "parts")
+    members = index.members(dealt(scopes.join(grid, "scope")), facts, picked(), section_bases(config), "section_no", "name", "usable", "blocks", "parts")
     found = index.best_two(readings, members, "numbered")
     # Each reading has met each block of its scope once, and a block's first row has its sections.
     all_ = W.partitionBy("zone_id")

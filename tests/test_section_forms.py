@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from proofmill.functions import text as T
@@ -20,8 +21,10 @@ def test_what_travels(spark):
     assert len(str(rows.first())) < 500
 
 
-def test_blocks_and_parts(spark, monkeypatch):
+@pytest.mark.parametrize("hints", [0, 100])
+def test_blocks_and_parts(spark, monkeypatch, hints):
     monkeypatch.setattr(index, "GROUP_CHARS", 40)
+    monkeypatch.setattr(index, "BROADCAST_HINTS", hints)
     sections = spark.createDataFrame([(1, k, k % 3, "PIC" if k % 2 else "NEWS", f"w{k} w{k + 1} w{k % 5} {'%skin%' if k % 7 == 0 else ''}") for k in range(40)], "pack_id long, ord long, section_no int, name string, content string")
     hints = [(None, None), (None, ""), (1, None), (99, "pic"), (2, "pic"), (0, "x")]
     readings = spark.createDataFrame([(z, 1, "en", f"w{z} w{z + 1} w{z % 5}" if z % 4 else "none of them", *hints[z % 6]) for z in range(60)], "zone_id long, pack_id long, lang string, reading string, hint_number int, hint_name string")
