@@ -11,7 +11,7 @@ are left out unless a job says otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -68,6 +68,99 @@ class _Timed(StatefulProcessor):
         pass
 
 
+#: Groups that the keys of a processor are dealt to by hash. A stream keeps the number that it began with.
+GROUPS = 2048
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
+class _Grouped(StatefulProcessor):
+    """A processor for groups of keys, each key with a time at which its state ends.
+
+    The states of a group are one value with an array for each field, and one
+    event-time timer is set to the first of their times: a group, not a key,
+    costs the calls to the state store. A key that has ended is let go before
+    new rows of it are taken, whether or not the group has any.
+    """
+
+    #: Fields of a key's state before its time, and columns of the results.
+    fields = ""
+    columns: tuple[str, ...] = ()
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        kinds = [field.split(" ") for field in f"key string, {self.fields}, ends long".split(", ")]
+        self.state = handle.getValueState("state", ", ".join(f"{name} array<{kind}>" for name, kind in kinds) + ", timer long")
+
+    def held(self) -> tuple[dict[str, list], int | None]:
+        """The state of each key, ending with its time, and the group's timer."""
+        old = self.state.get()
+        if old is None:
+            return {}, None
+        *columns, timer = old
+        return {key: values for key, *values in zip(*columns)}, timer
+
+    def keep(self, held: dict[str, list], timer: int | None) -> None:
+        first = min((values[-1] for values in held.values()), default=None)
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+        if held:
+            self.state.update((list(held), *map(list, zip(*held.values())), first))
+        elif timer is not None:
+            self.state.clear()
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        held, timer = self.held()
+        yield from self.frames(self.ended(held, now))
+        seen: set[str] = set()
+        for frame in rows:
+            seen.update(frame["key"])
+            yield from self.frames(self.take(held, frame, now))
+        self.keep(held, timer)
+        yield from self.frames(row for k in seen for row in self.changed(k, held[k]))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        held, timer = self.held()
+        yield from self.frames(self.ended(held, timerValues.getCurrentWatermarkInMs()))
+        self.keep(held, timer)
+
+    def frames(self, rows: Iterable[tuple]) -> Iterator[pd.DataFrame]:
+        found = list(rows)
+        if found:
+            yield pd.DataFrame(found, columns=list(self.columns))
+
+    def ended(self, held: dict[str, list], now: int) -> Iterator[tuple]:
+        for k in [k for k, values in held.items() if values[-1] <= now]:
+            yield from self.over(k, held.pop(k))
+
+    def take(self, held: dict[str, list], frame: pd.DataFrame, now: int) -> Iterator[tuple]:
+        """Takes rows into the states of their keys; results that they give at once."""
+        raise NotImplementedError
+
+    def changed(self, key: str, values: list) -> Iterable[tuple]:
+        """Results of a key that had rows, once all are taken."""
+        return ()
+
+    def over(self, key: str, values: list) -> Iterable[tuple]:
+        """Results of a key whose time has come."""
+        return ()
+
+    def close(self) -> None:
+        pass
+
+
+def _grouped(rows: DataFrame, keys: list[str], processor: _Grouped, out: str, mode: str) -> DataFrame:
+    """The keys and results of a processor over rows, whose keys travel as JSON: nulls and numbers stay what they are."""
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
+    group = F.pmod(F.xxhash64(*keys), F.lit(GROUPS)).cast("int")
+    dealt = rows.withColumns({"group": group, "key": F.to_json(F.struct(*keys), _JSON)}).drop(*keys)
+    found = dealt.groupBy("group").transformWithStateInPandas(processor, f"key string, {out}", mode, "EventTime")
+    return found.withColumn("key", F.from_json("key", kinds, _JSON)).select(*(F.col("key")[c].alias(c) for c in keys), *found.columns[1:])
+
+
 #: Before all times and numbers.
 _FIRST = -(1 << 63)
 
@@ -180,39 +273,29 @@ def request_batches(batch: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return M.batches(batch, ("session_id", "mode"), F.col("seq"), config=config)
 
 
-class _Carried(_Timed):
-    """Value state: the requests that wait for their chunk to be full, fewer than a chunk, and when the first of them came."""
+class _Carried(_Grouped):
+    """State of a key: the requests that wait for their chunk to be full, fewer than a chunk, and when the first of them came."""
 
     fields = "opened long, seen long, chunk long, held array<long>"
+    columns = ("key", "opened", "chunk", "requests")
 
     def __init__(self, size: int, wait_ms: int) -> None:
         self.size, self.wait_ms = size, wait_ms
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        old = self.held()
-        if self.due(old, timerValues):
-            yield from self.rest(key, old)
-            old = None
-        opened, seen, chunk, held = (*old[:3], list(old[3])) if old else (None, _FIRST, 0, [])
-        for r in rows:
-            opened, seen = r.at if opened is None else min(opened, r.at), max(seen, r.at)
-            held.append(r.seq)
-            if len(held) == self.size:
-                yield self.row(key, opened, chunk, held)
-                opened, chunk, held = None, chunk + 1, []
-        self.keep((opened, seen, chunk, held), old, max(seen // 1000, timerValues.getCurrentWatermarkInMs()) + self.wait_ms)
-
-    def row(self, key: Any, opened: int, chunk: int, held: list) -> Row:
-        return Row(session_id=key[0], mode=key[1], lane=key[2], opened=opened, chunk=chunk, requests=held)
-
-    def rest(self, key: Any, old: tuple) -> Iterator[Row]:
-        if old[3]:
-            yield self.row(key, old[0], old[2], list(old[3]))
+    def take(self, held: dict[str, list], frame: pd.DataFrame, now: int) -> Iterator[tuple]:
+        for key, at, seq, numbered in zip(*(frame[c].tolist() for c in ("key", "at", "seq", "numbered"))):
+            opened, seen, chunk, waiting, _ = held.get(key) or (None, _FIRST, 0, [], 0)
+            opened, seen = at if opened is None else min(opened, at), max(seen, at)
+            waiting = [*waiting, seq if numbered else None]
+            if len(waiting) == self.size:
+                yield key, opened, chunk, waiting
+                opened, chunk, waiting = None, chunk + 1, []
+            held[key] = [opened, seen, chunk, waiting, max(seen // 1000, now) + self.wait_ms]
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        old = self.held()
-        self.state.clear()
-        yield from self.rest(key, old)
+    def over(self, key: str, values: list) -> Iterator[tuple]:
+        opened, _, chunk, waiting, _ = values
+        if waiting:
+            yield key, opened, chunk, list(waiting)
 
 
 def carried_batches(requests: DataFrame, wait: str = "10 minutes", delay: str = "10 minutes", lanes: int = 8, config: Config = DEFAULT) -> DataFrame:
@@ -229,11 +312,10 @@ def carried_batches(requests: DataFrame, wait: str = "10 minutes", delay: str =
     """
     lane = F.coalesce(F.pmod(F.col("seq"), F.lit(lanes)), F.lit(0)).cast("int")
     rows = requests.where("ts is not null").withWatermark("ts", delay)
-    rows = rows.select("session_id", "mode", lane.alias("lane"), F.col("seq").cast("long").alias("seq"), "ts", _micros(F.col("ts")).alias("at"))
-    kinds = [f"{c} {requests.schema[c].dataType.simpleString()}" for c in ("session_id", "mode")]
-    out = ", ".join([*kinds, "lane int, opened long, chunk long, requests array<long>"])
+    seq = F.col("seq").cast("long")
+    rows = rows.select("session_id", "mode", lane.alias("lane"), F.coalesce(seq, F.lit(0)).alias("seq"), seq.isNotNull().alias("numbered"), "ts", _micros(F.col("ts")).alias("at"))
     wait_ms = int(pd.Timedelta(wait).total_seconds() * 1000)
-    found = rows.groupBy("session_id", "mode", "lane").transformWithState(_Carried(config.batch_size, wait_ms), out, "Append", "EventTime")
+    found = _grouped(rows, ["session_id", "mode", "lane"], _Carried(config.batch_size, wait_ms), "opened long, chunk long, requests array<long>", "Append")
     return found.withColumn("opened", F.timestamp_micros("opened"))
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from proofmill.sources import sinks
-from proofmill.streaming import jobs
+from proofmill.streaming import jobs, run
 from proofmill.streaming.run import appended, counted, counting, file_stream, new_home, updated
 
 EVENT = "session_id long, seq long, status string"
@@ -173,3 +173,40 @@ def test_chunks_fill_up_over_deliveries(spark, tmp_path):
     assert sorted(n for r in got if r.session_id == 1 and r.mode == "a" for n in r.requests) == [*range(30), 99]
     assert {(r.session_id, r.mode, r.chunk, *r.requests) for r in got if r.session_id != 1 or r.mode is None} == {(1, None, 0, 5), (None, "a", 0, None)}  # 9's second request came before the watermark passed its time
     assert sorted(r.chunk for r in got if r.session_id == 1 and r.mode == "a") == [0, 0, 1]
+
+
+def test_keys_share_calls_to_the_state(spark, tmp_path, monkeypatch):
+    """The entries of the state, and the calls that make them, follow the groups of keys, not the keys."""
+    monkeypatch.setattr(jobs, "GROUPS", 4, raising=False)
+    run._stateful(spark)
+    deliver(spark, str(tmp_path / "in"), [(n, "a", n, DAY) for n in range(200)], "session_id long, mode string, seq long")
+    stream = jobs.carried_batches(file_stream(spark, str(tmp_path / "in")), "1 hour", lanes=1)
+    query = stream.writeStream.outputMode("append").option("checkpointLocation", new_home(spark, "calls")).trigger(availableNow=True).format("noop").start()
+    query.awaitTermination()
+    # A group's state and the two entries of its timer.
+    assert query.lastProgress.stateOperators[0].numRowsTotal <= 4 * 3
+
+
+@pytest.mark.parametrize("groups", [1, 2048])
+def test_chunks_of_keys_in_one_group(spark, tmp_path, monkeypatch, groups):
+    """Keys of a group end each at its own time, also when others of it go on; nulls and large numbers stay what they are."""
+    monkeypatch.setattr(jobs, "GROUPS", groups, raising=False)
+    big = 2**53 + 1
+    parts = [
+        [(big, 'a"\\', big + 2, DAY), (None, None, None, DAY), (3, "", 3, DAY + 7200), (3, None, None, DAY + 7200)],
+        [(4, "a", 4, DAY + 7300)],
+        [(3, "", 5, DAY + 9000)],
+        [(4, "a", 6, DAY + 11500)],
+        [(9, "z", 1, DAY + 13300)],
+    ]
+    home = new_home(spark, "group")
+    found = []
+    for part in parts:
+        deliver(spark, str(tmp_path / "in"), part, "session_id long, mode string, seq long")
+        got = appended(jobs.carried_batches(file_stream(spark, str(tmp_path / "in")), "1 hour", lanes=1), "group", home)
+        found.append({(r.session_id, r.mode, r.lane, r.chunk, *r.requests) for r in got.collect()})
+        time.sleep(1.1)
+    over = {(big, 'a"\\', 0, 0, big + 2), (None, None, 0, 0, None)}
+    late = over | {(3, None, 0, 0, None)}
+    assert found == [over, over, over, late, late | {(3, "", 0, 0, 3, 5)}]
+    assert got.count() == len(found[-1])
