@@ -12,6 +12,7 @@ are left out unless a job says otherwise.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import batched
 from typing import Any
 
 import pandas as pd
@@ -70,6 +71,7 @@ class _Timed(StatefulProcessor):
 
 #: Groups that the keys of a processor are dealt to by hash. A stream keeps the number that it began with.
 GROUPS = 2048
+_KEY = "key_json"
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
@@ -78,17 +80,18 @@ class _Grouped(StatefulProcessor):
 
     The states of a group are one value with an array for each field, and one
     event-time timer is set to the first of their times: a group, not a key,
-    costs the calls to the state store. A key that has ended is let go before
-    new rows of it are taken, whether or not the group has any.
+    costs the calls to the state store.
     """
 
     #: Fields of a key's state before its time, and columns of the results.
     fields = ""
     columns: tuple[str, ...] = ()
+    #: Whether a key whose time is over begins anew with rows that come before its timer is called.
+    anew = True
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        kinds = [field.split(" ") for field in f"key string, {self.fields}, ends long".split(", ")]
+        kinds = [field.split(" ") for field in f"keys string, {self.fields}, ends long".split(", ")]
         self.state = handle.getValueState("state", ", ".join(f"{name} array<{kind}>" for name, kind in kinds) + ", timer long")
 
     def held(self) -> tuple[dict[str, list], int | None]:
@@ -114,13 +117,10 @@ class _Grouped(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         held, timer = self.held()
-        yield from self.frames(self.ended(held, now))
-        seen: set[str] = set()
-        for frame in rows:
-            seen.update(frame["key"])
-            yield from self.frames(self.take(held, frame, now))
+        if self.anew:
+            yield from self.frames(self.ended(held, now))
+        yield from self.frames(self.take(held, rows, now))
         self.keep(held, timer)
-        yield from self.frames(row for k in seen for row in self.changed(k, held[k]))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         held, timer = self.held()
@@ -128,22 +128,17 @@ class _Grouped(StatefulProcessor):
         self.keep(held, timer)
 
     def frames(self, rows: Iterable[tuple]) -> Iterator[pd.DataFrame]:
-        found = list(rows)
-        if found:
-            yield pd.DataFrame(found, columns=list(self.columns))
+        for found in batched(rows, 4096):
+            yield pd.DataFrame(list(found), columns=list(self.columns))
 
     def ended(self, held: dict[str, list], now: int) -> Iterator[tuple]:
         for k in [k for k, values in held.items() if values[-1] <= now]:
             yield from self.over(k, held.pop(k))
 
-    def take(self, held: dict[str, list], frame: pd.DataFrame, now: int) -> Iterator[tuple]:
-        """Takes rows into the states of their keys; results that they give at once."""
+    def take(self, held: dict[str, list], rows: Iterator[pd.DataFrame], now: int) -> Iterator[tuple]:
+        """Takes rows into the states of their keys, and gives what follows from them."""
         raise NotImplementedError
 
-    def changed(self, key: str, values: list) -> Iterable[tuple]:
-        """Results of a key that had rows, once all are taken."""
-        return ()
-
     def over(self, key: str, values: list) -> Iterable[tuple]:
         """Results of a key whose time has come."""
         return ()
@@ -152,37 +147,43 @@ class _Grouped(StatefulProcessor):
         pass
 
 
+def _tuples(rows: Iterator[pd.DataFrame], *columns: str) -> Iterator[tuple]:
+    for frame in rows:
+        yield from zip(*(frame[c].tolist() for c in (_KEY, *columns)))
+
+
 def _grouped(rows: DataFrame, keys: list[str], processor: _Grouped, out: str, mode: str) -> DataFrame:
-    """The keys and results of a processor over rows, whose keys travel as JSON: nulls and numbers stay what they are."""
+    """The keys and results of a processor over rows, whose keys travel as JSON: nulls and large numbers stay what they are."""
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
     group = F.pmod(F.xxhash64(*keys), F.lit(GROUPS)).cast("int")
-    dealt = rows.withColumns({"group": group, "key": F.to_json(F.struct(*keys), _JSON)}).drop(*keys)
-    found = dealt.groupBy("group").transformWithStateInPandas(processor, f"key string, {out}", mode, "EventTime")
-    return found.withColumn("key", F.from_json("key", kinds, _JSON)).select(*(F.col("key")[c].alias(c) for c in keys), *found.columns[1:])
+    dealt = rows.select(group.alias("key_group"), F.to_json(F.struct(*keys), _JSON).alias(_KEY), *(c for c in rows.columns if c not in keys))
+    found = dealt.groupBy("key_group").transformWithStateInPandas(processor, f"{_KEY} string, {out}", mode, "EventTime")
+    return found.withColumn(_KEY, F.from_json(_KEY, kinds, _JSON)).select(*(F.col(_KEY)[c].alias(c) for c in keys), *found.columns[1:])
 
 
 #: Before all times and numbers.
 _FIRST = -(1 << 63)
 
 
-class _Progress(_Timed):
+class _Progress(_Grouped):
     fields = "done long, passed long, manual long, seen long, at long, seq long, last string"
+    columns = (_KEY, "done", "passed", "manual", "last_status")
 
     def __init__(self, idle_ms: int) -> None:
         self.idle_ms = idle_ms
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        old = self.held()
-        if self.due(old, timerValues):
-            old = None
-        done, passed, manual, seen, *last = old[:-1] if old else (0, 0, 0, _FIRST, _FIRST, _FIRST, "")
-        newest = tuple(last)
-        for r in rows:
-            done, passed, manual, seen = done + 1, passed + (r.status == "PASS"), manual + (r.status == "MANUAL"), max(seen, r.at)
-            if r.status is not None:
-                newest = max(newest, (r.at, _FIRST if r.seq is None else r.seq, r.status))
-        self.keep((done, passed, manual, seen, *newest), old, max(seen // 1000, timerValues.getCurrentWatermarkInMs()) + self.idle_ms)
-        yield Row(session_id=key[0], done=done, passed=passed, manual=manual, last_status=newest[2] if newest[0] > _FIRST else None)
+    def take(self, held: dict[str, list], rows: Iterator[pd.DataFrame], now: int) -> Iterator[tuple]:
+        touched = set()
+        for key, at, seq, status, judged in _tuples(rows, "at", "seq", "status", "judged"):
+            done, passed, manual, seen, *last, _ = held.get(key) or (0, 0, 0, _FIRST, _FIRST, _FIRST, "", 0)
+            if judged:
+                passed, manual, last = passed + (status == "PASS"), manual + (status == "MANUAL"), max(last, [at, seq, status])
+            seen = max(seen, at)
+            held[key] = [done + 1, passed, manual, seen, *last, max(seen // 1000, now) + self.idle_ms]
+            touched.add(key)
+        for key in touched:
+            done, passed, manual, _, at, _, last, _ = held[key]
+            yield key, done, passed, manual, last if at > _FIRST else None
 
 
 def progress(events: DataFrame, delay: str = "10 minutes", config: Config = DEFAULT) -> DataFrame:
@@ -195,9 +196,12 @@ def progress(events: DataFrame, delay: str = "10 minutes", config: Config = DEFA
     state of a session ends once config.expiry_days of event time have passed
     without an event of it.
     """
-    rows = events.where("ts is not null").withWatermark("ts", delay).select("session_id", "ts", F.col("seq").cast("long").alias("seq"), "status", _micros(F.col("ts")).alias("at"))
-    out = f"session_id {events.schema['session_id'].dataType.simpleString()}, done long, passed long, manual long, last_status string"
-    return rows.groupBy("session_id").transformWithState(_Progress(config.expiry_days * _DAY_MS), out, "Update", "EventTime")
+    seq = F.coalesce(F.col("seq").cast("long"), F.lit(_FIRST))
+    status = F.coalesce(F.col("status").cast("string"), F.lit(""))
+    rows = events.where("ts is not null").withWatermark("ts", delay)
+    rows = rows.select("session_id", "ts", seq.alias("seq"), status.alias("status"), F.col("status").isNotNull().alias("judged"), _micros(F.col("ts")).alias("at"))
+    out = "done long, passed long, manual long, last_status string"
+    return _grouped(rows, ["session_id"], _Progress(config.expiry_days * _DAY_MS), out, "Update")
 
 
 def session_state(events: DataFrame, delay: str = "10 minutes", config: Config = DEFAULT) -> DataFrame:
@@ -205,29 +209,29 @@ def session_state(events: DataFrame, delay: str = "10 minutes", config: Config =
     return progress(events, delay, config).select("session_id", F.col("last_status").alias("status"))
 
 
-class _Expiring(_Timed):
+class _Expiring(_Grouped):
     fields = "at long, id string"
+    columns = (_KEY, "created", "id")
+    anew = False
 
     def __init__(self, ttl_ms: int) -> None:
         self.ttl_ms = ttl_ms
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        old = self.held()
-        versions = sorted({(r.at, r.id or "") for r in rows} | ({old[:2]} if old else set()))
-        for (at, name), (then, _) in zip(versions, versions[1:]):
-            if then - at > self.ttl_ms * 1000:
-                yield self.expired(key, at, name)
-        at, name = versions[-1]
-        # Micro-seconds are rounded up: an entry isn't over before its time.
-        self.keep((at, name), old, -(-at // 1000) + self.ttl_ms)
-
-    def expired(self, key: Any, at: int, name: str) -> Row:
-        return Row(key=key[0], created=at, id=name)
+    def take(self, held: dict[str, list], rows: Iterator[pd.DataFrame], now: int) -> Iterator[tuple]:
+        found: dict[str, set] = {}
+        for key, at, name in _tuples(rows, "at", "id"):
+            found.setdefault(key, set()).add((at, name))
+        for key, new in found.items():
+            versions = sorted(new | ({tuple(held[key][:2])} if key in held else set()))
+            for (at, name), (then, _) in zip(versions, versions[1:]):
+                if then - at > self.ttl_ms * 1000:
+                    yield key, at, name
+            at, name = versions[-1]
+            # Micro-seconds are rounded up: an entry isn't over before its time.
+            held[key] = [at, name, -(-at // 1000) + self.ttl_ms]
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        at, name, _ = self.held()
-        self.state.clear()
-        yield self.expired(key, at, name)
+    def over(self, key: str, values: list) -> Iterator[tuple]:
+        yield key, *values[:2]
 
 
 def expired_entries(entries: DataFrame, delay: str = "10 minutes", config: Config = DEFAULT) -> DataFrame:
@@ -240,8 +244,8 @@ def expired_entries(entries: DataFrame, delay: str = "10 minutes", config: Confi
     """
     ttl = config.expiry_days * _DAY_MS
     rows = entries.where("ts is not null and key is not null").withWatermark("ts", delay)
-    rows = rows.select(F.col("key").cast("string").alias("key"), "ts", F.col("id").cast("string").alias("id"), _micros(F.col("ts")).alias("at"))
-    found = rows.groupBy("key").transformWithState(_Expiring(ttl), "key string, created long, id string", "Append", "EventTime")
+    rows = rows.select(F.col("key").cast("string").alias("key"), "ts", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), _micros(F.col("ts")).alias("at"))
+    found = _grouped(rows, ["key"], _Expiring(ttl), "created long, id string", "Append")
     created = F.timestamp_micros("created")
     return found.select("key", "id", created.alias("created"), (created + F.expr(f"interval {config.expiry_days} days")).alias("expired"))
 
@@ -277,13 +281,13 @@ class _Carried(_Grouped):
     """State of a key: the requests that wait for their chunk to be full, fewer than a chunk, and when the first of them came."""
 
     fields = "opened long, seen long, chunk long, held array<long>"
-    columns = ("key", "opened", "chunk", "requests")
+    columns = (_KEY, "opened", "chunk", "requests")
 
     def __init__(self, size: int, wait_ms: int) -> None:
         self.size, self.wait_ms = size, wait_ms
 
-    def take(self, held: dict[str, list], frame: pd.DataFrame, now: int) -> Iterator[tuple]:
-        for key, at, seq, numbered in zip(*(frame[c].tolist() for c in ("key", "at", "seq", "numbered"))):
+    def take(self, held: dict[str, list], rows: Iterator[pd.DataFrame], now: int) -> Iterator[tuple]:
+        for key, at, seq, numbered in _tuples(rows, "at", "seq", "numbered"):
             opened, seen, chunk, waiting, _ = held.get(key) or (None, _FIRST, 0, [], 0)
             opened, seen = at if opened is None else min(opened, at), max(seen, at)
             waiting = [*waiting, seq if numbered else None]

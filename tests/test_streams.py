@@ -210,3 +210,26 @@ def test_chunks_of_keys_in_one_group(spark, tmp_path, monkeypatch, groups):
     late = over | {(3, None, 0, 0, None)}
     assert found == [over, over, over, late, late | {(3, "", 0, 0, 3, 5)}]
     assert got.count() == len(found[-1])
+
+
+def test_sessions_share_calls_to_the_state(spark, tmp_path, monkeypatch):
+    """All sessions are one group: each ends at its own time, and the group's state and timer are few entries."""
+    monkeypatch.setattr(jobs, "GROUPS", 1, raising=False)
+    big = 2**53 + 1
+    parts = [
+        [(n, 1, "PASS", DAY) for n in range(50)] + [(big, big, "MANUAL", DAY), (None, None, None, 4 * DAY)],
+        [(1, 2, "x", 8 * DAY + 600)],
+        [(None, 3, "y", 8 * DAY + 700), (2, 4, "z", 9 * DAY)],
+        [(1, 5, "v", 12 * DAY), (None, 6, "w", 20 * DAY)],
+    ]
+    home = new_home(spark, "sessions")
+    for part in parts:
+        deliver(spark, str(tmp_path / "in"), part, EVENT)
+        got = updated(jobs.progress(file_stream(spark, str(tmp_path / "in"))), ["session_id"], "sessions", home=home)
+        time.sleep(1.1)
+    found = states(got)
+    assert {s for s in found if s[0] not in range(3, 50)} == {(0, 1, 1, 0, "PASS"), (1, 3, 1, 0, "v"), (2, 1, 0, 0, "z"), (big, 1, 0, 1, "MANUAL"), (None, 3, 0, 0, "w")}
+    assert len(found) == 52
+    query = jobs.progress(file_stream(spark, str(tmp_path / "in"))).writeStream.outputMode("update").option("checkpointLocation", new_home(spark, "sessions")).trigger(availableNow=True).format("noop").start()
+    query.awaitTermination()
+    assert query.lastProgress.stateOperators[0].numRowsTotal <= 3
