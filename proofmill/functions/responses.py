@@ -16,6 +16,8 @@ ANNOTATION = (
 DIFF = "struct<ocr string, ref string, kind string>"
 REPLY = f"real_differences array<{DIFF}>, ocr_noise array<{DIFF}>, reason string"
 USAGE = "$.usage.cost"
+#: Texts of any length; by itself Spark makes a response null that holds one of more than 20,000,000 characters.
+WHOLE = {"maxStringLen": str(2**31 - 1)}
 
 
 def mean(values: Column) -> Column:
@@ -26,7 +28,7 @@ def mean(values: Column) -> Column:
 
 def from_blocks(body: Column) -> Column:
     """struct(text, confidence) of a response with blocks, lines and words; null without a line."""
-    blocks = F.from_json(body, BLOCKS)["readResult"]["blocks"]
+    blocks = F.from_json(body, BLOCKS, WHOLE)["readResult"]["blocks"]
     lines = F.flatten(F.transform(blocks, lambda b: F.coalesce(b["lines"], F.array().cast("array<struct<text string, words array<struct<confidence double>>>>"))))
     confidences = F.flatten(F.transform(lines, lambda x: F.coalesce(F.transform(x["words"], lambda w: w["confidence"]), F.array().cast("array<double>"))))
     text = T.strip_heading_marks(F.btrim(F.array_join(F.transform(lines, lambda x: F.coalesce(x["text"], F.lit(""))), "\n"), F.lit(" \t\n\r")))
@@ -35,7 +37,7 @@ def from_blocks(body: Column) -> Column:
 
 def from_flat(body: Column) -> Column:
     """struct(text, confidence) of a flat response: no error, exit code 1 or 2, a text with a letter or digit."""
-    r = F.from_json(body, FLAT)
+    r = F.from_json(body, FLAT, WHOLE)
     raw = F.btrim(F.coalesce(F.get(r["ParsedResults"], F.lit(0))["ParsedText"], F.lit("")), F.lit(" \t\n\r"))
     text = T.strip_heading_marks(raw)
     ok = ~F.coalesce(r["IsErroredOnProcessing"], F.lit(False)) & F.coalesce(r["OCRExitCode"], F.lit(0)).isin(1, 2) & T.has_letter_or_digit(text)
@@ -44,7 +46,7 @@ def from_flat(body: Column) -> Column:
 
 def from_annotation(body: Column, mode: Column) -> Column:
     """struct(text, confidence) of an annotation response: the full text in document mode, else the first description; zero confidences don't count."""
-    r = F.from_json(body, ANNOTATION)
+    r = F.from_json(body, ANNOTATION, WHOLE)
     full = r["fullTextAnnotation"]
     blocks = F.flatten(F.transform(full["pages"], lambda p: F.coalesce(p["blocks"], F.array().cast("array<struct<confidence double>>"))))
     confidence = mean(F.transform(blocks, lambda b: F.when(b["confidence"] != 0, b["confidence"])))
